@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # A word is a run of letters and numbers, and keeps one straight or curly
 # apostrophe where a letter or number stands on both sides of it.
@@ -40,7 +41,7 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("bigint")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
