@@ -93,21 +93,20 @@ def codepoint(name: str) -> str:
         return ""
 
 
-def truncate_bytes(text: Column, limit: int | Column) -> Column:
+def truncate_bytes(text: Column, limit: int) -> Column:
     """The longest head of ``text`` that fits ``limit`` UTF-8 bytes and cuts no character.
 
-    Only the first ``limit`` characters can fit, and a short head is tried per length, so the
-    work is bounded by the limit and not by the text.
+    Works on the hex form of the first characters: where the byte behind the cut continues a
+    character, that character's own bytes go too.
     """
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    head = F.left(text, F.greatest(limit, F.lit(0)))
-    fits = F.array_max(
-        F.filter(
-            F.sequence(F.lit(0), F.length(head)),
-            lambda k: F.octet_length(F.left(head, k)) <= limit,
-        )
-    )
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.left(head, fits))
+    if limit <= 0:
+        return F.left(text, F.lit(0))
+    coded = F.hex(F.encode(F.left(text, F.lit(limit + 1)), "UTF-8"))
+    cut = F.left(coded, F.lit(2 * limit))
+    inside = F.substring(coded, 2 * limit + 1, 1).isin("8", "9", "A", "B")
+    whole = F.regexp_extract(cut, r"^((?:..)*?)[C-F].(?:[89AB].){0,2}\z", 1)
+    head = F.decode(F.unhex(F.when(inside, whole).otherwise(cut)), "UTF-8")
+    return F.when(F.octet_length(text) <= limit, text).otherwise(head)
 
 
 def sentence_around(text: Column, part: Column) -> Column:
