@@ -1,4 +1,9 @@
 """Every named query, gathered from its module."""
 
-from corpusaudit.plans import page_queries, state_queries, text_queries  # noqa: F401
+from corpusaudit.plans import (  # noqa: F401
+    page_queries,
+    state_queries,
+    text_queries,
+    tree_queries,
+)
 from corpusaudit.plans.tables import ORACLES, QUERIES  # noqa: F401

@@ -28,6 +28,8 @@ NODES = T.StructType(
         T.StructField("in_image", T.BooleanType(), False),
         T.StructField("label", T.StringType()),  # text inside a link, image or heading
         T.StructField("text", T.StringType()),  # own text of a leaf
+        T.StructField("note", T.IntegerType()),  # innermost note around it
+        T.StructField("closed", T.BooleanType(), False),  # whether its end was written out
     ]
 )
 

@@ -90,6 +90,7 @@ class PageReader(HTMLParser):
             self.doc_id, node, node, above.row[1] if above else None, len(self.open), sib, "html",
             (above.row[7] if above else "") + "/" + str(sib), kind, tag, None, None, None, None,
             None, None, None, None, read, seg, not (above and above.skipped), False, None, text,
+            None, True,
         ]
         self.rows.append(row)
         return row
@@ -111,8 +112,9 @@ class PageReader(HTMLParser):
         for depth in range(len(self.open) - 1, -1, -1):
             found = self.open[depth].tag
             if found == tag:
-                while len(self.open) > depth:
-                    self._close()
+                while len(self.open) > depth + 1:
+                    self._close(written=False)
+                self._close()
                 return
             if tag not in TEXT_BLOCKS and tag not in ("html", "body") and found in TEXT_BLOCKS:
                 return
@@ -139,7 +141,7 @@ class PageReader(HTMLParser):
             found = self.open[depth].tag
             if found in tags:
                 while len(self.open) > depth:
-                    self._close()
+                    self._close(written=False)
                 return
             if found in boundary:
                 return
@@ -212,8 +214,9 @@ class PageReader(HTMLParser):
         else:
             el.seg, el.inline = above.seg, True
 
-    def _close(self):
+    def _close(self, written=True):
         el = self.open[-1]
+        el.row[25] = written
         if el.noteref:
             self._row("#pad", None, " ", el.seg)
         self.open.pop()
@@ -227,7 +230,7 @@ class PageReader(HTMLParser):
     def finish(self):
         self.close()
         while self.open:
-            self._close()
+            self._close(written=False)
         return self.rows
 
 

@@ -72,20 +72,22 @@ class TreeReader:
         if not isinstance(tree, dict):
             return []
         for root in ("meta", "blocks"):
-            place = (None, 0, root, None, None, root == "blocks", root == "blocks", False)
+            place = (None, 0, root, None, None, root == "blocks", root == "blocks", False, None)
             self._walk(tree.get(root), "/" + root, place)
         return self.rows
 
-    # A place: parent, depth, root, reading block, segment, measured, visible, inside an image.
+    # A place: parent, depth, root, reading block, segment, measured, visible, inside an image,
+    # innermost note.
 
     def _row(self, kind, pointer, place):
-        parent, depth, root, read, seg, measured, _, in_image = place
+        parent, depth, root, read, seg, measured, _, in_image, note = place
         sib = self.children.get(parent, 0)
         self.children[parent] = sib + 1
         node = len(self.rows)
         row = [
             self.doc_id, node, node, parent, depth, sib, root, pointer, kind, None, None, None,
-            None, None, None, None, None, None, read, seg, measured, in_image, None, None,
+            None, None, None, None, None, None, read, seg, measured, in_image, None, None, note,
+            True,
         ]
         self.rows.append(row)
         return row
@@ -150,7 +152,7 @@ class TreeReader:
 
     def _content(self, kind, value, content, pointer, row, inside):
         """Descend: each part of a node decides what is measured and what is visible below it."""
-        hidden = [*inside[:5], False, False, inside[7]]
+        hidden = [*inside[:5], False, False, *inside[7:]]
         if kind in ("Code", "Math", "CodeBlock", *RAW):
             return
         if kind in LABELLED:
@@ -202,6 +204,8 @@ class TreeReader:
 
     def _note(self, blocks, pointer, inside):
         """A note is set apart from the words around it, and its blocks from each other."""
+        if not inside[7]:
+            inside = [*inside[:8], inside[0]]
         self._pad(" ", pointer, inside)
         for i, block in enumerate(blocks if isinstance(blocks, list) else []):
             if i:
