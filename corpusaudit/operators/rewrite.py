@@ -6,8 +6,9 @@ While documents are rewritten, ``node`` and ``end_node`` are fractions within a
 the body, part n the document of note n. A node may then be put between two others, and a note
 moved behind the body, without renumbering anything. ``dense`` counts again at the end.
 
-Every rewrite works on the few rows it is about - links, notes, figures - and leaves the others
-out of its joins, so that documents without them cost nothing and no join meets a NULL key.
+Every rewrite first gathers the few rows it is about - links, notes, figures - into a small table
+and then passes over the nodes once. Joins carry the document in their key, so rows without a
+partner spread as evenly as documents do.
 """
 
 from html.parser import HTMLParser
@@ -23,6 +24,7 @@ from corpusaudit.functions.text import remove_whitespace, strip_whitespace
 from corpusaudit.operators.structure import IDENTIFIED
 from corpusaudit.rules import ACTIVATIONS
 from corpusaudit.schema import NODES
+from corpusaudit.session import materialise
 from corpusaudit.sources import tree
 
 DOC = ["doc_id", "part"]
@@ -75,36 +77,35 @@ def dense(nodes: DataFrame) -> DataFrame:
     counted = starts.unionByName(ends).withColumn(
         "n", (F.sum(1 - F.col("end")).over(order) - 1).cast("int")
     )
-    placed = counted.groupBy("doc_id", "k").agg(
-        F.max(F.when(F.col("end") == 0, F.col("n"))).alias("_node"),
-        F.max(F.when(F.col("end") == 1, F.col("n"))).alias("_end"),
+    placed = materialise(
+        counted.groupBy("doc_id", "k").agg(
+            F.max(F.when(F.col("end") == 0, F.col("n"))).alias("_node"),
+            F.max(F.when(F.col("end") == 1, F.col("n"))).alias("_end"),
+        )
     )
-    keyed = nodes.withColumn("k", key).join(placed, ["doc_id", "k"])
+    moved = nodes.withColumn("k", key).join(placed, ["doc_id", "k"])
     # References to other nodes are looked up by their old position in the same part.
-    moved = keyed
     for name in ("parent", "read_block", "text_seg"):
-        moved = _remap(moved, placed, name)
-    return moved.select(
-        *[
-            {"node": F.col("_node"), "end_node": F.col("_end"), "note": F.lit(None).cast("int")}
-            .get(c, F.col(c))
-            .alias(c)
-            for c in NODES.names
-        ]
-    )
+        found = placed.select("doc_id", F.col("k").alias("_k"), F.col("_node").alias("_to"))
+        moved = (
+            moved.withColumn(
+                "_k", F.when(F.col(name).isNotNull(), F.struct("part", F.col(name).alias("node")))
+            )
+            .join(found, ["doc_id", "_k"], "left")
+            .withColumn(name, F.col("_to"))
+            .drop("_to", "_k")
+        )
+    new = {"node": F.col("_node"), "end_node": F.col("_end"), "note": F.lit(None).cast("int")}
+    return moved.select(*[new.get(c, F.col(c)).alias(c) for c in NODES.names])
 
 
-def _remap(nodes: DataFrame, placed: DataFrame, name: str) -> DataFrame:
-    there = nodes.filter(F.col(name).isNotNull())
-    gone = nodes.filter(F.col(name).isNull()).withColumn(name, F.lit(None).cast("int"))
-    found = placed.select("doc_id", F.col("k").alias("_k"), F.col("_node").alias("_to"))
-    looked = (
-        there.withColumn("_k", F.struct("part", F.col(name).alias("node")))
-        .join(found, ["doc_id", "_k"], "left")
-        .withColumn(name, F.col("_to"))
-        .drop("_to", "_k")
+def _holding(nodes: DataFrame, mark: Column) -> tuple[DataFrame, DataFrame]:
+    """Documents with a marked node, gathered apart, and all the others."""
+    docs = materialise(nodes.filter(mark).select("doc_id").distinct())
+    return (
+        materialise(nodes.join(docs, "doc_id", "left_semi")),
+        nodes.join(docs, "doc_id", "left_anti"),
     )
-    return looked.select(*gone.columns).unionByName(gone)
 
 
 def _without(nodes: DataFrame, gone: DataFrame) -> DataFrame:
@@ -117,11 +118,10 @@ def _without(nodes: DataFrame, gone: DataFrame) -> DataFrame:
 def derived_captions(nodes: DataFrame) -> DataFrame:
     """Figures whose caption, picture text and following paragraph are the same words.
 
-    (doc_id, part, node, end_node, pointer, text), white space apart. Only documents with a
-    figure are looked at.
+    (doc_id, part, node, end_node, pointer, text), white space apart. Give it the documents that
+    have a figure.
     """
-    holding = nodes.filter(F.col("kind") == "Figure").select("doc_id").distinct()
-    docs = nodes.join(holding, "doc_id", "left_semi")
+    docs = nodes
     # Siblings of one sequence share the parent and the pointer up to the last step.
     sequence = F.regexp_extract("pointer", r"^(.*)/\d+\z", 1)
     beside = Window.partitionBy(*DOC, "parent", "_seq").orderBy("node")
@@ -176,19 +176,20 @@ def derived_captions(nodes: DataFrame) -> DataFrame:
 
 def suppress_captions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop derived captions. Returns the nodes and what was dropped: (doc_id, node, text)."""
-    found = derived_captions(nodes)
+    docs, others = _holding(nodes, F.col("kind") == "Figure")
+    found = materialise(derived_captions(docs))
     spans = found.select(
         *DOC, F.col("node").alias("_f"), F.col("end_node").alias("_l"), F.col("pointer").alias("_at")
     )
     captions = (
-        nodes.select(*DOC, "node", "pointer")
+        docs.select(*DOC, "node", "pointer")
         .join(spans, DOC)
         .filter(
             F.col("node").between(F.col("_f"), F.col("_l"))
             & F.col("pointer").startswith(F.concat("_at", F.lit("/c/1/")))
         )
     )
-    return _without(nodes, captions), found.select("doc_id", "node", "text")
+    return _without(docs, captions).unionByName(others), found.select("doc_id", "node", "text")
 
 
 def emphasise_callouts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,11 +200,12 @@ def emphasise_callouts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     classed = lambda name: F.coalesce(F.array_contains("classes", name), F.lit(False))
     div = F.col("kind") == "Div"
+    nodes, others = _holding(nodes, div & classed("callout-title"))
     outer = nodes.filter(div & classed("callout-title")).select(*DOC, F.col("node").alias("o"))
     only = (
-        nodes.filter(F.col("parent").isNotNull())
-        .join(outer, (nodes["doc_id"] == outer["doc_id"]) & (nodes["part"] == outer["part"]) & (nodes["parent"] == outer["o"]), "left_semi")
-        .groupBy(*DOC, "parent")
+        nodes.select(*DOC, F.col("parent").alias("o"), "node", "kind", "classes")
+        .join(outer, [*DOC, "o"], "left_semi")
+        .groupBy(*DOC, "o")
         .agg(
             F.count("*").alias("n"),
             F.first(F.struct("node", "kind", "classes")).alias("c"),
@@ -213,10 +215,10 @@ def emphasise_callouts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             & (F.col("c.kind") == "Div")
             & F.coalesce(F.array_contains("c.classes", "callout-title-inner"), F.lit(False))
         )
-        .select(*DOC, F.col("parent").alias("o"), F.col("c.node").alias("i"))
+        .select(*DOC, "o", F.col("c.node").alias("i"))
     )
     held = nodes.select(*DOC, F.col("parent").alias("i"), "node", "kind")
-    lines = (
+    lines = materialise(
         held.join(only, [*DOC, "i"])
         .groupBy(*DOC, "o", "i")
         .agg(F.count("*").alias("n"), F.first(F.struct("node", "kind")).alias("c"))
@@ -250,18 +252,16 @@ def emphasise_callouts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # The plain line goes; what it held hangs on the strong one and reads as the new paragraph.
     moved = lines.select(*DOC, F.col("p").alias("_p"), F.col("o").alias("_o"), F.col("i").alias("_i"))
-    inside = relabelled.filter(F.col("text_seg").isNotNull() | F.col("parent").isNotNull())
-    outside = relabelled.filter(F.col("text_seg").isNull() & F.col("parent").isNull())
-    target = F.coalesce("text_seg", "parent")
     shifted = (
-        inside.withColumn("_p", target)
+        relabelled.withColumn("_p", F.coalesce("text_seg", "parent"))
         .join(moved, [*DOC, "_p"], "left")
         .withColumn("parent", F.when(F.col("parent") == F.col("_p"), F.coalesce("_i", "parent")).otherwise(F.col("parent")))
         .withColumn("text_seg", F.coalesce(F.when(F.col("text_seg").isNotNull(), F.col("_o")), "text_seg"))
         .withColumn("read_block", F.coalesce(F.when(F.col("read_block").isNotNull(), F.col("_o")), "read_block"))
     )
-    kept = shifted.filter(~((F.col("node") == F.col("_p")) & F.col("_o").isNotNull()))
-    return kept.select(*_columns()).unionByName(outside.select(*_columns())), words
+    gone = F.coalesce(F.col("_o").isNotNull() & (F.col("node") == F.col("_p")), F.lit(False))
+    kept = shifted.filter(~gone).select(*_columns())
+    return kept.unionByName(others.select(*_columns())), words
 
 
 # --- links --------------------------------------------------------------------------------------
@@ -316,7 +316,7 @@ def strip_links(
     what it held.
     """
     active = ACTIVATIONS["strip_non_apparatus_hrefs"][0] if active is None else active
-    links = classify_links(nodes, schemes, needs_text)
+    links = materialise(classify_links(nodes, schemes, needs_text))
     if not active:
         links = links.withColumn("removed", F.lit(False))
         return nodes, links
@@ -334,13 +334,10 @@ def strip_links(
         .drop("_bare")
     )
     lifted = gone.filter("_bare").select(*DOC, F.col("node").alias("parent"), "_up", F.lit(True).alias("_lift"))
-    rooted = kept.filter(F.col("parent").isNull())
-    rehung = (
-        kept.filter(F.col("parent").isNotNull())
-        .join(lifted, [*DOC, "parent"], "left")
-        .withColumn("parent", F.when(F.col("_lift"), F.col("_up")).otherwise(F.col("parent")))
+    rehung = kept.join(lifted, [*DOC, "parent"], "left").withColumn(
+        "parent", F.when(F.col("_lift"), F.col("_up")).otherwise(F.col("parent"))
     )
-    return rehung.select(*_columns()).unionByName(rooted.select(*_columns())), links
+    return rehung.select(*_columns()), links
 
 
 def link_counts(links: DataFrame) -> DataFrame:
@@ -402,7 +399,7 @@ def convert_notes(
     """
     active = ACTIVATIONS["one_file_per_note"][0] if active is None else active
     backlinks = ACTIVATIONS["footnote_backlinks"][0] if backlinks is None else backlinks
-    numbered = number_notes(nodes)
+    numbered = materialise(number_notes(nodes))
     changes = numbered.select("doc_id", "number", "node")
     if not active:
         return nodes, changes.limit(0)
@@ -421,10 +418,9 @@ def convert_notes(
             "text_seg", F.when(F.col("text_seg").isNotNull(), F.coalesce("read_block", "text_seg"))
         )
     )
-    outer = ids.select("doc_id", F.col("note").alias("_o"), F.col("_n").alias("_on"), F.col("_d").alias("_od"))
+    outer = ids.select("doc_id", "note", F.col("_n").alias("_on"), F.col("_d").alias("_od"))
     notes = (
-        numbered.join(outer, (numbered["doc_id"] == outer["doc_id"]) & (numbered["note"] == outer["_o"]), "left")
-        .drop(outer["doc_id"])
+        numbered.join(outer, ["doc_id", "note"], "left")
         .withColumn("part", F.coalesce("_on", F.lit(0).cast("bigint")))
         .withColumn("text_seg", F.when(F.col("_on").isNotNull(), F.coalesce("read_block", "text_seg")).otherwise(F.col("text_seg")))
         .withColumn("depth", F.col("depth") - F.coalesce(F.col("_od") + 1, F.lit(0)))
@@ -440,8 +436,10 @@ def convert_notes(
         )
         .withColumnRenamed("part", "number")
     )
-    bodies = notes.select("doc_id", "number", F.col("node").alias("at"), "_name").join(
-        first, ["doc_id", "number"], "left"
+    bodies = materialise(
+        notes.select("doc_id", "number", F.col("node").alias("at"), "_name").join(
+            first, ["doc_id", "number"], "left"
+        )
     )
     made = [*_reference_nodes(notes), *_note_nodes(bodies)]
     if backlinks:
@@ -633,7 +631,7 @@ def balance_raw_html(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         kept = [r for r in rows if (r["part"], r["node"]) in bad]
         return pa.Table.from_pylist(kept, schema=group.schema)
 
-    gone = raw.groupBy("doc_id").applyInArrow(dropped, _DROPPED)
+    gone = materialise(raw.groupBy("doc_id").applyInArrow(dropped, _DROPPED))
     return _without(nodes, gone), gone
 
 
@@ -652,7 +650,7 @@ def bound_identifiers(nodes: DataFrame, limit: int | None) -> tuple[DataFrame, D
     budget = limit - ANCHOR_RESERVE
     body = (F.col("root") != "meta") & F.col("kind").isin(*tree.ATTRIBUTES_AT)
     long_ident = body & (F.octet_length("ident") > budget)
-    changes = (
+    changes = materialise(
         nodes.filter(long_ident)
         .select("doc_id", F.col("ident").alias("old"))
         .distinct()
@@ -685,7 +683,7 @@ def ensure_title(nodes: DataFrame, docs: DataFrame, prefix: str = "title-") -> t
     first = blocks.groupBy("doc_id").agg(
         F.min_by(F.struct("kind", "level"), "node").alias("f"), F.min("node").alias("at")
     )
-    wanting = (
+    wanting = materialise(
         docs.select("doc_id", "title")
         .join(first, "doc_id", "left")
         .filter(~F.coalesce((F.col("f.kind") == "Header") & (F.col("f.level") == 1), F.lit(False)))
@@ -985,14 +983,16 @@ REWRITES = {
 
 def rewrite(nodes: DataFrame, docs: DataFrame, href_limit: int | None = 96, prefix: str = "title-"):
     """The whole chain. ``docs`` holds doc_id, title. Returns nodes and {rewrite: changes}."""
-    w = working(nodes)
+    w = materialise(working(nodes))
     w, captions = suppress_captions(w)
     w, callouts = emphasise_callouts(w)
     w, links = strip_links(w)
-    w, notes = convert_notes(w)
+    w, notes = convert_notes(materialise(w))
+    w = materialise(w)
     w, raw = balance_raw_html(w)
     w, titled = ensure_title(w, docs, prefix)
     w, bounded = bound_identifiers(w, href_limit)
+    w = materialise(w)
     w, renamed = namespace_attrs(w)
     return dense(w), {
         "duplicate-caption-suppression": captions,

@@ -99,15 +99,15 @@ def derive_state(candidates: DataFrame, evidence: DataFrame, artifacts: DataFram
     known = evidence.groupBy("source").agg(
         F.min("source_sha256").alias("_lo"), F.max("source_sha256").alias("_hi")
     )
+    columns = candidates.columns
     matched = (
         candidates.join(
-            exact,
-            (F.col("path") == exact["source"]) & (F.col("sha256") == exact["source_sha256"]),
+            exact.withColumnsRenamed({"source": "path", "source_sha256": "sha256"}),
+            ["path", "sha256"],
             "left",
         )
-        .select(candidates["*"], "_e.artifact", "_e.artifact_sha256")
-        .join(known, F.col("path") == known["source"], "left")
-        .drop("source")
+        .select(*columns, "_e.artifact", "_e.artifact_sha256")
+        .join(known.withColumnRenamed("source", "path"), "path", "left")
     )
     paired = F.col("artifact").isNotNull()
     looked_up = artifact_damage(matched, artifacts).withColumn(
@@ -119,7 +119,7 @@ def derive_state(candidates: DataFrame, evidence: DataFrame, artifacts: DataFram
         F.when(paired & F.col("damage").isNull(), F.lit("already-ready"))
         .when(F.coalesce(other, F.lit(False)), F.lit("changed"))
         .otherwise(F.lit("new")),
-    ).select(candidates["*"], "state", "damage")
+    ).select(*columns, "state", "damage")
 
 
 def evidence_problems(reports: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
-"""Session settings the jobs are written for. A session of your own works as well."""
+"""Session settings the jobs are written for, and where intermediate tables go."""
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,10 +22,25 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared folder the cluster names for checkpoints; ``fallback`` only where unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints.
+
+    Only where no folder is named, as in tests on one machine, a local one is made and named.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and fallback is not None:
-        spark.sparkContext.setCheckpointDir(fallback)
-        return fallback
-    return named
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the plan where a step looks at its input several times, survives lost executors, and
+    unlike a checkpoint keeps column pruning and pushed filters for what comes after.
+    """
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
