@@ -477,7 +477,7 @@ def conformance(reports: DataFrame, key: str, output: str) -> DataFrame:
 
     Output without a checker version is no result: ``valid`` is NULL.
     """
-    parsed = reports.select(key, F.from_json(F.col(output), CONFORMANCE[7:-1]).alias("_c"))
+    parsed = reports.select(key, F.from_json(F.col(output), CONFORMANCE).alias("_c"))
     n = lambda f: F.coalesce(F.col(f"_c.checker.{f}"), F.lit(0).cast("bigint"))
     there = F.col("_c.checker.checkerVersion").isNotNull()
     return parsed.select(
@@ -493,7 +493,7 @@ def conformance(reports: DataFrame, key: str, output: str) -> DataFrame:
 
 def conformance_messages(reports: DataFrame, key: str, output: str) -> DataFrame:
     """(key, path, line, column, id, severity, message), ordered by place and id."""
-    parsed = reports.select(key, F.from_json(F.col(output), CONFORMANCE[7:-1]).alias("_c"))
+    parsed = reports.select(key, F.from_json(F.col(output), CONFORMANCE).alias("_c"))
     rows = parsed.select(key, F.explode("_c.messages").alias("m"))
     where = F.get("m.locations", F.lit(0))
     return rows.select(

@@ -1,6 +1,7 @@
 """Every named query, gathered from its module."""
 
 from corpusaudit.plans import (  # noqa: F401
+    corpus_queries,
     package_queries,
     page_queries,
     state_queries,
