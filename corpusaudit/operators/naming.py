@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.functions.names import ARTIFACT_SUFFIX, portable_base, suffixed_base
+from corpusaudit.session import materialise
 
 
 def assign_names(artifacts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -15,13 +16,17 @@ def assign_names(artifacts: DataFrame, existing: DataFrame | None = None) -> Dat
 
     Holders are folded to one row per name before they meet the artifacts: a name a third of
     the corpus asks for is one row on the small side of the join, and its many rows on the other
-    side may be split between tasks.
+    side may be split between tasks. The asked-for names are kept as a table, as titles and
+    digests may have been read out of whole texts.
     """
     based = artifacts.withColumn("_base", portable_base(F.col("title"))).withColumn(
         "_plain", F.concat("_base", F.lit(ARTIFACT_SUFFIX))
     )
-    asked = based.withColumn(
-        "_suffixed", F.concat(suffixed_base(F.col("_base"), F.col("digest")), F.lit(ARTIFACT_SUFFIX))
+    asked = materialise(
+        based.withColumn(
+            "_suffixed",
+            F.concat(suffixed_base(F.col("_base"), F.col("digest")), F.lit(ARTIFACT_SUFFIX)),
+        ).drop("_base")
     )
     held = _holders(asked, "_plain", existing)
     placed = asked.join(held.toDF("_plain", "_holder", "_first"), "_plain", "left")

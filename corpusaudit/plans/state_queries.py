@@ -11,6 +11,7 @@ from corpusaudit.functions import names as N
 from corpusaudit.operators import delivery as L
 from corpusaudit.operators import naming, state
 from corpusaudit.plans.tables import SQL_WS, query, table
+from corpusaudit.session import materialise
 from corpusaudit.sources import documents as D
 
 PATH = "concat('/inbox/', source, '/', doc_id, '.md')"
@@ -24,7 +25,7 @@ def _candidates(spark, folder):
 def _published(spark, folder):
     """Documents with a label, and what their label says happened since."""
     docs = table(spark, folder, "documents", "doc_id", "text", "lang", "source", spread=True)
-    return docs.join(table(spark, folder, "labels"), "doc_id").select(
+    rows = docs.join(table(spark, folder, "labels"), "doc_id").select(
         "doc_id",
         "lang",
         "toxic",
@@ -36,6 +37,8 @@ def _published(spark, folder):
         F.concat(F.lit("/ready/"), F.col("doc_id"), F.lit(".epub")).alias("artifact"),
         F.sha2(F.concat(F.lit("book "), F.col("text")), 256).alias("artifact_sha256"),
     )
+    # Evidence is a table of its own; it is read several times and holds no text.
+    return materialise(rows)
 
 
 def _evidence(published):

@@ -14,6 +14,7 @@ from corpusaudit.operators import rewrite as W
 from corpusaudit.operators import structure as S
 from corpusaudit.operators import verdicts as V
 from corpusaudit.plans.tables import query, sql_words, table
+from corpusaudit.session import materialise
 from corpusaudit.sources.tree import trees_to_nodes
 
 _STR = '{"t":"Str","c":"%s"}'
@@ -80,6 +81,11 @@ def _nodes(spark, folder, kinds=None):
     return trees_to_nodes(_trees(spark, folder), "doc_id", "tree", kinds)
 
 
+def _linked(spark, folder):
+    """Only the nodes link rules look at, read once and kept."""
+    return materialise(W.working(_nodes(spark, folder, ("Link", "Note", "Header"))))
+
+
 _SQL_TOKENS = r"""
 WITH l AS (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents),
 head AS (SELECT doc_id, lang, ls[1] AS head, len(ls) AS n_lines,
@@ -188,8 +194,7 @@ FROM (SELECT doc_id, notes, unnest(['cross-reference', 'web-link', 'dead-link'])
 WHERE before > 0""",
 )
 def link_stripping(spark, folder):
-    nodes = W.working(_nodes(spark, folder))
-    return W.link_counts(W.classify_links(nodes))
+    return W.link_counts(W.classify_links(_linked(spark, folder)))
 
 
 @query(
@@ -198,9 +203,8 @@ def link_stripping(spark, folder):
     + """ SELECT doc_id, notes = 0 AND xref + dead > 0 AS engaged, (xref + dead)::BIGINT AS in_book_links FROM n""",
 )
 def link_interlock(spark, folder):
-    nodes = W.working(_nodes(spark, folder, ("Link", "Note", "Header")))
     docs = table(spark, folder, "documents", "doc_id")
-    return W.interlock(docs, W.classify_links(nodes))
+    return W.interlock(docs, W.classify_links(_linked(spark, folder)))
 
 
 @query(
@@ -256,7 +260,7 @@ def rewritten_text(spark, folder):
 )
 def rewritten_loss(spark, folder):
     """Rewriting moves words and adds labels; it must lose none."""
-    nodes = _nodes(spark, folder)
+    nodes = materialise(_nodes(spark, folder))
     rewritten, _ = W.rewrite(nodes, _titles(spark, folder))
     before = S.render_text(S.visible_segments(nodes)).withColumnRenamed("text", "baseline")
     after = S.render_text(S.segments(rewritten), "text_seg").withColumnRenamed("text", "derived")
@@ -327,7 +331,7 @@ def raw_markup_dropped(spark, folder):
   xref AS links FROM n WHERE anchor <> ''""",
 )
 def bounded_links(spark, folder):
-    nodes = W.working(_nodes(spark, folder, ("Header", "Link")))
+    nodes = materialise(W.working(_nodes(spark, folder, ("Header", "Link"))))
     bounded, _ = W.bound_identifiers(nodes, 96)
     heads = bounded.filter(F.col("ident").isNotNull()).select("doc_id", "ident")
     links = (
@@ -347,14 +351,14 @@ def bounded_links(spark, folder):
     + """ SELECT doc_id, 'Span' AS kind, 'span' AS element, 'width' AS attribute, web AS n FROM n WHERE web > 0""",
 )
 def renamed_attributes(spark, folder):
-    w, _ = W.strip_links(W.working(_nodes(spark, folder, ("Link", "Note", "Header"))))
+    w, _ = W.strip_links(_linked(spark, folder))
     _, renamed = W.namespace_attrs(w)
     return renamed.groupBy("doc_id", "kind", "element", "attribute").agg(F.count("*").alias("n"))
 
 
 def _source_facts(spark, folder):
     """One row of facts per tree: structure, links, constructs and glyphs."""
-    nodes = _nodes(spark, folder)
+    nodes = materialise(_nodes(spark, folder))
     links = W.classify_links(W.working(nodes.filter(F.col("kind").isin("Link", "Note", "Header"))))
     blocks = nodes.filter(F.col("kind") == "Link").select(
         "doc_id", F.col("node").cast("double").alias("node"), "read_block"
