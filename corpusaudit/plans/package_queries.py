@@ -372,8 +372,10 @@ def _artifact_facts(nodes, records, links):
 @query(
     "package_refusals",
     _SQL_LINES
-    + """ SELECT doc_id AS package_id, CASE WHEN lang = 'de' THEN 'malformed-content-document'
-     WHEN gone > 0 THEN 'text-preservation' END AS boundary FROM k""",
+    + """, b AS (SELECT doc_id, max((length(line) - length(replace(line, ' the ', ''))) // 5
+                                 + (length(line) - length(replace(line, ' is ', ''))) // 4) AS top FROM l GROUP BY doc_id)
+SELECT doc_id AS package_id, CASE WHEN lang = 'de' THEN 'malformed-content-document' WHEN top > 128 THEN 'compatibility'
+     WHEN gone > 0 THEN 'text-preservation' END AS boundary FROM k JOIN b USING (doc_id)""",
 )
 def package_refusals(spark, folder):
     """The first boundary of each book; dead links stand in for lost words here."""

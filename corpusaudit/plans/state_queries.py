@@ -436,9 +436,9 @@ def deliverable(spark, folder):
 @query(
     "source_kinds",
     """SELECT page_id, CASE WHEN url LIKE 'http%' THEN 'article-url' ELSE 'unknown-local-kind' END AS whole,
-  CASE WHEN regexp_matches(name, '\\.(md|markdown)$') THEN 'markdown'
-       WHEN regexp_matches(name, '\\.(html|htm|xhtml)$') THEN 'local-html'
-       WHEN regexp_matches(name, '\\.pdf$') THEN 'pdf' ELSE 'unknown-local-kind' END AS saved
+  CASE WHEN regexp_matches(name, '[^.]\\.(md|markdown)$') THEN 'markdown'
+       WHEN regexp_matches(name, '[^.]\\.(html|htm|xhtml)$') THEN 'local-html'
+       WHEN regexp_matches(name, '[^.]\\.pdf$') THEN 'pdf' ELSE 'unknown-local-kind' END AS saved
 FROM (SELECT page_id, url, lower(regexp_extract(regexp_replace(url, '[?#].*', ''), '[^/]*$')) ||
         CASE WHEN length(html) < 2500 THEN '.MD' WHEN length(html) < 3500 THEN '.html' ELSE '' END AS raw,
         lower(raw) AS name FROM pages)""",
