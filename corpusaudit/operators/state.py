@@ -122,6 +122,25 @@ def derive_state(candidates: DataFrame, evidence: DataFrame, artifacts: DataFram
     ).select(*columns, "state", "damage")
 
 
+def with_latest_attempt(states: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Add the last refused attempt of each exact (path, digest): boundary and finished_at.
+
+    An attempt stands beside the state and never changes it. ``attempts`` holds source,
+    source_sha256, boundary, finished_at.
+    """
+    last = latest_per_key(
+        attempts.filter(F.col("boundary").isNotNull()).select(
+            F.col("source").alias("path"),
+            F.col("source_sha256").alias("sha256"),
+            "boundary",
+            "finished_at",
+        ),
+        ["path", "sha256"],
+        ["finished_at", "boundary"],
+    )
+    return states.join(last, ["path", "sha256"], "left")
+
+
 def evidence_problems(reports: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(bundle, problem, artifact), one row per distinct problem.
 

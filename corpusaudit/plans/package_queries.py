@@ -369,6 +369,19 @@ def _artifact_facts(nodes, records, links):
     return joined.fillna(0)
 
 
+@query(
+    "package_navigation_observations",
+    _SQL_LINES
+    + """, o AS (SELECT *, lang <> 'de' AS whole, CASE WHEN lang = 'de' THEN 0 ELSE own + gone END + CASE WHEN lang = 'fr' THEN 0 ELSE 2 END AS inside FROM k)
+SELECT doc_id AS package_id, name, applicability, fired FROM (SELECT doc_id, unnest(['footnote-target-reliability', 'link-footnote-dilution']) AS name,
+  unnest([false, inside > 0]) AS applicability, unnest([CASE WHEN whole THEN false END, NULL]) AS fired FROM o)""",
+)
+def package_navigation_observations(spark, folder):
+    nodes, records, _, links = _package_links(spark, folder)
+    seen = O.navigation_observations(_artifact_facts(nodes, records, links), key="package_id")
+    return seen.select("package_id", "name", "applicability", "fired")
+
+
 @query(
     "package_refusals",
     _SQL_LINES

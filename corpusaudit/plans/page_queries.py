@@ -73,18 +73,14 @@ kinds AS (SELECT facts.*, site.path IS NOT NULL AS resolves FROM facts
 def _site_links(spark, folder):
     """Links of every page; one resolves where another page of its host has that path."""
     pages = _pages(spark, folder, "page_id", "url", "html")
-    host, path = (
-        F.regexp_extract("url", r"^https?://([^/?#]*)", 1).alias("host"),
-        F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1).alias("_path"),
-    )
-    links = L.links_of(H.pages_to_nodes(pages, "page_id", "html", ("Link",)))
-    hosts = pages.select(F.col("page_id").alias("doc_id"), host)
+    host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1).alias("host")
+    path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1).alias("_path")
+    nodes = H.pages_to_nodes(pages, "page_id", "html", ("Link",), ("url",))
+    links = L.links_of(nodes, L.R.EXCLUDED_SCHEMES, True, host)
     site = table(spark, folder, "pages", "url").select(host, path).distinct()
     wanted = F.when(~F.col("external"), F.regexp_extract(F.trim("href"), r"^[^?#]*", 0))
-    found = (
-        links.join(hosts, "doc_id")
-        .withColumn("_path", wanted)
-        .join(site.withColumn("_known", F.lit(True)), ["host", "_path"], "left")
+    found = links.withColumn("_path", wanted).join(
+        site.withColumn("_known", F.lit(True)), ["host", "_path"], "left"
     )
     return L.with_kind(found.withColumn("resolves", F.coalesce("_known", F.lit(False))))
 
@@ -158,18 +154,12 @@ def page_block_density(spark, folder):
 )
 def longest_href(spark, folder):
     pages = _pages(spark, folder, "page_id", "url", "html")
-    hosts = pages.select(
-        F.col("page_id").alias("doc_id"),
-        F.regexp_extract("url", r"^https?://([^/?#]*)", 1).alias("host"),
-    )
-    links = L.links_of(H.pages_to_nodes(pages, "page_id", "html", ("Link",)))
-    per_page = (
-        links.filter(~F.col("external")).groupBy("doc_id").agg(F.max("href_bytes").alias("longest"))
-    )
-    return (
-        per_page.join(hosts, "doc_id")
-        .groupBy("host")
-        .agg(F.max("longest").alias("longest"), F.count("*").alias("pages"))
+    host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1).alias("host")
+    nodes = H.pages_to_nodes(pages, "page_id", "html", ("Link",), ("url",))
+    inside = L.links_of(nodes, L.R.EXCLUDED_SCHEMES, True, host).filter(~F.col("external"))
+    per_page = inside.groupBy("host", "doc_id").agg(F.max("href_bytes").alias("longest"))
+    return per_page.groupBy("host").agg(
+        F.max("longest").alias("longest"), F.count("*").alias("pages")
     )
 
 
@@ -271,12 +261,10 @@ def symmetric_difference(spark, folder):
     pages = _pages(spark, folder, "page_id", "url", "html")
     host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1).alias("host")
     have = pages.select(host, F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1).alias("path"))
-    links = L.links_of(H.pages_to_nodes(pages, "page_id", "html", ("Link",)))
-    hosts = pages.select(F.col("page_id").alias("doc_id"), host)
-    named = (
-        links.filter(~F.col("external"))
-        .join(hosts, "doc_id")
-        .select("host", F.regexp_extract(F.trim("href"), r"^[^?#]*", 0).alias("path"))
+    nodes = H.pages_to_nodes(pages, "page_id", "html", ("Link",), ("url",))
+    links = L.links_of(nodes, L.R.EXCLUDED_SCHEMES, True, host)
+    named = links.filter(~F.col("external")).select(
+        "host", F.regexp_extract(F.trim("href"), r"^[^?#]*", 0).alias("path")
     )
     both = have.select("*", F.lit(1).alias("h"), F.lit(0).alias("n")).unionByName(
         named.select("*", F.lit(0).alias("h"), F.lit(1).alias("n"))

@@ -88,6 +88,26 @@ def candidate_states(spark, folder):
     )
 
 
+@query(
+    "candidate_attempts",
+    SQL_DERIVED
+    + """ SELECT path, state, CASE WHEN quality IS NOT NULL AND quality = 1 THEN CASE WHEN toxic = 1 THEN 'text-preservation' ELSE 'compatibility' END END AS boundary
+FROM derived JOIN cand USING (path) LEFT JOIN labels USING (doc_id)""",
+)
+def candidate_attempts(spark, folder):
+    """States with the last of two attempts per published source."""
+    published = _published(spark, folder)
+    tried = lambda at, boundary: published.select(
+        "source", "source_sha256", boundary.alias("boundary"), F.lit(at).alias("finished_at")
+    )
+    last = F.when(F.col("toxic") == 1, F.lit("text-preservation")).otherwise(F.lit("compatibility"))
+    attempts = tried("2020-01-01", F.lit("packaging-failure")).unionByName(tried("2020-01-02", last))
+    states = state.derive_state(
+        _candidates(spark, folder), _evidence(published), _artifacts(published)
+    )
+    return state.with_latest_attempt(states, attempts).select("path", "state", "boundary")
+
+
 @query(
     "evidence_problems",
     SQL_STATE

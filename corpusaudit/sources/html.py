@@ -7,6 +7,7 @@ begins, list items, table cells and links do not nest in their own kind.
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from corpusaudit.schema import NODES, SEGMENTS
 from corpusaudit.sources.rows import arrow_rows
@@ -251,20 +252,25 @@ def read_segments(doc_id, html):
     return [(doc_id, i, text) for i, text in enumerate(t for t in kept if t)]
 
 
-def pages_to_nodes(pages: DataFrame, key: str, html: str, kinds=None) -> DataFrame:
+def pages_to_nodes(pages: DataFrame, key: str, html: str, kinds=None, keep=()) -> DataFrame:
     """The ``nodes`` table of pages. Filter and prune ``pages`` first: nothing is pushed through.
 
     ``kinds`` names the kinds to emit where a job needs only some, such as links; positions
-    stay those of the whole page.
+    stay those of the whole page. ``keep`` names columns of the page to repeat on its nodes, which
+    saves a join back.
     """
     wanted = frozenset(kinds) if kinds else None
+    columns = (key, html, *keep)
 
-    def rows(doc_id, text):
+    def rows(doc_id, text, *kept):
         read = read_page(doc_id, text)
-        return read if wanted is None else [r for r in read if r[8] in wanted]
+        if wanted is not None:
+            read = [r for r in read if r[8] in wanted]
+        return [[*r, *kept] for r in read] if kept else read
 
-    chosen = pages.select(key, html)
-    return chosen.mapInArrow(arrow_rows(rows, NODES, (key, html)), NODES)
+    chosen = pages.select(*columns)
+    schema = StructType([*NODES.fields, *[chosen.schema[c] for c in keep]])
+    return chosen.mapInArrow(arrow_rows(rows, schema, columns), schema)
 
 
 def pages_to_segments(pages: DataFrame, key: str, html: str) -> DataFrame:
