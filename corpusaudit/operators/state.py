@@ -204,16 +204,20 @@ def select_routine(candidates: DataFrame, coverage: DataFrame) -> DataFrame:
     """Candidates to prepare, with ``partial`` set where any inbox was not covered.
 
     A candidate must be new or changed and have a display name nobody else has. Names are
-    counted before they meet the candidates, so a name half the corpus carries stays one row.
+    counted together with the one candidate a single name can have, so no row joins back and a
+    name half the corpus carries is folded before it is shuffled.
     """
-    names = candidates.groupBy("display_name").agg(F.count("*").alias("_names"))
-    single = names.filter(F.col("_names") == 1).select("display_name")
+    columns = candidates.columns
+    rest = [c for c in columns if c != "display_name"]
+    single = (
+        candidates.groupBy("display_name")
+        .agg(F.count("*").alias("_names"), F.min(F.struct(*rest)).alias("_c"))
+        .filter(F.col("_names") == 1)
+        .select("display_name", "_c.*")
+        .select(*columns)
+    )
     partial = coverage.agg(
         F.coalesce(F.bool_or(F.col("status") != "checked"), F.lit(False)).alias("partial")
     )
-    return (
-        candidates.filter(F.col("state").isin("new", "changed"))
-        .join(single, "display_name", "left_semi")
-        # One row: the flag of the whole run.
-        .crossJoin(F.broadcast(partial))
-    )
+    # One row: the flag of the whole run.
+    return single.filter(F.col("state").isin("new", "changed")).crossJoin(F.broadcast(partial))

@@ -301,26 +301,23 @@ def transform_log(spark, folder):
     )
 
 
-@query("raw_markup_balance")
-def raw_markup_balance(spark, folder):
-    """Raw markup dropped per document; pairing tags in a stack has no SQL twin."""
-    _, gone = W.balance_raw_html(W.working(_nodes(spark, folder, ("RawInline", "RawBlock"))))
-    return gone.groupBy("doc_id").agg(F.count("*").alias("dropped"))
-
-
-@query(
-    "raw_markup_dropped",
-    # With one kind of tag, what stays is what a stack pairs: an end tag finds a partner where
-    # the running balance, floored at zero, is above zero.
+# With one kind of tag, what stays is what a stack pairs: an end tag finds a partner where the
+# running balance, floored at zero, is above zero.
+_SQL_BALANCE = (
     _SQL_TOKENS
     + """, t AS (SELECT doc_id, ln, pos, CASE w WHEN 'que' THEN 1 ELSE -1 END AS d FROM word WHERE w IN ('que', 'los')),
 s AS (SELECT *, sum(d) OVER (PARTITION BY doc_id ORDER BY ln, pos) AS run FROM t),
 f AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY doc_id ORDER BY ln, pos)) AS level FROM s),
 e AS (SELECT doc_id, count(*) AS n, arg_max(level, (ln, pos)) AS left_open, -least(0, min(run)) AS no_start FROM f GROUP BY doc_id)
-SELECT doc_id, (left_open + no_start)::BIGINT AS dropped FROM e WHERE left_open + no_start > 0""",
+SELECT doc_id, (left_open + no_start)::BIGINT AS dropped FROM e WHERE left_open + no_start > 0"""
 )
-def raw_markup_dropped(spark, folder):
-    return raw_markup_balance(spark, folder)
+
+
+@query("raw_markup_balance", _SQL_BALANCE)
+def raw_markup_balance(spark, folder):
+    """Raw markup dropped per document, counted."""
+    _, gone = W.balance_raw_html(W.working(_nodes(spark, folder, ("RawInline", "RawBlock"))))
+    return gone.groupBy("doc_id").agg(F.count("*").alias("dropped"))
 
 
 @query(
