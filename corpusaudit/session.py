@@ -1,6 +1,5 @@
 """Session settings the jobs are written for, and where intermediate tables go."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +24,12 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    Only where no folder is named, as in tests on one machine, a local one is made and named.
+    Only where none is named, as in tests, a folder of the warehouse is taken, which every executor
+    of a session sees as well. Tables in it are not deleted: results may still be read from them.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
     return named.rstrip("/")
 
 
