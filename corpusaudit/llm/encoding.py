@@ -22,10 +22,11 @@ class Words(dict):
         self.tokenizer, self.keep, self.most = tokenizer(path), keep, most
 
     def learn(self, words: Iterable[bytes]) -> None:
-        new = [w for w in set(words) if w not in self]
+        words = set(words)
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(set(words))
+            new = list(words)
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
             texts = [w.decode("utf-8") for w in part]
