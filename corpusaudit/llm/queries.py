@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusaudit.llm import line_rules, sharding, tokens
+from corpusaudit.llm import decontamination, line_rules, packing, sharding, tokens
 from corpusaudit.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -13,6 +13,8 @@ ORACLES: dict[str, str] = {}
 SHARDS = 16
 SEED = 17
 TOKEN_LIMIT = 2048
+END_ID = 2
+CAPACITY = 1024
 
 
 def query(name: str, sql: str | None = None):
@@ -128,3 +130,17 @@ SELECT *, NOT base_failed AND n_words - n_removed_words >= 10 AND n_removed_word
 def op10(spark, folder):
     """Base measures and the verdict of the line rules for every document."""
     return line_rules.line_rules(documents(spark, folder, "doc_id", "text", "source"))
+
+
+@query("op3_benchmark_leaks")
+def op3(spark, folder):
+    """Benchmark items that documents hold, up to a tenth of their characters edited."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontamination.leaks(documents(spark, folder, "doc_id", "text"), items)
+
+
+@query("op5_best_fit_packing")
+def op5(spark, folder):
+    """Sequence and place of every piece of every document."""
+    docs = documents(spark, folder, "doc_id", "text")
+    return packing.packed_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY)
