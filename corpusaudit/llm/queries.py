@@ -3,9 +3,10 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusaudit.llm import decontamination, line_rules, packing, sharding, tokens
-from corpusaudit.llm.common import documents
+from corpusaudit.llm import decontamination, language, line_rules, packing, sharding, tokens, toxicity
+from corpusaudit.llm.common import crc_rest, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +145,24 @@ def op5(spark, folder):
     """Sequence and place of every piece of every document."""
     docs = documents(spark, folder, "doc_id", "text")
     return packing.packed_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY)
+
+
+@query("op7_language")
+def op7(spark, folder):
+    """Language of every document, learned from three quarters of them."""
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    held_out = crc_rest(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.filter(~held_out))
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return language.identify(rows, model, "text", "doc_id", "held_out")
+
+
+@query("op8_toxicity")
+def op8(spark, folder):
+    """Toxicity of every document, learned from four fifths of the labels."""
+    docs = documents(spark, folder, "doc_id", "text")
+    held_out = crc_rest(F.col("doc_id"), 5) == 0
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~held_out)
+    model = toxicity.fit(docs.filter(~held_out), labels)
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return toxicity.toxicity(rows, model, "text", "doc_id", "held_out")
