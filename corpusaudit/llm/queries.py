@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import decontamination, language, line_rules, packing, sharding, tokens, toxicity
+from corpusaudit.llm import decontamination, language, line_rules, packing, sharding, suffixes, tokens, toxicity
 from corpusaudit.llm.common import crc_rest, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,41 @@ def op8(spark, folder):
     model = toxicity.fit(docs.filter(~held_out), labels)
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     return toxicity.toxicity(rows, model, "text", "doc_id", "held_out")
+
+
+@query(
+    "op6_repeated_passages",
+    """
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+docs AS (SELECT doc_id, strlen(text) AS n, hex(encode(text)) AS hx FROM raw),
+strings AS (SELECT doc_id, i, substr(hx, 2 * i + 1, 100) AS s FROM (SELECT doc_id, hx, unnest(range(n - 49)) AS i FROM docs)),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s),
+gone AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE first < doc_id),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i <= 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM gone),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, string_agg(substr(hx, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS hx FROM (
+    SELECT doc_id, hx, coalesce(lag(s.b) OVER w, 0) AS a, s.a AS b FROM spans s JOIN docs USING (doc_id)
+    WINDOW w AS (PARTITION BY doc_id ORDER BY s.a)
+    UNION ALL
+    SELECT doc_id, any_value(hx), max(s.b), any_value(n) FROM spans s JOIN docs USING (doc_id) GROUP BY doc_id)
+  GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256
+FROM docs d LEFT JOIN sums USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""",
+)
+def op6(spark, folder):
+    """What every document loses to earlier ones, and a digest of what is left."""
+    found = suffixes.repeats(documents(spark, folder, "doc_id", "text"), 50)
+    removed = F.reduce("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
