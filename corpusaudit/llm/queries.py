@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import decontamination, language, line_rules, packing, sharding, suffixes, tokens, toxicity
+from corpusaudit.llm import decontamination, jaccard, language, line_rules, packing, sharding, suffixes, tokens, toxicity
 from corpusaudit.llm.common import crc_rest, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,9 @@ def op6(spark, folder):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op2_near_duplicate_join")
+def op2(spark, folder):
+    """Class, copies and links of every document at Jaccard 0.8 of five-word shingles."""
+    return jaccard.near_duplicates(documents(spark, folder, "doc_id", "text"), 0.8)
