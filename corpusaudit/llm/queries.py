@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import decontamination, jaccard, language, line_rules, packing, sharding, suffixes, tokens, toxicity
+from corpusaudit.llm import decontamination, jaccard, language, line_rules, maxent, packing, sharding, suffixes, tokens, toxicity
 from corpusaudit.llm.common import crc_rest, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +210,10 @@ def op6(spark, folder):
 def op2(spark, folder):
     """Class, copies and links of every document at Jaccard 0.8 of five-word shingles."""
     return jaccard.near_duplicates(documents(spark, folder, "doc_id", "text"), 0.8)
+
+
+@query("op1_maxent_scores")
+def op1(spark, folder):
+    """Log probability of every document, learned from six sevenths of them."""
+    held_out = crc_rest(F.col("doc_id"), 7) == 2
+    return maxent.scored(documents(spark, folder, "doc_id", "text"), held_out)
