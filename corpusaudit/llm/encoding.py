@@ -2,7 +2,6 @@
 
 import functools
 import os
-import re
 from collections.abc import Callable, Iterable
 
 from tokenizers import Tokenizer
@@ -16,17 +15,22 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Words(dict):
-    """Encoded words, filled by batches and emptied when full, so that memory is bounded."""
+    """Encoded words, filled by batches. Of the words not met lately half go when it is full."""
 
-    def __init__(self, path: str, keep: Callable, most: int = 300_000):
-        self.tokenizer, self.keep, self.most = tokenizer(path), keep, most
+    def __init__(self, path: str, keep: Callable, most: int):
+        self.tokenizer, self.keep, self.most, self.older = tokenizer(path), keep, most, {}
 
     def learn(self, words: Iterable[bytes]) -> None:
+        """Make sure that all these words are here."""
         words = set(words)
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
+        if len(self) + len(new) > self.most // 2:
+            self.older = dict(self)
             self.clear()
             new = list(words)
+        older = self.older
+        self.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in self]
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
             texts = [w.decode("utf-8") for w in part]
@@ -34,9 +38,17 @@ class Words(dict):
             self.update((w, self.keep(e.ids)) for w, e in zip(part, done, strict=True))
 
 
+@functools.cache
+def known_words(path: str, keep: Callable, most: int = 800_000) -> Words:
+    """The words of a worker process, which its next tasks find there."""
+    return Words(path, keep, most)
+
+
 #: White space that may stand inside a run, where a cut before a space would not be safe.
-UNSAFE = re.compile(
-    rb" [\x00-\x20]|[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80"
+UNSAFE = (
+    *(b" " + bytes([c]) for c in (9, 10, 11, 12, 13, 32)),
+    *(bytes([c]) for c in range(0x1C, 0x20)),
+    *(b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"),
 )
 
 
@@ -46,7 +58,7 @@ def spaced(text: bytes) -> list[bytes] | None:
     The cut before a single space is where such a tokenizer cuts anyway. None: the text holds runs
     of white space, and is to be encoded whole.
     """
-    if UNSAFE.search(text):
+    if any(x in text for x in UNSAFE):
         return None
     first, *rest = text.split(b" ")
     return [first, *[b" " + w for w in rest]]

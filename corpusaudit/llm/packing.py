@@ -1,6 +1,8 @@
 """Packing of encoded documents into sequences of one size."""
 
 import bisect
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.llm.common import rebatched, texts_of
-from corpusaudit.llm.encoding import Words, spaced
+from corpusaudit.llm.encoding import known_words, spaced
 from corpusaudit.llm.sharding import numbered
 from corpusaudit.session import materialise
 
@@ -16,7 +18,7 @@ BLOCK = 1 << 20
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
 
 
 def encoded_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, key="doc_id", text="text") -> DataFrame:
@@ -32,7 +34,7 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, key
     kind = dict(docs.dtypes)[key]
 
     def encode(batches):
-        known = Words(tokenizer, _bytes)
+        known = known_words(tokenizer, _bytes)
         last = _bytes([end])
         for batch in rebatched(batches, text, BLOCK):
             body, at = texts_of(batch.column(text))

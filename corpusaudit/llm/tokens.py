@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.llm.common import rebatched, texts_of
-from corpusaudit.llm.encoding import Words, spaced
+from corpusaudit.llm.encoding import Words, known_words, spaced
 
 #: A text of more bytes than a block is cut, at white space, into pieces of about a block.
 BLOCK = 1 << 20
@@ -26,7 +26,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key="doc_id", text="text", dro
     kind = dict(docs.dtypes)[key]
 
     def count(batches):
-        lengths = Words(tokenizer, len)
+        lengths = known_words(tokenizer, len)
         for batch in rebatched(batches, text, BLOCK):
             body, at = texts_of(batch.column(text))
             data = body.tobytes()
