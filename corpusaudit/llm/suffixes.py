@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusaudit.llm.common import blocks, groups, texts_of
 from corpusaudit.llm.hashing import mixed, span_hashes
@@ -280,9 +281,11 @@ def _numbers(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind) if values else np.zeros(0, kind)
 
 
-def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text") -> DataFrame:
+def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: str) -> DataFrame:
     """(key, n_bytes, spans, kept): the spans of each text that an earlier text has, and what is left.
 
+    With ``keep``, those columns come too, in a struct ``rest``.
+
     A byte goes if a string of ``size`` bytes over it also starts in a document with a smaller key.
     Strings are judged on the input, over the UTF-8 bytes of whole texts. Spans are arrays of
     (start, stop) in bytes, in order and apart.
@@ -298,9 +301,9 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text") -> DataF
     """
     spark = docs.sparkSession
     dealt = 2 * groups(spark)
-    kind = dict(docs.dtypes)[key]
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).alias("key"), body.alias("body")).withColumn("identity", F.xxhash64("key", "body"))
+    rest = [F.struct(*keep).alias("rest")] if keep else []
+    rows = docs.select(F.col(key).alias("key"), body.alias("body"), *rest).withColumn("identity", F.xxhash64("key", "body"))
     rows = rows.withColumn("part", F.pmod(F.col("identity"), F.lit(dealt)).cast("int"))
     ordered = rows.filter(F.col("key").isNotNull())
 
@@ -447,7 +450,6 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text") -> DataF
             "to_part", "copies", *[F.lit(None).cast("binary").alias(c) for c in ("identity", "start", "stop")]
         )
     )
-    out_type = {"bigint": pa.int64(), "int": pa.int32()}[kind]
 
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = Texts(left, skipped(right))
@@ -465,24 +467,53 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text") -> DataF
                 lists.append(_union(start[low[i] : high[i]].tolist(), stop[low[i] : high[i]].tolist()))
             left_over.append(kept_bytes(data[texts.at[i] : texts.at[i + 1]], lists[-1]))
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        keys = texts.table.column("key").cast(out_type)
-        return pa.table(
-            {
-                "key": keys,
-                "n_bytes": pa.array(np.diff(texts.at)),
-                "spans": pa.array(lists, spans_type),
-                "kept": pa.array(left_over, pa.binary()),
-            }
-        )
+        out = {
+            "key": texts.table.column("key"),
+            "n_bytes": pa.array(np.diff(texts.at)),
+            "spans": pa.array(lists, spans_type),
+            "kept": pa.array(left_over, pa.binary()),
+        }
+        return pa.table(out | ({"rest": texts.table.column("rest")} if keep else {}))
 
     span_type = "array<struct<start: long, stop: long>>"
-    done = by_part.cogroup(told.groupBy("to_part")).applyInArrow(applied, f"key {kind}, n_bytes long, spans {span_type}, kept binary")
     loose = rows.filter(F.col("key").isNull()).select(
-        "key", F.length("body").cast("long").alias("n_bytes"), F.array().cast(span_type).alias("spans"), F.col("body").alias("kept")
+        "key", F.length("body").cast("long").alias("n_bytes"), F.array().cast(span_type).alias("spans"), F.col("body").alias("kept"),
+        *(["rest"] if keep else []),
     )
+    done = by_part.cogroup(told.groupBy("to_part")).applyInArrow(applied, loose.schema)
     return done.unionByName(loose).withColumnRenamed("key", key)
 
 
+def without_repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", length: str | None = None) -> DataFrame:
+    """The documents, with all their columns, without what earlier ones have.
+
+    Characters that lose a byte go as a whole; texts of which nothing is left go with their rows.
+    Null and empty texts stay as they are. ``length`` names a column of the number of characters,
+    which is set anew.
+    """
+    other = [c for c in docs.columns if c not in (key, text)]
+    marked = docs.withColumn("_null", F.col(text).isNull())
+    found = repeats(marked, size, key, text, *other, "_null").filter("n_bytes = 0 or length(kept) > 0")
+    kind = found.schema["kept"]
+
+    def decode(batches):
+        at = None
+        for batch in batches:
+            at = batch.schema.names.index("kept") if at is None else at
+            texts = [None if v is None else v.decode("utf-8", "ignore") for v in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "kept", pa.array(texts, pa.string()))
+
+    fields = [f if f.name != "kept" else StructField("kept", StringType(), kind.nullable) for f in found.schema.fields]
+    read = found.mapInArrow(decode, StructType(fields))
+    whole = F.when(~F.col("rest._null"), F.col("kept")).cast(docs.schema[text].dataType)
+    columns = {key: F.col(key), text: whole} | {c: F.col("rest").getField(c) for c in other}
+    out = read.select(*[columns[c].alias(c) for c in docs.columns])
+    if length in out.columns:
+        fresh = F.char_length(text).cast(docs.schema[length].dataType)
+        out = out.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(fresh))
+    return out
+
+
 def _union(starts: list[int], stops: list[int]) -> list[dict]:
     out = []
     for a, b in zip(starts, stops, strict=True):
