@@ -131,6 +131,11 @@ def link_facts(links: DataFrame, keys=("doc_id",), block=("read_block",)) -> Dat
     )
 
 
+def over_all(facts: DataFrame, documents: DataFrame, *keys: str) -> DataFrame:
+    """Facts of every document: one that has none of what was counted has zeros, not no row."""
+    return documents.select(*keys).join(facts, list(keys), "left").fillna(0)
+
+
 def note_targets(links: DataFrame, key: str = "package_id") -> DataFrame:
     """(key, target_documents): in how many documents the note references of a package land."""
     landed = links.filter((F.col("marked") == "noteref") & F.col("target_document").isNotNull())

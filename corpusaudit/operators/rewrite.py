@@ -1057,7 +1057,7 @@ def lineage_check(repairs: DataFrame, profile: str) -> DataFrame:
         ("source-unreadable", ~local | F.col("observed_sha256").isNotNull()),
         ("source-changed", ~local | same("observed_sha256", "source_sha256")),
         ("baseline-mismatch", same("baseline_sha256", "stated_baseline_sha256")),
-        ("api-version-mismatch", same("api_version", "stated_api_version")),
+        ("pandoc-api-version-mismatch", same("api_version", "stated_api_version")),
     )
     reason = F.lit(None).cast("string")
     for name, holds in reversed(checks):

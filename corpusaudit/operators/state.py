@@ -69,10 +69,17 @@ def inbox_coverage(files: DataFrame) -> DataFrame:
 def artifact_damage(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Evidence with ``damage``: artifact-missing, -unreadable, -mismatched, or NULL for sound."""
     stored = artifacts.select(
-        F.col("path").alias("artifact"), F.col("sha256").alias("_now"), F.lit(True).alias("_there")
+        F.col("path").alias("artifact"), F.col("sha256").alias("_now"), F.lit(True).alias("_there"), F.lit(0).alias("_salt")
     )
+    # Rows that name no artifact find none; they are dealt out, not sent to one task by their NULL.
+    name = F.coalesce("artifact", F.lit(""))
+    salt = F.when(F.col("artifact").isNull(), 1 + F.pmod(F.xxhash64(*evidence.columns), F.lit(1 << 16)).cast("int")).otherwise(0)
+    stored = stored.withColumnRenamed("artifact", "_name")
     return (
-        evidence.join(stored, "artifact", "left")
+        evidence.withColumn("_name", name)
+        .withColumn("_salt", salt)
+        .join(stored, ["_name", "_salt"], "left")
+        .drop("_name", "_salt")
         .withColumn(
             "damage",
             F.when(F.col("_there").isNull(), F.lit("artifact-missing"))

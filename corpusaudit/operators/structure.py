@@ -41,8 +41,13 @@ def is_renumbered(start: Column, style: Column) -> Column:
     return restarted | ~F.coalesce(style, F.lit("")).isin(*DECIMAL_STYLES)
 
 
-def measure(nodes: DataFrame) -> DataFrame:
-    """One row per document: everything a reader meets, counted in one pass."""
+def measure(nodes: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row per document: everything a reader meets, counted in one pass.
+
+    With ``documents``, those without any node have a row of zeros.
+    """
+    if documents is not None:
+        return documents.select("doc_id").join(measure(nodes), "doc_id", "left").fillna(0)
     kind, measured = F.col("kind"), F.col("measured")
     count = lambda c: F.count_if(measured & c)
     lists = kind == "OrderedList"
@@ -63,6 +68,13 @@ def measure(nodes: DataFrame) -> DataFrame:
     )
 
 
+def visible_glyphs(names) -> Column:
+    """Sum over nodes: how often the named code points occur in visible text."""
+    shown = F.col("text_seg").isNotNull() & F.col("text").isNotNull() & ~F.col("kind").isin(*tree.RAW)
+    each = [glyph_count(F.col("text"), codepoint(n)) for n in names]
+    return F.coalesce(F.sum(F.when(shown, sum(each[1:], each[0]))), F.lit(0))
+
+
 def heading_levels(nodes: DataFrame) -> DataFrame:
     """(doc_id, level, n) of measured headings."""
     heads = nodes.filter((F.col("kind") == "Header") & F.col("measured"))

@@ -77,7 +77,7 @@ o AS (SELECT *, CASE WHEN n > 12 THEN 'oversize' WHEN n > 10 THEN 'http-error' E
 SELECT page_id, NOT bool_or(outcome <> 'retrieved') AS retrieved, bool_or(outcome <> 'retrieved') AS failed FROM o GROUP BY page_id""",
 )
 def retrieval_status(spark, folder):
-    pages = table(spark, folder, "pages", "page_id", "html", spread=True)
+    pages = table(spark, folder, "pages", "page_id", "html")
     links = L.links_of(pages_to_nodes(pages, "page_id", "html", ("Link",)))
     seen = L.distinct_locators(links, "doc_id", "href", "node").select(
         "doc_id", F.col("href").alias("locator"), F.col("first").alias("ord")
@@ -107,7 +107,7 @@ def _noted_pages(spark, folder):
 
     French pages lost their notes, German ones their references, Spanish ones the last note.
     """
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     text = F.regexp_replace("text", r"[<>&]", " ")
     lines = F.split(text, "\n")
     ref = F.when(F.col("lang") == "de", F.lit("")).otherwise(
@@ -192,7 +192,7 @@ def repair_lineage(spark, folder):
 )
 def conformance_results(spark, folder):
     """Every ``!`` of a text as an error and every ``?`` as a warning of a checker's output."""
-    docs = table(spark, folder, "documents", "doc_id", "text", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text")
     marks = F.regexp_extract_all("text", F.lit("[!?]"), F.lit(0))
     message = lambda m, i: F.struct(
         F.concat(F.lit("M-"), m).alias("ID"),

@@ -65,7 +65,7 @@ def _zip(package_id, members):
 
 def _archives(spark, folder):
     """(package_id, content): one archive per document."""
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     text = F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(char), F.lit(entity))
@@ -339,8 +339,8 @@ SELECT doc_id AS package_id, unnest(['recorded-links-per-block', 'footnote-href-
           CASE WHEN broken THEN 'unknown' WHEN lines + 1 > 1024 THEN 'false' ELSE 'true' END]) AS verdict FROM v""",
 )
 def package_verdicts(spark, folder):
-    nodes, records, _, links = _package_links(spark, folder)
-    verdicts = V.evaluate(V.instruments_of(_artifact_facts(nodes, records, links)), "package_id")
+    nodes, records, current, links = _package_links(spark, folder)
+    verdicts = V.evaluate(V.instruments_of(_artifact_facts(current, nodes, records, links)), "package_id")
     return verdicts.filter(
         F.col("requirement_id").isin(
             "recorded-links-per-block", "footnote-href-length", "anchors-per-chapter"
@@ -348,8 +348,8 @@ def package_verdicts(spark, folder):
     ).select("package_id", "requirement_id", "verdict")
 
 
-def _artifact_facts(nodes, records, links):
-    """One row of measured facts per package."""
+def _artifact_facts(packages, nodes, records, links):
+    """One row of measured facts per package, also of those without any content document."""
     facts = L.link_facts(links, ("package_id",), ("document", "read_block"))
     order = K.spine_paths(records).filter(F.col("target").isNotNull())
     chapters = order.select("package_id", F.col("target").alias("document")).distinct()
@@ -362,7 +362,11 @@ def _artifact_facts(nodes, records, links):
     state = nodes.groupBy("package_id").agg(F.bool_and("well_formed").alias("complete"))
     count = chapters.groupBy("package_id").agg(F.count("*").alias("chapters"))
     joined = (
-        state.join(count, "package_id", "left")
+        packages.select("package_id")
+        .distinct()
+        .join(state, "package_id", "left")
+        .withColumn("complete", F.coalesce("complete", F.lit(True)))  # no document, none unread
+        .join(count, "package_id", "left")
         .join(anchors, "package_id", "left")
         .join(facts, "package_id", "left")
     )
@@ -377,8 +381,8 @@ SELECT doc_id AS package_id, name, applicability, fired FROM (SELECT doc_id, unn
   unnest([false, inside > 0]) AS applicability, unnest([CASE WHEN whole THEN false END, NULL]) AS fired FROM o)""",
 )
 def package_navigation_observations(spark, folder):
-    nodes, records, _, links = _package_links(spark, folder)
-    seen = O.navigation_observations(_artifact_facts(nodes, records, links), key="package_id")
+    nodes, records, current, links = _package_links(spark, folder)
+    seen = O.navigation_observations(_artifact_facts(current, nodes, records, links), key="package_id")
     return seen.select("package_id", "name", "applicability", "fired")
 
 
@@ -392,8 +396,8 @@ SELECT doc_id AS package_id, CASE WHEN lang = 'de' THEN 'malformed-content-docum
 )
 def package_refusals(spark, folder):
     """The first boundary of each book; dead links stand in for lost words here."""
-    nodes, records, _, links = _package_links(spark, folder)
-    facts = _artifact_facts(nodes, records, links)
+    nodes, records, current, links = _package_links(spark, folder)
+    facts = _artifact_facts(current, nodes, records, links)
     verdicts = V.evaluate(V.instruments_of(facts), "package_id")
     refused = V.refusals(verdicts, "package_id").withColumn("_no", F.lit(True))
     no = F.lit(False)
@@ -412,7 +416,7 @@ def package_refusals(spark, folder):
 )
 def inline_references(spark, folder):
     """Texts as inline references: base64, percent form, and two kinds of broken ones."""
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     b64 = F.base64(F.encode("text", "UTF-8"))
     src = (
         F.when(F.col("lang") == "en", F.concat(F.lit("data:text/plain;base64,"), b64))

@@ -4,16 +4,19 @@ from pyspark.sql import functions as F
 
 from corpusaudit.functions import refs as R
 from corpusaudit.functions import text as X
+from corpusaudit.functions.text import codepoint
 from corpusaudit.operators import links as L
 from corpusaudit.operators import observations as O
 from corpusaudit.operators import structure as S
 from corpusaudit.operators import verdicts as V
 from corpusaudit.plans.tables import SQL_WS, query, table
+from corpusaudit.rules import GLYPHS
+from corpusaudit.session import materialise
 from corpusaudit.sources import html as H
 
 
 def _pages(spark, folder, *columns):
-    return table(spark, folder, "pages", *(columns or ("page_id", "html")), spread=True)
+    return table(spark, folder, "pages", *(columns or ("page_id", "html")))
 
 
 def _nodes(spark, folder, kinds=None):
@@ -78,13 +81,22 @@ def _site_links(spark, folder):
     nodes = H.pages_to_nodes(pages, "page_id", "html", ("Link",), ("url",))
     links = L.links_of(nodes, L.R.EXCLUDED_SCHEMES, True, host)
     site = table(spark, folder, "pages", "url").select(host, path).distinct()
-    wanted = F.when(~F.col("external"), F.regexp_extract(F.trim("href"), r"^[^?#]*", 0))
-    found = links.withColumn("_path", wanted).join(
-        site.withColumn("_known", F.lit(True)), ["host", "_path"], "left"
+    # External links look nothing up: they are dealt out by a salt that no page of a site has.
+    salt = F.when(F.col("external"), 1 + F.pmod(F.xxhash64("doc_id", "node"), F.lit(1 << 16))).otherwise(F.lit(0))
+    found = (
+        links.withColumn("_path", F.regexp_extract(F.trim("href"), r"^[^?#]*", 0))
+        .withColumn("_salt", salt)
+        .join(
+            site.withColumns({"_known": F.lit(True), "_salt": F.lit(0).cast("long")}), ["host", "_path", "_salt"], "left"
+        )
     )
     return L.with_kind(found.withColumn("resolves", F.coalesce("_known", F.lit(False))))
 
 
+def _every_page(spark, folder):
+    return table(spark, folder, "pages", "page_id").withColumnRenamed("page_id", "doc_id")
+
+
 @query(
     "page_links_by_kind",
     _SQL_RESOLVED
@@ -111,15 +123,16 @@ def page_dead_links(spark, folder):
     _SQL_RESOLVED
     + """, f AS (SELECT page_id, external, resolves, NOT external AND trim(label) <> '' AS recorded,
                       strlen(href) AS bytes FROM kinds)
-SELECT page_id, count(*) AS links, count(*) FILTER (recorded) AS recorded,
+SELECT page_id, count(external) AS links, count(*) FILTER (recorded) AS recorded,
   coalesce(max(bytes) FILTER (recorded), 0)::BIGINT AS max_href_bytes,
   count(*) FILTER (external) AS web_link, count(*) FILTER (NOT external AND NOT resolves) AS dead_link,
   count(*) FILTER (NOT external AND resolves) AS cross_reference,
   count(*) FILTER (recorded AND NOT resolves) AS unresolved_recorded
-FROM f GROUP BY page_id""",
+FROM pages LEFT JOIN f USING (page_id) GROUP BY page_id""",
 )
 def page_link_facts(spark, folder):
-    return L.link_facts(_site_links(spark, folder)).select(
+    facts = L.over_all(L.link_facts(_site_links(spark, folder)), _every_page(spark, folder), "doc_id")
+    return facts.select(
         F.col("doc_id").alias("page_id"),
         "links",
         "recorded",
@@ -138,12 +151,9 @@ def page_link_facts(spark, folder):
     None,
 )
 def page_block_density(spark, folder):
-    facts = L.link_facts(
-        L.links_of(_nodes(spark, folder, ("Link",)))
-        .withColumn("resolves", F.lit(False))
-        .transform(L.with_kind)
-    )
-    return facts.select("doc_id", "max_per_block", "max_non_footnote_per_block", "recorded")
+    facts = L.link_facts(_site_links(spark, folder))
+    every = L.over_all(facts, _every_page(spark, folder), "doc_id")
+    return every.select("doc_id", "max_per_block", "max_non_footnote_per_block", "recorded")
 
 
 @query(
@@ -216,12 +226,14 @@ def page_words(spark, folder):
 
 @query(
     "page_heading_text",
-    f"""SELECT page_id, trim(regexp_replace({_sql_decoded('raw')}, '{SQL_WS}+', ' ', 'g')) AS label
-FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1)) AS raw FROM pages)""",
+    f"""SELECT page_id, level, trim(regexp_replace({_sql_decoded('raw')}, '{SQL_WS}+', ' ', 'g')) AS label
+FROM (SELECT page_id, level::INTEGER AS level, unnest(regexp_extract_all(html, '(?s)<h[1-6](?: [^>]*)?>.*?</h[1-6]>')) AS whole,
+  regexp_replace(whole, '(?s)^<h[1-6][^>]*>|</h[1-6]>$', '', 'g') AS raw FROM pages, range(1, 7) l(level))
+WHERE substr(whole, 3, 1) = level::VARCHAR""",
 )
 def page_heading_text(spark, folder):
-    heads = _nodes(spark, folder, ("Header",)).filter("level = 1")
-    return heads.select(F.col("doc_id").alias("page_id"), "label")
+    heads = _nodes(spark, folder, ("Header",))
+    return heads.select(F.col("doc_id").alias("page_id"), "level", "label")
 
 
 @query(
@@ -276,31 +288,45 @@ def symmetric_difference(spark, folder):
 
 
 def _page_facts(spark, folder):
-    links = L.link_facts(_site_links(spark, folder))
-    return links.select(
+    """What is measured of each page: links, block maxima and identifiers; a page is one chapter."""
+    pages = _pages(spark, folder)
+    nodes = materialise(H.pages_to_nodes(pages, "page_id", "html", ("Link",), (), True))
+    anchors = L.anchors_of(nodes)
+    links = L.link_facts(L.resolve_in_document(L.links_of(nodes), anchors))
+    counted = L.anchor_counts(nodes).withColumnRenamed("anchors", "max_anchors")
+    every = pages.select(F.col("page_id").alias("doc_id"), F.col("html").isNotNull().alias("complete"))
+    return L.over_all(links, every, "doc_id").join(every, "doc_id").join(counted, "doc_id", "left").select(
         "doc_id",
         "recorded",
         "max_per_block",
         "max_href_bytes",
-        F.lit(0).cast("bigint").alias("max_anchors"),
+        F.coalesce("max_anchors", F.lit(0).cast("bigint")).alias("max_anchors"),
         F.lit(1).alias("chapters"),
-        F.lit(True).alias("complete"),
+        "complete",
     )
 
 
-@query(
-    "page_verdicts",
+# Pages, with what they measure: identifiers, and recorded links of which a block holds some at most.
+_SQL_PAGE_FACTS = (
     _SQL_LINKS
-    + """, m AS (SELECT page_id, count(*) FILTER (NOT external AND trim(label) <> '') AS recorded,
-     max(strlen(href)) FILTER (NOT external AND trim(label) <> '') AS bytes FROM facts GROUP BY page_id)
-SELECT page_id, requirement_id, CASE requirement_id WHEN 'anchors-per-chapter' THEN 'true'
-  WHEN 'footnotes-per-screen' THEN 'unevaluable'
-  WHEN 'footnote-href-length' THEN CASE WHEN recorded = 0 THEN 'not_applicable' WHEN bytes <= 96 THEN 'true' ELSE 'false' END
-  WHEN 'recorded-links-per-block' THEN CASE WHEN recorded = 0 THEN 'not_applicable' ELSE 'true' END
-  ELSE 'unknown' END AS verdict
-FROM m, (VALUES ('anchors-per-chapter'), ('footnotes-per-screen'), ('footnote-href-length'),
-  ('recorded-links-per-block'), ('image-media-type'), ('png-decoding'), ('jpeg-decoding')) r(requirement_id)""",
+    + """, s AS (SELECT page_id, count(*) FILTER (NOT external AND trim(label) <> '') AS recorded,
+     max(strlen(href)) FILTER (NOT external AND trim(label) <> '') AS bytes FROM facts GROUP BY page_id),
+m AS (SELECT page_id, html IS NOT NULL AS complete, coalesce(recorded, 0) AS recorded, coalesce(bytes, 0) AS bytes,
+     coalesce(len(regexp_extract_all(html, '<[a-zA-Z][^>]* id="[^"]+"')), 0) AS anchors FROM pages LEFT JOIN s USING (page_id)),
+v AS (SELECT page_id, requirement_id, CASE
+  WHEN requirement_id = 'footnotes-per-screen' THEN 'unevaluable'
+  WHEN requirement_id NOT IN ('anchors-per-chapter', 'footnote-href-length', 'recorded-links-per-block') THEN 'unknown'
+  WHEN requirement_id <> 'anchors-per-chapter' AND recorded = 0 THEN 'not_applicable'
+  WHEN NOT complete THEN 'unknown'
+  WHEN requirement_id = 'anchors-per-chapter' THEN CASE WHEN anchors <= 1024 THEN 'true' ELSE 'false' END
+  WHEN requirement_id = 'footnote-href-length' THEN CASE WHEN bytes <= 96 THEN 'true' ELSE 'false' END
+  WHEN recorded <= 128 THEN 'true' ELSE 'measure the block' END AS verdict
+  FROM m, (VALUES ('anchors-per-chapter'), ('footnotes-per-screen'), ('footnote-href-length'),
+  ('recorded-links-per-block'), ('image-media-type'), ('png-decoding'), ('jpeg-decoding')) r(requirement_id))"""
 )
+
+
+@query("page_verdicts", _SQL_PAGE_FACTS + " SELECT page_id, requirement_id, verdict FROM v")
 def page_verdicts(spark, folder):
     verdicts = V.evaluate(V.instruments_of(_page_facts(spark, folder)))
     return verdicts.select(F.col("doc_id").alias("page_id"), "requirement_id", "verdict")
@@ -308,11 +334,9 @@ def page_verdicts(spark, folder):
 
 @query(
     "page_verdict_summary",
-    _SQL_LINKS
-    + """, m AS (SELECT page_id, count(*) FILTER (NOT external AND trim(label) <> '') AS recorded,
-     max(strlen(href)) FILTER (NOT external AND trim(label) <> '') AS bytes FROM facts GROUP BY page_id)
-SELECT page_id, CASE WHEN recorded > 0 AND bytes > 96 THEN 'false' ELSE 'unknown' END AS verdict,
-       CASE WHEN recorded > 0 AND bytes > 96 THEN ['footnote-href-length'] END AS refused FROM m""",
+    _SQL_PAGE_FACTS
+    + """ SELECT page_id, CASE WHEN bool_or(verdict = 'false') THEN 'false' ELSE 'unknown' END AS verdict,
+  list(requirement_id ORDER BY requirement_id) FILTER (verdict = 'false') AS refused FROM v GROUP BY page_id""",
 )
 def page_verdict_summary(spark, folder):
     verdicts = V.evaluate(V.instruments_of(_page_facts(spark, folder)))
@@ -324,51 +348,44 @@ def page_verdict_summary(spark, folder):
 
 @query(
     "page_verdict_rollup",
-    _SQL_LINKS
-    + """, m AS (SELECT page_id, count(*) FILTER (NOT external AND trim(label) <> '') AS recorded,
-     max(strlen(href)) FILTER (NOT external AND trim(label) <> '') AS bytes FROM facts GROUP BY page_id),
-v AS (SELECT 'footnote-href-length' AS requirement_id, CASE WHEN recorded = 0 THEN 'not_applicable'
-        WHEN bytes <= 96 THEN 'true' ELSE 'false' END AS verdict FROM m
-      UNION ALL SELECT 'recorded-links-per-block', CASE WHEN recorded = 0 THEN 'not_applicable' ELSE 'true' END FROM m)
-SELECT requirement_id, verdict, count(*) AS n FROM v GROUP BY ROLLUP (requirement_id, verdict)""",
+    _SQL_PAGE_FACTS + " SELECT requirement_id, verdict, count(*) AS n FROM v GROUP BY ROLLUP (requirement_id, verdict)",
 )
 def page_verdict_rollup(spark, folder):
     verdicts = V.evaluate(V.instruments_of(_page_facts(spark, folder)))
-    wanted = verdicts.filter(
-        F.col("requirement_id").isin("footnote-href-length", "recorded-links-per-block")
-    )
-    return V.verdict_rollup(wanted, "requirement_id", "verdict")
+    return V.verdict_rollup(verdicts, "requirement_id", "verdict")
+
+
+_SQL_GLYPHS = " + ".join(f"len(regexp_extract_all(text, '{codepoint(g)}'))" for g in GLYPHS)
 
 
 @query(
     "page_observations",
-    f"""WITH b AS (SELECT page_id, {_SQL_BODY} AS body, html FROM pages)
-SELECT page_id, name, applicability, fired FROM (SELECT page_id,
-  unnest(['boundary-chrome-presence', 'code-block-reflow', 'link-footnote-dilution', 'ordered-list-numbering-loss',
-          'table-relationship-loss', 'unrenderable-images']) AS name,
-  unnest([true, true, len(regexp_extract_all(body, '<a href="(/|\\.|#|[^a-z])')) > 0, false, true, false]) AS applicability,
-  unnest([NULL, false, NULL, false, false, NULL]) AS fired FROM b)""",
+    f"""WITH b AS (SELECT page_id, {_SQL_BODY} AS body, html FROM pages),
+c AS (SELECT page_id, body, regexp_replace(body, '(?s)<[^>]*>', '', 'g') AS text FROM b),
+k AS (SELECT page_id, len(regexp_extract_all(body, '<a href="(/|\\.|#|[^a-z])')) AS inside, len(regexp_extract_all(body, '<ol[ >]')) AS lists,
+  len(regexp_extract_all(body, '<(?:s|del|strike)[ >]')) AS struck, len(regexp_extract_all(body, '<table[ >]')) AS tables,
+  len(regexp_extract_all(body, '<pre[ >]')) AS code, len(regexp_extract_all(body, '<img[ >]')) AS images,
+  len(regexp_extract_all(body, 'pagebreak')) AS breaks, {_SQL_GLYPHS} AS glyphs FROM c)
+SELECT page_id, name, coalesce(applicability, name NOT IN ('ordered-list-numbering-loss', 'unrenderable-images', 'alt-text-fallback-absence',
+  'colour-meaning-collapse', 'diagram-text-legibility', 'footnote-target-reliability', 'link-footnote-dilution')) AS applicability, fired
+FROM (SELECT page_id,
+  unnest(['ordered-list-numbering-loss', 'page-break-content-destruction', 'unrenderable-images', 'alt-text-fallback-absence',
+   'colour-meaning-collapse', 'strikethrough-inversion', 'table-relationship-loss', 'code-block-reflow', 'boundary-chrome-presence',
+   'unrenderable-glyphs', 'diagram-text-legibility', 'footnote-target-reliability', 'link-footnote-dilution']) AS name,
+  unnest([lists > 0, true, images > 0, images > 0, images > 0, true, true, true, true, true, images > 0, false, inside > 0]) AS applicability,
+  unnest([false, coalesce(breaks, 0) > 0, NULL, NULL, NULL, coalesce(struck, 0) > 0, coalesce(tables, 0) > 0, coalesce(code, 0) > 0, NULL,
+   coalesce(glyphs, 0) > 0, NULL, NULL, NULL]) AS fired FROM k)""",
 )
 def page_observations(spark, folder):
-    nodes = _nodes(spark, folder)
-    facts = S.measure(nodes)
-    links = L.link_facts(
-        L.links_of(nodes).withColumn("resolves", F.lit(False)).transform(L.with_kind)
-    ).select("doc_id", "recorded", "max_per_block")
-    zero = F.lit(0).cast("bigint")
-    facts = facts.join(links, "doc_id", "left").select(
-        *facts.columns,
-        F.coalesce("recorded", zero).alias("recorded"),
-        F.coalesce("max_per_block", zero).alias("max_per_block"),
-        *[zero.alias(c) for c in ("strikeouts", "tables", "code_blocks", "glyphs")],
-    )
-    wanted = (
-        "boundary-chrome-presence",
-        "code-block-reflow",
-        "link-footnote-dilution",
-        "ordered-list-numbering-loss",
-        "table-relationship-loss",
-        "unrenderable-images",
+    nodes = materialise(_nodes(spark, folder))
+    links = L.link_facts(L.resolve_in_document(L.links_of(nodes), L.anchors_of(nodes)))
+    of_kind = lambda k: F.count_if(F.col("measured") & (F.col("kind") == k))
+    kinds = nodes.groupBy("doc_id").agg(
+        of_kind("Strikeout").alias("strikeouts"),
+        of_kind("Table").alias("tables"),
+        of_kind("CodeBlock").alias("code_blocks"),
+        S.visible_glyphs(GLYPHS).alias("glyphs"),
     )
-    seen = O.source_observations(facts, wanted)
+    facts = S.measure(nodes).join(kinds, "doc_id").join(links.select("doc_id", "recorded", "max_per_block"), "doc_id", "left")
+    seen = O.source_observations(L.over_all(facts, _every_page(spark, folder), "doc_id"))
     return seen.select(F.col("doc_id").alias("page_id"), "name", "applicability", "fired")

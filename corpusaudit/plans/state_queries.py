@@ -18,13 +18,13 @@ PATH = "concat('/inbox/', source, '/', doc_id, '.md')"
 
 
 def _candidates(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", "source", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "source")
     return docs.select(F.expr(PATH).alias("path"), F.sha2("text", 256).alias("sha256"))
 
 
 def _published(spark, folder):
     """Documents with a label, and what their label says happened since."""
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang", "source", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang", "source")
     rows = docs.join(table(spark, folder, "labels"), "doc_id").select(
         "doc_id",
         "lang",
@@ -233,7 +233,7 @@ SELECT path, state, display_name, partial FROM named SEMI JOIN one USING (displa
 WHERE state IN ('new', 'changed')""",
 )
 def routine_selection(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", "source", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "source")
     names = docs.select(
         F.expr(PATH).alias("path"),
         F.sha2("text", 256).alias("sha256"),
@@ -267,7 +267,7 @@ FROM documents"""
 
 def _titled(spark, folder):
     """Books titled by their first words; copies and near copies compete for one name."""
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     return docs.select(
         F.col("doc_id").alias("ord"),
         F.concat(F.regexp_extract("text", r"^[^.\n]{0,24}", 0), F.col("lang")).alias("title"),
@@ -326,7 +326,7 @@ SELECT doc_id, coalesce(nullif(regexp_replace(left(plain, coalesce(list_max(list
   '^[ .]+|[ .]+$', '', 'g'), ''), 'book') AS base FROM b""",
 )
 def portable_bases(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text")
     title = F.regexp_extract("text", r"^[^\n]*", 0)
     return docs.select("doc_id", N.portable_base(title).alias("base"))
 
@@ -337,7 +337,7 @@ def portable_bases(spark, folder):
          AS key, 'urn:sha256:' || sha256(text) AS identity FROM documents""",
 )
 def provenance_keys(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", "source", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "source")
     digest = F.sha2("text", 256)
     return docs.select(
         "doc_id",
@@ -355,7 +355,7 @@ SELECT doc_id, ident, CASE WHEN strlen(ident) <= 77 THEN ident ELSE
   || '-' || left(sha256(ident), 8) END AS bounded FROM t""",
 )
 def bounded_ids(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text")
     ident = F.lower(F.regexp_replace(F.regexp_extract("text", r"^[^\n]*", 0), "[ .]+", "-"))
     return docs.select("doc_id", ident.alias("ident")).withColumn(
         "bounded", N.bounded_identifier(F.col("ident"), 96)
@@ -434,7 +434,7 @@ SELECT c.path, CASE WHEN NOT is_file THEN 'unusable-ready-artifact'
 FROM chosen c LEFT JOIN ev ON ev.artifact = c.path""",
 )
 def deliverable(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     chosen = docs.select(
         F.concat(
             F.when(F.col("lang") == "es", F.lit("/other/")).otherwise(F.lit("/ready/")),

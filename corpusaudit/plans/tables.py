@@ -10,26 +10,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-# An input under this many bytes per core has too few splits to keep the cores busy.
-SPREAD_BELOW = 16 << 20
-
-
-def table(spark: SparkSession, folder: str, name: str, *columns: str, spread=False) -> DataFrame:
-    """Read one table with only the named columns.
-
-    ``spread`` is for work that is heavy per row: an input too small to split is dealt out over
-    the cores. The size is looked up first, and a large input is never shuffled for this.
-    """
-    where = f"{folder}/{name}.parquet"
-    df = spark.read.parquet(where)
-    df = df.select(*columns) if columns else df
-    if spread:
-        path = spark._jvm.org.apache.hadoop.fs.Path(where)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        cores = spark.sparkContext.defaultParallelism
-        if files.getContentSummary(path).getLength() < cores * SPREAD_BELOW:
-            df = df.repartition(cores)
-    return df
+def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Read one table with only the named columns."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
 
 def query(name: str, sql: str | None = None):

@@ -13,7 +13,7 @@ _DECLARED_SQL = "(VALUES ('the', 2), ('of', 1), ('and', 50)) t(token, allowed)"
 
 
 def _docs(spark, folder, *columns):
-    return table(spark, folder, "documents", *columns, spread="text" in columns)
+    return table(spark, folder, "documents", *columns)
 
 
 def _pairs(spark, folder):

@@ -8,14 +8,18 @@ links nowhere; ``les``, ``der`` are struck out; ``que``, ``los`` are raw markup.
 
 from pyspark.sql import functions as F
 
+from corpusaudit.functions.text import codepoint
+from corpusaudit.operators import links as LK
 from corpusaudit.operators import observations as O
 from corpusaudit.operators import preservation as P
 from corpusaudit.operators import rewrite as W
 from corpusaudit.operators import structure as S
 from corpusaudit.operators import verdicts as V
 from corpusaudit.plans.tables import query, sql_words, table
+from corpusaudit.rules import GLYPHS
 from corpusaudit.session import materialise
-from corpusaudit.sources.tree import trees_to_nodes
+from corpusaudit.sources.tree import MAX_DEPTH, trees_to_nodes
+from corpusaudit.sources.tree import tree_refusals as refused_trees
 
 _STR = '{"t":"Str","c":"%s"}'
 _EMPTY = '["",[],[]]'
@@ -51,7 +55,7 @@ def _words(line, anchor):
 
 
 def _trees(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang", spread=True)
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     lines = F.split("text", "\n")
     docs = docs.withColumn("lines", lines)
     first = F.element_at("lines", 1)
@@ -120,7 +124,7 @@ def tree_constructs(spark, folder):
   1::BIGINT AS headings, (anchor <> '')::BIGINT AS identifiers, 0::BIGINT AS images FROM n""",
 )
 def tree_measures(spark, folder):
-    return S.measure(_nodes(spark, folder)).select(
+    return S.measure(_nodes(spark, folder), table(spark, folder, "documents", "doc_id")).select(
         "doc_id", "blocks", "notes", "links", "headings", "identifiers", "images"
     )
 
@@ -381,11 +385,10 @@ def _source_facts(spark, folder):
         F.count_if(F.col("kind") == "Strikeout").alias("strikeouts"),
         F.count_if(F.col("kind") == "Table").alias("tables"),
         F.count_if(F.col("kind") == "CodeBlock").alias("code_blocks"),
-        F.count_if(F.col("text") == "→").alias("glyphs"),
+        S.visible_glyphs(GLYPHS).alias("glyphs"),
     )
     facts = S.measure(nodes).join(kinds, "doc_id").join(per_block, "doc_id", "left")
-    extra = ("recorded", "max_per_block", "max_href_bytes", "unresolved_recorded")
-    return facts.fillna(0, list(extra))
+    return LK.over_all(facts, table(spark, folder, "documents", "doc_id"), "doc_id")
 
 
 _SQL_PROJECTED = (
@@ -421,9 +424,11 @@ def projected_verdicts(spark, folder):
    'colour-meaning-collapse', 'strikethrough-inversion', 'table-relationship-loss', 'code-block-reflow', 'boundary-chrome-presence',
    'unrenderable-glyphs', 'diagram-text-legibility', 'footnote-target-reliability', 'link-footnote-dilution']) AS name,
   unnest([false, true, false, false, false, true, true, true, true, true, false, notes > 0, xref + dead > 0]) AS applicability,
-  unnest([false, false, NULL, NULL, NULL, struck > 0, false, false, NULL, false, NULL, NULL, NULL]) AS fired,
-  unnest([0, 0, NULL, 0, NULL, struck, 0, 0, NULL, 0, NULL, NULL, coalesce(top, 0)])::BIGINT AS value
-FROM n LEFT JOIN top USING (doc_id))""",
+  unnest([false, false, NULL, NULL, NULL, struck > 0, false, false, NULL, glyphs > 0, NULL, NULL, NULL]) AS fired,
+  unnest([0, 0, NULL, 0, NULL, struck, 0, 0, NULL, glyphs, NULL, NULL, coalesce(top, 0)])::BIGINT AS value
+FROM n LEFT JOIN top USING (doc_id) JOIN (SELECT doc_id, """
+    + " + ".join(f"len(regexp_extract_all(text, '{codepoint(g)}'))" for g in GLYPHS)
+    + """ AS glyphs FROM documents) g USING (doc_id))""",
 )
 def source_observations(spark, folder):
     seen = O.source_observations(_source_facts(spark, folder))
@@ -442,3 +447,25 @@ def judgement_worklist(spark, folder):
     facts = _source_facts(spark, folder)
     merged = O.merge_observations(facts.select("doc_id"), [O.source_observations(facts)])
     return O.worklist(merged, link_interlock(spark, folder)).select("doc_id", "item", "owner")
+
+
+@query(
+    "tree_refusals",
+    _SQL_TOKENS
+    + """ SELECT doc_id, CASE length(text) % 8 WHEN 0 THEN 'not-json' WHEN 1 THEN 'not-an-object' WHEN 2 THEN 'not-json' WHEN 3 THEN 'too-deep' END AS reason,
+  CASE WHEN length(text) % 8 > 3 THEN 1 + lines + notes ELSE 0 END::BIGINT AS blocks FROM n JOIN documents USING (doc_id)""",
+)
+def tree_refusals(spark, folder):
+    """Trees of which half are cut, no object, missing or too deep: each document has its row."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    kind = F.pmod(F.char_length("text"), F.lit(8))
+    deep = lambda n: '{"blocks":' + '[{"t":"BlockQuote","c":' * n + "[]" + "}]" * n + "}"
+    broken = (
+        F.when(kind == 0, F.concat(F.lit('{"meta":'), F.col("doc_id")))
+        .when(kind == 1, F.lit("[]"))
+        .when(kind == 3, F.lit(deep(MAX_DEPTH + 5)))
+        .when(kind > 3, F.col("tree"))
+    )
+    trees = _trees(spark, folder).join(docs, "doc_id").select("doc_id", broken.alias("tree"))
+    blocks = S.measure(trees_to_nodes(trees, "doc_id", "tree"), docs).select("doc_id", "blocks")
+    return blocks.join(refused_trees(trees, "doc_id", "tree"), "doc_id", "left").select("doc_id", "reason", "blocks")

@@ -50,6 +50,7 @@ MEMBERS = T.StructType(
         T.StructField("sha256", T.StringType()),
         T.StructField("content", T.BinaryType()),
         T.StructField("problem", T.StringType()),
+        T.StructField("current", T.BooleanType(), False),  # the last one stored under its name
     ]
 )
 

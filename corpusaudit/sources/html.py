@@ -235,6 +235,48 @@ class PageReader(HTMLParser):
         return self.rows
 
 
+def _local(name):
+    """Name of an element or attribute without its namespace, as the tolerant reader sees it."""
+    return name.rsplit("}", 1)[-1]
+
+
+def _attribute(name):
+    space, _, local = name.rpartition("}")
+    return "epub:" + local if space.endswith("/ops") else local
+
+
+def read_element(doc_id, root):
+    """Rows of one well-formed document: its own tree as it stands, with nothing implied."""
+    reader = PageReader(doc_id)
+    waiting = [(root, False)]
+    while waiting:
+        element, leaving = waiting.pop()
+        if not isinstance(element.tag, str):  # a comment or an instruction
+            pass
+        elif not leaving:
+            reader._open(_local(element.tag), [(_attribute(k), v) for k, v in element.items()])
+            if element.text:
+                reader.handle_data(element.text)
+            waiting.append((element, True))
+            waiting.extend((child, False) for child in reversed(element))
+            continue
+        else:
+            reader._close()
+        if element.tail and element is not root:
+            reader.handle_data(element.tail)
+    return reader.rows
+
+
+def segments_of(doc_id, rows):
+    """(doc_id, seq, text) of the rows of one page: visible text, one row per block."""
+    pieces = {}
+    for row in rows:
+        if row[19] is not None and row[23] is not None:
+            pieces.setdefault(row[19], []).append(row[23])
+    kept = (" ".join("".join(parts).split()) for _, parts in sorted(pieces.items()))
+    return [(doc_id, i, text) for i, text in enumerate(t for t in kept if t)]
+
+
 def read_page(doc_id, html):
     """Rows of one page."""
     reader = PageReader(doc_id)
@@ -244,19 +286,14 @@ def read_page(doc_id, html):
 
 def read_segments(doc_id, html):
     """(doc_id, seq, text) of one page: visible text, one row per block, white space collapsed."""
-    pieces = {}
-    for row in read_page(doc_id, html):
-        if row[19] is not None and row[23] is not None:
-            pieces.setdefault(row[19], []).append(row[23])
-    kept = (" ".join("".join(parts).split()) for _, parts in sorted(pieces.items()))
-    return [(doc_id, i, text) for i, text in enumerate(t for t in kept if t)]
+    return segments_of(doc_id, read_page(doc_id, html))
 
 
-def pages_to_nodes(pages: DataFrame, key: str, html: str, kinds=None, keep=()) -> DataFrame:
+def pages_to_nodes(pages: DataFrame, key: str, html: str, kinds=None, keep=(), named=False) -> DataFrame:
     """The ``nodes`` table of pages. Filter and prune ``pages`` first: nothing is pushed through.
 
     ``kinds`` names the kinds to emit where a job needs only some, such as links; positions
-    stay those of the whole page. ``keep`` names columns of the page to repeat on its nodes, which
+    stay those of the whole page. ``named`` adds nodes of any kind with an identifier. ``keep`` names columns of the page to repeat on its nodes, which
     saves a join back.
     """
     wanted = frozenset(kinds) if kinds else None
@@ -265,7 +302,7 @@ def pages_to_nodes(pages: DataFrame, key: str, html: str, kinds=None, keep=()) -
     def rows(doc_id, text, *kept):
         read = read_page(doc_id, text)
         if wanted is not None:
-            read = [r for r in read if r[8] in wanted]
+            read = [r for r in read if r[8] in wanted or (named and r[11])]
         return [[*r, *kept] for r in read] if kept else read
 
     chosen = pages.select(*columns)

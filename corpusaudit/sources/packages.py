@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from corpusaudit.functions import refs as R
 from corpusaudit.schema import MEMBERS, NODES, SEGMENTS
 from corpusaudit.session import materialise
-from corpusaudit.sources.html import read_page, read_segments
+from corpusaudit.sources.html import read_element, segments_of
 from corpusaudit.sources.rows import arrow_rows
 
 # Fixed values of the package format.
@@ -26,20 +26,23 @@ NCX_TYPE = "application/x-dtbncx+xml"
 
 
 def _read_members(package_id, content):
-    """(package_id, ord, name, byte_size, sha256, content, problem) of one archive."""
+    """(package_id, ord, name, byte_size, sha256, content, problem, current) of one archive."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
     except (zipfile.BadZipFile, OSError, ValueError):
-        return [(package_id, -1, "", None, None, None, "not-a-zip-archive")]
+        return [(package_id, -1, "", None, None, None, "not-a-zip-archive", True)]
+    entries = archive.infolist()
+    last = {info.filename: position for position, info in enumerate(entries)}
     rows = []
-    for position, info in enumerate(archive.infolist()):
+    for position, info in enumerate(entries):
+        current = last[info.filename] == position
         try:
             data = archive.read(info)
         except (zipfile.BadZipFile, OSError, RuntimeError, ValueError):
-            rows.append((package_id, position, info.filename, None, None, None, "unreadable"))
+            rows.append((package_id, position, info.filename, None, None, None, "unreadable", current))
             continue
         digest = hashlib.sha256(data).hexdigest()
-        rows.append((package_id, position, info.filename, len(data), digest, data, None))
+        rows.append((package_id, position, info.filename, len(data), digest, data, None, current))
     return rows
 
 
@@ -51,10 +54,8 @@ def packages_to_members(files: DataFrame, key: str = "package_id", content: str
 
 
 def current_members(members: DataFrame) -> DataFrame:
-    """The member a name stands for: the last one stored under it."""
-    rest = [c for c in members.columns if c not in ("package_id", "name")]
-    best = members.groupBy("package_id", "name").agg(F.max_by(F.struct(*rest), "ord").alias("_m"))
-    return best.select("package_id", "name", "_m.*")
+    """The member a name stands for: the last one stored under it, which the reader marked."""
+    return members.filter("current")
 
 
 _ROOTFILE = T.StructType(
@@ -199,17 +200,18 @@ DOCUMENT_SEGMENTS = T.StructType(
 def _document_nodes(package_id, document, content):
     """Nodes of one content document; a malformed one is a single row that says so."""
     head = (package_id, document)
-    rows = read_page(package_id, content.decode("utf-8", "replace"))
-    if _parse(content) is None:
-        return [(*head, False, *row) for row in rows[:1]]
-    return [(*head, True, *row) for row in rows]
+    root = _parse(content)
+    if root is None:
+        lost = [package_id, 0, 0, None, 0, 0, "html", "", "#malformed", *[None] * 11, False, False, None, None, None, False]
+        return [(*head, False, *lost)]
+    return [(*head, True, *row) for row in read_element(package_id, root)]
 
 
 def _document_segments(package_id, document, content):
-    if _parse(content) is None:
+    root = _parse(content)
+    if root is None:
         return []
-    rows = read_segments(package_id, content.decode("utf-8", "replace"))
-    return [(package_id, document, *row) for row in rows]
+    return [(package_id, document, *row) for row in segments_of(package_id, read_element(package_id, root))]
 
 
 def content_documents(members: DataFrame, records: DataFrame) -> DataFrame:

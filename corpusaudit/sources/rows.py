@@ -3,8 +3,9 @@
 import pyarrow as pa
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Rows per emitted batch: a page is thousands of rows, so output is cut on rows, not on pages.
+# Output is cut on rows, as a page is thousands of them, and on the bytes that rows carry.
 BATCH_ROWS = 20000
+BATCH_BYTES = 32 << 20
 
 
 def arrow_rows(make_rows, schema, columns):
@@ -13,14 +14,16 @@ def arrow_rows(make_rows, schema, columns):
     limit = BATCH_ROWS
 
     def run(batches):
-        waiting = []
+        waiting, held = [], 0
         for batch in batches:
             inputs = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             for i in range(batch.num_rows):
-                waiting.extend(make_rows(*[col[i].as_py() for col in inputs]))
-                if len(waiting) >= limit:
-                    yield _batch(waiting, target)
-                    waiting = []
+                for row in make_rows(*[col[i].as_py() for col in inputs]):
+                    waiting.append(row)
+                    held += sum(len(v) for v in row if type(v) is bytes)
+                    if len(waiting) >= limit or held >= BATCH_BYTES:
+                        yield _batch(waiting, target)
+                        waiting, held = [], 0
         if waiting:
             yield _batch(waiting, target)
 

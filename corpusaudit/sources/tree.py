@@ -1,8 +1,10 @@
 """Document trees as JSON ``{"t": kind, "c": content}`` -> one row per node."""
 
 import json
+import sys
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from corpusaudit.schema import NODES
 from corpusaudit.sources.rows import arrow_rows
@@ -48,6 +50,16 @@ _NOT_NODES = frozenset(SUB_TYPES + [k for k in OTHER if k not in META])
 _BLOCKS, _INLINES = frozenset(BLOCKS), frozenset(INLINES)
 
 
+#: Nodes inside nodes; a tree that goes deeper is refused as a whole.
+MAX_DEPTH = 500
+#: Calls a node may take: a node, its lists and its parts.
+_CALLS = 12
+
+
+class TooDeep(ValueError):
+    """A tree that goes deeper than MAX_DEPTH."""
+
+
 def _at(value, *path):
     for step in path:
         if not isinstance(value, list) or step >= len(value):
@@ -81,6 +93,8 @@ class TreeReader:
 
     def _row(self, kind, pointer, place):
         parent, depth, root, read, seg, measured, _, in_image, note = place
+        if depth > MAX_DEPTH:
+            raise TooDeep
         sib = self.children.get(parent, 0)
         self.children[parent] = sib + 1
         node = len(self.rows)
@@ -214,12 +228,39 @@ class TreeReader:
         self._pad(" ", pointer, inside)
 
 
-def read_tree(doc_id, text):
-    """Rows of one tree; text that is not a JSON object gives none."""
+def read_or_refuse(doc_id, text):
+    """(rows, reason): the rows of one tree, or why there are none."""
+    limit = sys.getrecursionlimit()
     try:
-        return TreeReader(doc_id).read(json.loads(text or ""))
+        sys.setrecursionlimit(max(limit, 1000 + _CALLS * MAX_DEPTH))
+        tree = json.loads(text or "")
+        if not isinstance(tree, dict):
+            return [], "not-an-object"
+        return TreeReader(doc_id).read(tree), None
+    except (TooDeep, RecursionError):
+        return [], "too-deep"
     except ValueError:
-        return []
+        return [], "not-json"
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def read_tree(doc_id, text):
+    """Rows of one tree; a tree that cannot be read gives none, and a row of ``tree_refusals``."""
+    return read_or_refuse(doc_id, text)[0]
+
+
+_REFUSAL = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("reason", T.StringType(), False)])
+
+
+def tree_refusals(trees: DataFrame, key: str, tree: str) -> DataFrame:
+    """(doc_id, reason) of every document whose tree cannot be read."""
+
+    def refused(doc_id, text):
+        reason = read_or_refuse(doc_id, text)[1]
+        return [] if reason is None else [(doc_id, reason)]
+
+    return trees.select(key, tree).mapInArrow(arrow_rows(refused, _REFUSAL, (key, tree)), _REFUSAL)
 
 
 def trees_to_nodes(trees: DataFrame, key: str, tree: str, kinds=None) -> DataFrame:

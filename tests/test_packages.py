@@ -3,7 +3,8 @@
 import warnings
 
 import pytest
-from epubs import archive, jpeg, members, png, webp
+from epubs import SPRING, TOC, archive, members
+from pictures import PICTURES
 from pyspark.sql import functions as F
 
 from corpusaudit.operators import links as L
@@ -50,21 +51,21 @@ def test_problems_of_packages(spark):
         [*members(), ],
         without("META-INF/container.xml"),
         swapped("META-INF/container.xml", b"<no"),
-        without("EPUB/package.opf"),
-        swapped("EPUB/package.opf", b"<no"),
-        without("EPUB/nav.xhtml"),
-        swapped("EPUB/text/ch.xhtml", b"<html>"),
+        without("OPS/book.opf"),
+        swapped("OPS/book.opf", b"<no"),
+        without(TOC),
+        swapped(SPRING, b"<html>"),
         [*members(), ("mimetype", b"x"), ("../up", b"x")],
         b"not a zip",
     )
-    dead = ("broken-reference", "EPUB/nav.xhtml")
+    dead = ("broken-reference", TOC)
     assert got[0] == []
     assert got[1] == [("missing-container", "META-INF/container.xml")]
     assert got[2] == [("malformed-xml", "META-INF/container.xml")]
-    assert got[3] == [("missing-package-document", "EPUB/package.opf")]
-    assert got[4] == [("malformed-xml", "EPUB/package.opf")]
-    assert got[5] == [("broken-reference", "EPUB/package.opf"), ("missing-navigation", "EPUB/nav.xhtml")]
-    assert got[6] == [("malformed-xml", "EPUB/text/ch.xhtml")]
+    assert got[3] == [("missing-package-document", "OPS/book.opf")]
+    assert got[4] == [("malformed-xml", "OPS/book.opf")]
+    assert got[5] == [("broken-reference", "OPS/book.opf"), ("missing-navigation", TOC)]
+    assert got[6] == [("malformed-xml", SPRING)]
     assert got[7] == [("duplicate-archive-member", "mimetype"), ("unsafe-archive-path", "../up")]
     assert ("missing-container", "META-INF/container.xml") in got[8]
     assert ("unreadable-artifact", "") in got[8] and dead not in got[0]
@@ -72,7 +73,7 @@ def test_problems_of_packages(spark):
 
 def measured(spark, *bodies):
     _, current, _, _, nodes = opened(spark, *[members(b) for b in bodies])
-    nodes = nodes.filter("document = 'EPUB/text/ch.xhtml'")
+    nodes = nodes.filter(F.col("document") == SPRING)
     links = L.links_of(nodes, L.R.EXCLUDED_SCHEMES, True, "package_id", "document")
     anchors = nodes.filter("ident IS NOT NULL").select("package_id", "document", "ident")
     found = L.resolve_in_package(links, current, anchors)
@@ -87,7 +88,7 @@ def test_links_of_content_documents(spark):
     noteref = ' role="doc-noteref"'
     bodies = [
         "<p>" + a("#top") + a("#top", "") + a("https://x.org/") + a("mailto:me@x.org") + "</p><p id='top'/>",
-        "<p id='t'>" + a("https://x.org/") + a("../nav.xhtml") + a("#gone") + a("no.xhtml")
+        "<p id='t'>" + a("https://x.org/") + a("../toc.xhtml") + a("#gone") + a("no.xhtml")
         + a("#t", "1", ' epub:type="noteref"') + a("#t", "b", ' role="doc-backlink"') + "</p>",
         "<p id='n'>" + a("#n", "1", noteref) + a("#m", "2", noteref) + "</p>",
         "<ul><li>" + a("#x") * 3 + "<p>" + a("#x") * 9 + "</p></li></ul>",
@@ -163,14 +164,22 @@ def test_refusal_order_and_inheritance(spark):
 
 
 def test_pictures_from_their_bytes(spark):
-    cells = [png(8, 2, 600, 300), png(16, 6), jpeg(), jpeg(True, 1), webp(), webp(True), b"<svg/>", b"GIF89a\x02\x00\x03\x00;", b"text", png()[:-8]]
-    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cells)], "i bigint, content binary")
-    rows = K.device_support(I.measure_images(df)).orderBy("i").collect()
-    assert [r.media_type for r in rows] == ["image/png"] * 2 + ["image/jpeg"] * 2 + ["image/webp"] * 2 + ["image/svg+xml", "image/gif", None, "image/png"]
-    assert [r.intact for r in rows] == [True, True, True, True, True, False, True, True, False, False]
-    assert [r.device_support for r in rows] == ["true", "false", "true", "unknown", "false", "unknown", "false", "unknown", "unknown", "unknown"]
-    assert (rows[0].width, rows[0].height, rows[0].colour_type, rows[0].alpha) == (600, 300, 2, False)
-    assert (rows[2].width, rows[2].height, rows[2].scan_mode, rows[2].colour_model) == (3, 2, "baseline", "rgb")
+    want = {
+        "wide_png": ("image/png", True, "true"), "deep_png": ("image/png", True, "false"), "palette_png": ("image/png", True, "true"),
+        "colour_jpeg": ("image/jpeg", True, "true"), "grey_progressive_jpeg": ("image/jpeg", True, "unknown"),
+        "print_jpeg": ("image/jpeg", True, "unknown"), "odd_jpeg": ("image/jpeg", True, "unknown"),
+        "webp": ("image/webp", True, "false"), "cut_webp": ("image/webp", False, "unknown"), "svg": ("image/svg+xml", True, "false"),
+        "gif": ("image/gif", True, "unknown"), "cut_png": ("image/png", False, "unknown"), "words": (None, False, "unknown"),
+    }
+    cells = [(name, bytearray({**PICTURES, "words": b"no picture"}[name])) for name in want]
+    df = spark.createDataFrame(cells, "name string, content binary")
+    rows = {r.name: r for r in K.device_support(I.measure_images(df)).collect()}
+    assert {n: (r.media_type, r.intact, r.device_support) for n, r in rows.items()} == want
+    wide, colour = rows["wide_png"], rows["colour_jpeg"]
+    assert (wide.width, wide.height, wide.colour_type, wide.alpha) == (640, 2, 2, False)
+    assert (colour.width, colour.height, colour.scan_mode, colour.colour_model) == (3, 2, "baseline", "rgb")
+    assert (rows["print_jpeg"].colour_model, rows["odd_jpeg"].colour_model) == ("cmyk", None)
+    assert rows["grey_progressive_jpeg"].scan_mode == "progressive"
     fit = spark.createDataFrame([(960, 800), (100, 100), (None, 5)], "w int, h int")
     got = fit.select(I.fit_target(F.col("w"), F.col("h"), 480, 800).alias("t"), I.fits(F.col("w"), F.col("h"), 480, 800).alias("f")).collect()
     assert tuple(got[0].t) == (480, 400, 50) and tuple(got[1].t) == (100, 100, 100)
@@ -206,3 +215,21 @@ def test_remote_references(spark):
         (2, "cover-image", "https://x/d", 1),
     ]
     assert [tuple(r) for r in L.first_unsupported(images).collect()] == [(2, "gopher://z")]
+
+
+def test_chapters_are_read_as_they_stand(spark):
+    body = "<p id='x'>a <ul><li>" + a("#x") + "</li></ul> b " + a("#x") + "<![CDATA[ <i> ]]></p>"
+    empty = [(n, b"" if n == SPRING else d) for n, d in members()]
+    _, _, _, _, nodes = opened(spark, members(body), empty)
+    links = nodes.filter((F.col("package_id") == 0) & (F.col("document") == SPRING) & (F.col("kind") == "Link")).orderBy("node").collect()
+    tags = {r.node: r.tag for r in nodes.filter((F.col("package_id") == 0) & (F.col("document") == SPRING)).collect()}
+    assert [tags[r.read_block] for r in links] == ["li", "p"]
+    lost = nodes.filter((F.col("package_id") == 1) & (F.col("document") == SPRING)).collect()
+    assert [(r.kind, r.well_formed) for r in lost] == [("#malformed", False)]
+
+
+def test_only_the_last_member_of_a_name_is_current(spark):
+    twice = [*members(), (SPRING, b"<html/>")]
+    stored, current, *_ = opened(spark, twice)
+    assert stored.count() == 8 and current.count() == 7
+    assert bytes(current.filter(F.col("name") == SPRING).first().content) == b"<html/>"

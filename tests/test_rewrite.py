@@ -233,3 +233,17 @@ def test_repair_candidates_and_worklist(spark):
         (1, "link-interlock", "agent"), (1, "theme-adaptation", "human"), (2, "link-interlock", "agent"),
         (2, "theme-adaptation", "human"), (3, "theme-adaptation", "human"),
     ]
+
+
+def test_trees_that_cannot_be_read_are_refused(spark):
+    from corpusaudit.operators import structure as S
+    from corpusaudit.sources import tree as T
+
+    quotes = lambda n: '{"blocks":' + '[{"t":"BlockQuote","c":' * n + "[]" + "}]" * n + "}"
+    rows = [(1, '{"blocks":[]}'), (2, "[]"), (3, '{"meta":'), (4, None), (5, quotes(300)), (6, quotes(T.MAX_DEPTH + 5)), (7, quotes(60_000))]
+    trees = spark.createDataFrame(rows, "doc_id bigint, tree string")
+    got = {r.doc_id: r.reason for r in T.tree_refusals(trees, "doc_id", "tree").collect()}
+    assert got == {2: "not-an-object", 3: "not-json", 4: "not-json", 6: "too-deep", 7: "too-deep"}
+    nodes = T.trees_to_nodes(trees, "doc_id", "tree")
+    assert nodes.filter("doc_id = 5").count() == 300
+    assert sorted(r.doc_id for r in S.measure(nodes, trees).filter("blocks = 0").collect()) == [1, 2, 3, 4, 5, 6, 7]
