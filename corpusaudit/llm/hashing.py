@@ -66,6 +66,19 @@ def span_hashes(body: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     return mixed((sums[stop] - sums[start]) * inverse[start])
 
 
+def gram_hashes(body: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes from each place on, good in its upper bits."""
+    power, inverse = _powers(1 << max(10, int(len(body)).bit_length()))
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * power[: len(body)], out=sums[1:])
+    n = len(body) - size + 1
+    x = sums[size:] - sums[:-size]
+    x *= inverse[:n]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
+
+
 def window_hashes(row: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each window of ``size`` words that lies inside one text."""
     n = len(words) - size + 1

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusaudit.llm.common import blocks, groups, texts_of
-from corpusaudit.llm.hashing import mixed, span_hashes
+from corpusaudit.llm.hashing import gram_hashes, mixed, span_hashes
 
 #: Bytes of the substring that picks the anchor of a window.
 GRAM = 12
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 # ---- suffix arrays -----------------------------------------------------------------------------
@@ -229,29 +229,28 @@ def anchored(body: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
     span = size - GRAM + 1
     if n < span:
         return none, none.astype(np.uint64), none, none
-    place = np.arange(n)
-    grams = span_hashes(body, place, place + GRAM)
-    value = (grams & ~np.uint64(0xFFFFFFFF)) | (np.uint64(0xFFFFFFFF) - place.astype(np.uint64))
+    grams = gram_hashes(body, GRAM)
+    value = (grams & ~np.uint64(0xFFFFFFFF)) | np.arange(0xFFFFFFFF, 0xFFFFFFFF - n, -1).astype(np.uint64)
     width, low = 1, value
     while 2 * width <= span:  # least of 1, 2, 4, ... neighbours
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if width < span:
         low = np.minimum(low[: n - span + 1], low[span - width : span - width + n - span + 1])
-    start = np.flatnonzero(np.searchsorted(at, place[: len(low)], "right") == np.searchsorted(at, place[: len(low)] + size - 1, "right"))
+    rows = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    start = np.flatnonzero(rows[: len(low)] == rows[size - 1 : size - 1 + len(low)])
     if not len(start):
         return none, none.astype(np.uint64), none, none
     anchor = (np.uint64(0xFFFFFFFF) - (low[start] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    row = np.searchsorted(at, start, "right") - 1
+    row = rows[start]
     fresh = np.ones(len(start), bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(fresh)
     last = np.append(begin[1:], len(start)) - 1
-    first_row = row[begin]
+    first_row = row[begin].astype(np.int64)
     return first_row, mixed(grams[anchor[begin]]), start[begin] - at[first_row], start[last] - at[first_row]
 
 
-
 class Texts:
     """The documents of one group: keys, texts, and an identity of (key, text) for each row."""
 
@@ -264,18 +263,42 @@ class Texts:
         self.copy = np.isin(self.identity, skip)
 
     def windows(self, size: int):
-        """Like ``anchored`` over all rows that are no copies, a block of texts at a time."""
-        out = [[], [], [], []]
+        """(row, anchor, first start, last start, print) of all rows that are no copies.
+
+        The print is a hash of the bytes under all windows of an entry. Texts go a block at a time.
+        """
+        out = [[], [], [], [], []]
         if self.table.num_rows:
             for a, b in blocks(self.table.column("body"), BLOCK):
-                part = anchored(self.body[self.at[a] : self.at[b]], self.at[a : b + 1] - self.at[a], size)
-                use = ~self.copy[a + part[0]] if len(part[0]) else np.zeros(0, bool)
-                for k, x in enumerate(part):
-                    out[k].append((x + a if k == 0 else x)[use])
-        kinds = (np.int64, np.uint64, np.int64, np.int64)
+                body, at = self.body[self.at[a] : self.at[b]], self.at[a : b + 1] - self.at[a]
+                row, anchor, low, high = anchored(body, at, size)
+                if len(row):
+                    length = high - low + size
+                    begin = at[row] + low
+                    prints = mixed(span_hashes(body, begin, begin + length) + length.astype(np.uint64))
+                    use = ~self.copy[a + row]
+                    for k, x in enumerate((row + a, anchor, low, high, prints)):
+                        out[k].append(x[use])
+        kinds = (np.int64, np.uint64, np.int64, np.int64, np.uint64)
         return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
 
 
+def _least(group: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct groups, least owner of each)."""
+    order = np.argsort(group, kind="stable")
+    fresh = np.append([True], group[order][1:] != group[order][:-1]) if len(group) else np.zeros(0, bool)
+    begin = np.flatnonzero(fresh)
+    return group[order][begin], np.minimum.reduceat(owner[order], begin) if len(begin) else owner[:0]
+
+
+def _by(number: np.ndarray, most: int) -> tuple[list[int], list[np.ndarray]]:
+    """The numbers under ``most`` that occur, and the places of each."""
+    order = np.argsort(number, kind="stable")
+    cut = np.searchsorted(number[order], np.arange(most + 1))
+    use = [k for k in range(most) if cut[k] < cut[k + 1]]
+    return use, [order[cut[k] : cut[k + 1]] for k in use]
+
+
 def _numbers(table: pa.Table, column: str, kind) -> np.ndarray:
     values = [v for v in table.column(column).to_pylist() if v]
     return np.frombuffer(b"".join(values), kind) if values else np.zeros(0, kind)
@@ -291,8 +314,10 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
     (start, stop) in bytes, in order and apart.
 
     Texts equal to one with a smaller key are set aside first: all their bytes go. Windows of the
-    others that may repeat are found by their anchors, of which only hashes are shuffled. Their
-    bytes are then brought together by anchor, and a suffix array of each shard finds what repeats.
+    others that may repeat are found by their anchors, of which only hashes are shuffled. Where two
+    texts have an anchor, prints of the bytes around it are compared: of equal ones only the text
+    with the least key goes on, the others lose all of them. The different ones are brought
+    together by anchor, and a suffix array of each shard finds what repeats between them.
     Texts are shuffled once, by a hash of the key; every step reads that same shuffle.
 
     Null texts count as empty. Null keys have no order: such rows lose nothing and make nothing go.
@@ -313,6 +338,12 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
     copies = ids.join(first, ["digest", "n"]).filter("key > first").select("part", "identity").distinct()
     copied = copies.groupBy(F.col("part").alias("to_part")).agg(F.sort_array(F.collect_list("identity")).alias("copies"))
 
+    def shard_of(anchor: np.ndarray) -> np.ndarray:
+        return ((anchor >> np.uint64(32)) % np.uint64(dealt)).astype(np.int64)
+
+    def part_of(table: pa.Table) -> int:
+        return table.column("part")[0].as_py() if table.num_rows else 0
+
     def skipped(table: pa.Table) -> np.ndarray:
         lists = [v for v in table.column("copies").to_pylist() if v]
         return np.array([x for v in lists for x in v], np.int64)
@@ -320,24 +351,19 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
     def sent(left: pa.Table, right: pa.Table) -> pa.Table:
         """The anchors of a group, by shard: 32 bits each, and whether two of its texts have it."""
         texts = Texts(left, skipped(right))
-        row, anchor, _, _ = texts.windows(size)
+        row, anchor, *_ = texts.windows(size)
         order = np.lexsort((texts.keys[row], anchor)) if len(row) else np.zeros(0, np.int64)
         anchor, owner = anchor[order], texts.keys[row][order]
         begin = np.flatnonzero(np.append([True], anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
         last = np.append(begin[1:], len(anchor)) - 1
         twice = owner[begin] != owner[last] if len(begin) else np.zeros(0, bool)
         anchor = anchor[begin]
-        shard = ((anchor >> np.uint64(32)) % np.uint64(dealt)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(dealt + 1))
-        part = left.column("part")[0].as_py() if left.num_rows else 0
-        use = [k for k in range(dealt) if cut[k] < cut[k + 1]]
+        use, pick = _by(shard_of(anchor), dealt)
         low = anchor.astype(np.uint32)
-        pick = [order[cut[k] : cut[k + 1]] for k in use]
         return pa.table(
             {
                 "shard": pa.array(use, pa.int32()),
-                "part": pa.array([part] * len(use), pa.int32()),
+                "part": pa.array([part_of(left)] * len(use), pa.int32()),
                 "anchors": pa.array([low[p].tobytes() for p in pick], pa.binary()),
                 "twice": pa.array([np.packbits(twice[p]).tobytes() for p in pick], pa.binary()),
             }
@@ -370,29 +396,69 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         copied.withColumn("anchors", F.lit(None).cast("binary"))
     )
 
-    def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The bytes around each wanted anchor of a group, by shard."""
+    def asked(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The prints at the wanted anchors of a group, by shard, each once with its least key."""
         texts = Texts(left, skipped(right))
-        row, anchor, low, high = texts.windows(size)
+        row, anchor, _, _, prints = texts.windows(size)
         want = np.sort(_numbers(right, "anchors", np.uint64))
-        shard = (anchor >> np.uint64(32)) % np.uint64(dealt)
-        use = np.flatnonzero(np.isin(shard << np.uint64(32) | (anchor & np.uint64(0xFFFFFFFF)), want))
-        use = use[np.argsort(shard[use], kind="stable")]
-        cut = np.searchsorted(shard[use], np.arange(dealt + 1).astype(np.uint64))
+        short = shard_of(anchor).astype(np.uint64) << np.uint64(32) | (anchor & np.uint64(0xFFFFFFFF))
+        use = np.flatnonzero(np.isin(short, want))
+        use = use[np.lexsort((texts.keys[row[use]], prints[use]))]
+        use = use[np.append([True], prints[use][1:] != prints[use][:-1])] if len(use) else use
+        shards, pick = _by(shard_of(anchor[use]), dealt)
+        pick = [use[p] for p in pick]
+        return pa.table(
+            {
+                "shard": pa.array(shards, pa.int32()),
+                "part": pa.array([part_of(left)] * len(shards), pa.int32()),
+                "anchors": pa.array([anchor[p].astype(np.uint32).tobytes() for p in pick], pa.binary()),
+                "prints": pa.array([prints[p].tobytes() for p in pick], pa.binary()),
+                "owner": pa.array([texts.keys[row[p]].tobytes() for p in pick], pa.binary()),
+            }
+        )
+
+    def compared(table: pa.Table) -> pa.Table:
+        """For each group: the prints that a smaller key has elsewhere, and those to be looked into.
+
+        The latter are the first of their kind, at anchors with several kinds.
+        """
+        counts = [len(v) // 8 for v in table.column("owner").to_pylist()]
+        part = np.repeat(table.column("part").to_numpy(), counts)
+        anchor, prints, owner = (_numbers(table, c, k) for c, k in (("anchors", np.uint32), ("prints", np.uint64), ("owner", np.int64)))
+        kinds, least = _least(prints, owner)
+        later = least[np.searchsorted(kinds, prints)] < owner
+        first = np.flatnonzero(~later)
+        some, n = np.unique(anchor[first], return_counts=True)
+        open_ = first[np.isin(anchor[first], some[n > 1])]
+        out = {"to_part": [], "gone": [], "open": []}
+        for p in np.unique(part):
+            mine = part == p
+            gone = prints[mine & later]
+            look = prints[open_[part[open_] == p]]
+            if len(gone) or len(look):
+                out["to_part"].append(int(p))
+                out["gone"].append(gone.tobytes())
+                out["open"].append(look.tobytes())
+        return pa.table({k: pa.array(v, pa.int32() if k == "to_part" else pa.binary()) for k, v in out.items()})
+
+    def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The bytes at the open prints of a group, by shard of their anchors."""
+        texts = Texts(left, skipped(right))
+        row, anchor, low, high, prints = texts.windows(size)
+        use = np.flatnonzero(np.isin(prints, np.sort(_numbers(right, "open", np.uint64))))
+        kinds, least = _least(prints[use], texts.keys[row[use]])
+        use = use[texts.keys[row[use]] == least[np.searchsorted(kinds, prints[use])]]
+        shards, pick = _by(shard_of(anchor[use]), dealt)
         data = texts.body.tobytes()
         out = {k: [] for k in ("shard", "part", "context", "size", "owner", "identity", "low")}
-        part = left.column("part")[0].as_py() if left.num_rows else 0
-        for k in range(dealt):
-            mine = use[cut[k] : cut[k + 1]]
-            if not len(mine):
-                continue
+        for k, p in zip(shards, pick, strict=True):
+            mine = use[p]
             r = row[mine]
-            begin = texts.at[r] + low[mine]
-            stop = texts.at[r] + high[mine] + size
+            begin, stop = texts.at[r] + low[mine], texts.at[r] + high[mine] + size
             out["shard"].append(k)
-            out["part"].append(part)
+            out["part"].append(part_of(left))
             out["context"].append(b"".join([data[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]))
-            out["size"].append((stop - begin).astype(np.uint8 if size <= 100 else np.uint32).tobytes())
+            out["size"].append((stop - begin).astype(np.uint32).tobytes())
             out["owner"].append(texts.keys[r].tobytes())
             out["identity"].append(texts.identity[r].tobytes())
             out["low"].append(low[mine].astype(np.uint32).tobytes())
@@ -403,7 +469,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         """What repeats in one shard, as (identity, start, stop) for each group."""
         counts = [len(v) // 8 for v in table.column("owner").to_pylist()]
         part = np.repeat(table.column("part").to_numpy(), counts)
-        sizes = _numbers(table, "size", np.uint8 if size <= 100 else np.uint32).astype(np.int64)
+        sizes = _numbers(table, "size", np.uint32).astype(np.int64)
         owner, identity = _numbers(table, "owner", np.int64), _numbers(table, "identity", np.int64)
         low = _numbers(table, "low", np.uint32).astype(np.int64)
         data = b"".join(table.column("context").to_pylist())
@@ -441,21 +507,36 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
             }
         )
 
-    places = by_part.cogroup(wanted.groupBy("to_part")).applyInArrow(
+    prints = by_part.cogroup(wanted.groupBy("to_part")).applyInArrow(
+        asked, "shard int, part int, anchors binary, prints binary, owner binary"
+    )
+    verdicts = prints.groupBy("shard").applyInArrow(compared, "to_part int, gone binary, open binary")
+
+    def beside(df: DataFrame, **kinds: str) -> DataFrame:
+        return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+    told = beside(verdicts, copies="array<long>").unionByName(beside(copied, gone="binary", open="binary"))
+    places = by_part.cogroup(told.groupBy("to_part")).applyInArrow(
         contexts, "shard int, part int, context binary, size binary, owner binary, identity binary, low binary"
     )
     spans = places.groupBy("shard").applyInArrow(found, "to_part int, identity binary, start binary, stop binary")
-    told = spans.withColumn("copies", F.lit(None).cast("array<long>")).unionByName(
-        copied.select(
-            "to_part", "copies", *[F.lit(None).cast("binary").alias(c) for c in ("identity", "start", "stop")]
-        )
+    every = beside(told, identity="binary", start="binary", stop="binary").unionByName(
+        beside(spans, copies="array<long>", gone="binary", open="binary")
     )
 
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = Texts(left, skipped(right))
         who, start, stop = (_numbers(right, c, k) for c, k in (("identity", np.int64), ("start", np.uint32), ("stop", np.uint32)))
+        row, _, first, last, prints = texts.windows(size)
+        kinds, least = _least(prints, texts.keys[row])
+        lost = np.isin(prints, np.sort(_numbers(right, "gone", np.uint64)))
+        if len(row):
+            lost |= least[np.searchsorted(kinds, prints)] < texts.keys[row]
+        who = np.concatenate([who, texts.identity[row[lost]]])
+        start = np.concatenate([start.astype(np.int64), first[lost]])
+        stop = np.concatenate([stop.astype(np.int64), last[lost] + size])
         order = np.lexsort((start, who))
-        who, start, stop = who[order], start[order].astype(np.int64), stop[order].astype(np.int64)
+        who, start, stop = who[order], start[order], stop[order]
         lists, left_over = [], []
         data = texts.body.tobytes()
         low, high = np.searchsorted(who, texts.identity, "left"), np.searchsorted(who, texts.identity, "right")
@@ -480,7 +561,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         "key", F.length("body").cast("long").alias("n_bytes"), F.array().cast(span_type).alias("spans"), F.col("body").alias("kept"),
         *(["rest"] if keep else []),
     )
-    done = by_part.cogroup(told.groupBy("to_part")).applyInArrow(applied, loose.schema)
+    done = by_part.cogroup(every.groupBy("to_part")).applyInArrow(applied, loose.schema)
     return done.unionByName(loose).withColumnRenamed("key", key)
 
 
