@@ -296,7 +296,7 @@ def _tiles(batch: pa.RecordBatch) -> np.ndarray:
     return np.cumsum(np.append([0], (x[1:] != x[:-1]).any(1)))
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, key="doc_id", text="text") -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, key="doc_id", text="text") -> DataFrame:
     """(key, row, component, class_id, set_id, n_copies, n_links) of each row with a word and a key.
 
     Texts are sets of five-word shingles, in lower case. Sets are split on sampled coordinates along
@@ -349,7 +349,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
     )
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, key="doc_id", text="text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, key="doc_id", text="text") -> DataFrame:
     """(key, class_id, set_id, n_copies, n_links): one row for each row of the input.
 
     Null and empty texts and texts of white space have no shingles: each such row is a class of its
@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     return classes.drop("row", "component").unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, key="doc_id", text="text") -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, key="doc_id", text="text") -> DataFrame:
     """The documents, with all their columns, without those that resemble one with a smaller key.
 
     Of each class the row with the least key stays, of repeated rows one; rows without a key or
