@@ -24,6 +24,11 @@ HEADLINE = (
     "tree_constructs",
     "link_stripping",
     "package_links",
+    "package_problems",
+    "rewritten_text",
+    "rewritten_loss",
+    "transform_log",
+    "recovered_notes",
     "corpus_rollup",
 )
 

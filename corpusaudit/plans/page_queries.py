@@ -19,8 +19,8 @@ def _pages(spark, folder, *columns):
     return table(spark, folder, "pages", *(columns or ("page_id", "html")))
 
 
-def _nodes(spark, folder, kinds=None):
-    return H.pages_to_nodes(_pages(spark, folder), "page_id", "html", kinds)
+def _nodes(spark, folder, kinds=None, only=None):
+    return H.pages_to_nodes(_pages(spark, folder), "page_id", "html", kinds, only=only)
 
 
 # Entities that occur in pages, in the order they must be undone.
@@ -183,7 +183,8 @@ def longest_href(spark, folder):
   FROM pages) WHERE n > 0""",
 )
 def page_headings(spark, folder):
-    return S.heading_levels(_nodes(spark, folder, ("Header",))).withColumnRenamed(
+    nodes = _nodes(spark, folder, ("Header",), ("doc_id", "kind", "level", "measured"))
+    return S.heading_levels(nodes).withColumnRenamed(
         "doc_id", "page_id"
     )
 
@@ -201,7 +202,7 @@ SELECT page_id, kind, n FROM (SELECT page_id, unnest(['Link', 'Para', 'BulletLis
 )
 def page_constructs(spark, folder):
     kinds = ("Link", "Para", "BulletList", "Header", "Strong", "LineBreak")
-    counts = S.construct_counts(_nodes(spark, folder, kinds))
+    counts = S.construct_counts(_nodes(spark, folder, kinds, ("doc_id", "kind")))
     return counts.withColumnRenamed("doc_id", "page_id")
 
 

@@ -81,8 +81,8 @@ def _trees(spark, folder):
     return docs.select("doc_id", tree.alias("tree"))
 
 
-def _nodes(spark, folder, kinds=None):
-    return trees_to_nodes(_trees(spark, folder), "doc_id", "tree", kinds)
+def _nodes(spark, folder, kinds=None, columns=None):
+    return trees_to_nodes(_trees(spark, folder), "doc_id", "tree", kinds, columns)
 
 
 def _linked(spark, folder):
@@ -114,7 +114,7 @@ n AS (SELECT head.doc_id, lang, anchor, n_lines, count(w) AS words, count(DISTIN
           2 + words - opens - shuts, words - lines]) AS c FROM n) WHERE c > 0""",
 )
 def tree_constructs(spark, folder):
-    return S.construct_counts(_nodes(spark, folder))
+    return S.construct_counts(_nodes(spark, folder, None, ("doc_id", "kind")))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from corpusaudit.schema import NODES, SEGMENTS
-from corpusaudit.sources.rows import arrow_rows
+from corpusaudit.sources.rows import arrow_rows, pruned
 
 # What counts as a reading block for link density, and what holds blocks.
 READING_BLOCKS = frozenset(
@@ -289,24 +289,27 @@ def read_segments(doc_id, html):
     return segments_of(doc_id, read_page(doc_id, html))
 
 
-def pages_to_nodes(pages: DataFrame, key: str, html: str, kinds=None, keep=(), named=False) -> DataFrame:
+def pages_to_nodes(
+    pages: DataFrame, key: str, html: str, kinds=None, keep=(), named=False, only=None
+) -> DataFrame:
     """The ``nodes`` table of pages. Filter and prune ``pages`` first: nothing is pushed through.
 
     ``kinds`` names the kinds to emit where a job needs only some, such as links; positions
     stay those of the whole page. ``named`` adds nodes of any kind with an identifier. ``keep`` names columns of the page to repeat on its nodes, which
-    saves a join back.
+    saves a join back. ``only`` names the node columns wanted.
     """
     wanted = frozenset(kinds) if kinds else None
+    nodes, prune = pruned(NODES, only)
     columns = (key, html, *keep)
 
     def rows(doc_id, text, *kept):
         read = read_page(doc_id, text)
         if wanted is not None:
             read = [r for r in read if r[8] in wanted or (named and r[11])]
-        return [[*r, *kept] for r in read] if kept else read
+        return [[*prune(r), *kept] for r in read]
 
     chosen = pages.select(*columns)
-    schema = StructType([*NODES.fields, *[chosen.schema[c] for c in keep]])
+    schema = StructType([*nodes.fields, *[chosen.schema[c] for c in keep]])
     return chosen.mapInArrow(arrow_rows(rows, schema, columns), schema)
 
 

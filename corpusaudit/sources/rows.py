@@ -2,12 +2,21 @@
 
 import pyarrow as pa
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Output is cut on rows, as a page is thousands of them, and on the bytes that rows carry.
 BATCH_ROWS = 20000
 BATCH_BYTES = 32 << 20
 
 
+def pruned(schema, columns):
+    """(schema of the named columns, a function that keeps just those of a row); all where none are named."""
+    if columns is None:
+        return schema, lambda row: row
+    places = [schema.fieldNames().index(c) for c in columns]
+    return StructType([schema.fields[i] for i in places]), lambda row: [row[i] for i in places]
+
+
 def arrow_rows(make_rows, schema, columns):
     """A ``mapInArrow`` function: ``make_rows(*values of one input row)`` yields output tuples."""
     target = to_arrow_schema(schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corpusaudit.schema import NODES
-from corpusaudit.sources.rows import arrow_rows
+from corpusaudit.sources.rows import arrow_rows, pruned
 
 # The vocabulary of document trees.
 BLOCKS = (
@@ -263,13 +263,14 @@ def tree_refusals(trees: DataFrame, key: str, tree: str) -> DataFrame:
     return trees.select(key, tree).mapInArrow(arrow_rows(refused, _REFUSAL, (key, tree)), _REFUSAL)
 
 
-def trees_to_nodes(trees: DataFrame, key: str, tree: str, kinds=None) -> DataFrame:
-    """The ``nodes`` table of document trees."""
+def trees_to_nodes(trees: DataFrame, key: str, tree: str, kinds=None, columns=None) -> DataFrame:
+    """The ``nodes`` table of document trees, of the named kinds and columns where a job needs few."""
     wanted = frozenset(kinds) if kinds else None
+    schema, keep = pruned(NODES, columns)
 
     def rows(doc_id, text):
         read = read_tree(doc_id, text)
-        return read if wanted is None else [r for r in read if r[8] in wanted]
+        return [keep(r) for r in read if wanted is None or r[8] in wanted]
 
     chosen = trees.select(key, tree)
-    return chosen.mapInArrow(arrow_rows(rows, NODES, (key, tree)), NODES)
+    return chosen.mapInArrow(arrow_rows(rows, schema, (key, tree)), schema)
