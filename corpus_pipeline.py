@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusaudit.llm import decontamination, jaccard, language, packing, suffixes
-from corpusaudit.llm.queries import CAPACITY, END_ID, vocabulary
+from corpusaudit.llm.queries import CAPACITY, END_ID, byte_ranks, vocabulary
 from corpusaudit.session import materialise
 
 
@@ -29,7 +29,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, each with its sequence and its place there."""
-    return packing.packed_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY)
+    return packing.packed_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY, **byte_ranks())
 
 
 STAGES = [

@@ -1,32 +1,29 @@
 """Packing of encoded documents into sequences of one size."""
 
 import bisect
-import sys
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.llm.common import rebatched, texts_of
-from corpusaudit.llm.encoding import known_words, spaced
+from corpusaudit.llm.common import rebatched
+from corpusaudit.llm.encoding import byte_encoder
 from corpusaudit.llm.sharding import numbered
 from corpusaudit.session import materialise
 
 BLOCK = 1 << 20
 
 
-def _bytes(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
-
-
-def encoded_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, key="doc_id", text="text") -> DataFrame:
+def encoded_pieces(
+    docs: DataFrame, tokenizer: str, end: int, capacity: int, key="doc_id", text="text", ranks=None, pattern=None
+) -> DataFrame:
     """(key, piece, start, length, ids) of each piece of each document.
 
     A document is the ids of its text and then ``end``. Only those of over ``capacity`` ids are cut,
     from the back into whole pieces, so that the first piece holds what is over. ``ids`` is binary,
-    little-endian unsigned 32-bit.
+    little-endian unsigned 32-bit. ``ranks`` and ``pattern`` are the tokenizer's merges and its
+    pattern of words for a faster engine with the same ids.
 
     A null text is the end id alone; repeated rows and null keys each give their pieces; an empty
     table gives an empty one; other columns are left out.
@@ -34,20 +31,12 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, key
     kind = dict(docs.dtypes)[key]
 
     def encode(batches):
-        known = known_words(tokenizer, _bytes)
-        last = _bytes([end])
+        encoder = byte_encoder(tokenizer, ranks, pattern)
+        last = np.asarray([end], "<u4").tobytes()
         for batch in rebatched(batches, text, BLOCK):
-            body, at = texts_of(batch.column(text))
-            data = body.tobytes()
-            split = [spaced(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
-            known.learn(w for words in split if words is not None for w in words)
             row, piece, start, ids = [], [], [], []
-            for i, words in enumerate(split):
-                if words is None:
-                    whole = data[at[i] : at[i + 1]].decode("utf-8")
-                    done = _bytes(known.tokenizer.encode(whole, add_special_tokens=False).ids) + last
-                else:
-                    done = b"".join(map(known.__getitem__, words)) + last
+            for i, whole in enumerate(batch.column(text).to_pylist()):
+                done = encoder(whole or "") + last
                 n = len(done) // 4
                 first = n if n <= capacity else (n - 1) % capacity + 1
                 for k, stop in enumerate(range(first, n + 1, capacity)):
@@ -187,8 +176,10 @@ def pack(pieces: DataFrame, capacity: int, *order: str) -> DataFrame:
     return rows.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end: int, capacity: int, key="doc_id", text="text") -> DataFrame:
+def packed_documents(
+    docs: DataFrame, tokenizer: str, end: int, capacity: int, key="doc_id", text="text", ranks=None, pattern=None
+) -> DataFrame:
     """Pieces of all documents with a checksum of their ids, their sequence and their place."""
-    pieces = encoded_pieces(docs, tokenizer, end, capacity, key, text)
+    pieces = encoded_pieces(docs, tokenizer, end, capacity, key, text, ranks, pattern)
     digest = pieces.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(digest, capacity, key, "piece", "ids_crc32")

@@ -35,6 +35,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_ranks() -> dict[str, str]:
+    """Merges and pattern of the byte-level tokenizer, for the faster engine."""
+    import public_tokenizers
+
+    return {"ranks": vocabulary("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
 def _shard_sql() -> str:
     steps = []
     for i, (x, y) in enumerate(sharding.constants(SEED)):
@@ -144,7 +151,7 @@ def op3(spark, folder):
 def op5(spark, folder):
     """Sequence and place of every piece of every document."""
     docs = documents(spark, folder, "doc_id", "text")
-    return packing.packed_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY)
+    return packing.packed_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY, **byte_ranks())
 
 
 @query("op7_language")

@@ -6,6 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from corpusaudit.llm import packing
+from corpusaudit.llm.encoding import ByteEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,7 +31,8 @@ def test_plan_uses_every_piece_once_and_is_tight():
 
 
 def check(spark, docs, rows):
-    got = packing.packed_documents(docs, PATH, 2, 1024).collect()
+    ranks = {"ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    got = packing.packed_documents(docs, PATH, 2, 1024, **ranks).collect()
     whole = Tokenizer.from_file(PATH)
     by, pieces = {}, {}
     for r in got:
@@ -69,3 +71,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert len(got) == 3 and len({(r.sequence_id, r.offset) for r in got}) == 3
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.packed_documents(empty, PATH, 2, 1024).count() == 0
+
+
+def test_both_engines_give_the_same_ids():
+    fast = ByteEncoder(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    slow = ByteEncoder(PATH)
+    rng = random.Random(7)
+    alphabet = [chr(i) for i in range(0x250)] + list("  \n\n''stremdv0123456789 abcdefghij")
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 200))) for _ in range(3000)]
+    texts += ["a <|endoftext|> b", "x" * 30_000, " " * 5000, "五 \u2003 ́é", "\u1680", "it's they'LL I've"]
+    assert fast.engine is not None
+    for t in texts:
+        assert fast(t) == slow(t), repr(t)
