@@ -31,7 +31,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of an Arrow text column without copying; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
+        if isinstance(column, pa.ChunkedArray):  # a text of over 2 GB in all comes in chunks
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     if column.null_count:
         column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.llm.common import rebatched, texts_of
+from corpusaudit.llm.common import blocks, rebatched, texts_of
 from corpusaudit.llm.components import components
 from corpusaudit.llm.hashing import lowered, mixed, span_hashes, window_hashes, word_spans
 from corpusaudit.session import materialise
@@ -257,7 +257,8 @@ def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _verified(batches, threshold: float):
     """(node, root, links): exact links of each row of a tile, and a forest that joins linked rows."""
     for batch in whole_groups(batches, ["path", "a", "b"]):
-        sets = shingle_sets(*texts_of(batch.column("text")))
+        column = batch.column("text")
+        sets = [s for a, b in blocks(column, BLOCK) for s in shingle_sets(*texts_of(column.slice(a, b - a)))]
         node = batch.column("node").to_numpy()
         # A key may stand for several texts: only the text of this very set counts, and once.
         right = np.array([len(s) > 0 and int(node_of(s)) == m for s, m in zip(sets, node, strict=True)], bool)
