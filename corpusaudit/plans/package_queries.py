@@ -1,9 +1,12 @@
 """Queries over packaged books: members, package tables, problems, links, images, verdicts.
 
-The books are made from ``documents`` by Spark: a chapter with one paragraph per line, a picture
-and a navigation document. ``the`` links to the first paragraph, ``of`` to the web, ``is`` to a
-file that is not there. French books have no navigation, German chapters are not well-formed,
-Spanish books store a name twice; the picture's format goes by language.
+The books are made from ``documents`` by Spark, and all about them follows from the text. Every 25
+lines are a chapter with a paragraph a line; single words are links (``LINKS``); the number of lines
+is the width of the cover picture and decides its kind of samples. The length of the text gives the
+shape of the book (``SHAPE``): 0 and 3 are plain, 3 also stores names twice, 1 has a table of
+contents of the old format, which is lost where the number of lines is even, and 2 has a first
+chapter that is cut. One book in 23 each has no container, a cut container, no package document, a
+cut package document, or is no archive.
 """
 
 import io
@@ -23,90 +26,166 @@ from corpusaudit.sources import images as I
 from corpusaudit.sources import packages as S
 from corpusaudit.sources.rows import arrow_rows
 
+LINES = 25
+SHAPE, DAMAGE = 4, 23
+#: What single words link to: the chapter's first line, the web, a file that is not there, the
+#: remark, and a remark that is not there.
+LINKS = {
+    "own": (("the", "la"), '<a href="#l{first}">{word}</a>'),
+    "web": (("of", "de"), '<a href="https://example.org/tides">{word}</a>'),
+    "gone": (("is", "es"), '<a href="lost.xhtml">{word}</a>'),
+    "note": (("and", "und"), '<a epub:type="noteref" href="../remarks.xhtml#r1">{word}</a>'),
+    "lost": (("in", "en"), '<a role="doc-noteref" href="../remarks.xhtml#r0">{word}</a>'),
+}
 CONTAINER = (
-    '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles>'
-    '<rootfile full-path="EPUB/package.opf" media-type="application/oebps-package+xml"/>'
-    "</rootfiles></container>"
+    '<?xml version="1.0"?><c:container version="1.0" xmlns:c="urn:oasis:names:tc:opendocument:xmlns:container">'
+    '<c:rootfiles><c:rootfile media-type="application/oebps-package+xml" full-path="OPS/book.opf"/></c:rootfiles></c:container>'
 )
-OPF_HEAD = (
-    '<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata '
-    'xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>'
+HTML = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body>'
+REMARKS = (
+    HTML + '<aside id="r1" epub:type="footnote"><p>Remark <a role="doc-backlink" href="chapters/1.xhtml#l1">back</a></p></aside>'
+    "</body></html>"
 )
-OPF_TAIL = (
-    '</dc:title></metadata><manifest><item id="nav" href="nav.xhtml" properties="nav" '
-    'media-type="application/xhtml+xml"/><item id="chapter" href="text/ch.xhtml" '
-    'media-type="application/xhtml+xml"/><item id="figure" href="images/figure.png" '
-    'media-type="image/png" properties="cover-image"/></manifest><spine>'
-    '<itemref idref="nav" linear="no"/><itemref idref="chapter"/><itemref idref="lost"/></spine></package>'
-)
-NAV = (
-    '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body>'
-    '<nav epub:type="toc"><ol><li><a href="text/ch.xhtml">Chapter</a></li>'
-    '<li><a href="text/ch.xhtml#p1">First</a></li></ol></nav></body></html>'
-)
-PNG = "89504E470D0A1A0A0000000D49484452000002580000012C1000000000000000000000000049454E4400000000"
-WEBP = "524946460800000057454250565038200A"[:32]
-JPEG = "FFD8FFC20011080001000103000000000000000000FFD9"
-SVG = '<svg xmlns="http://www.w3.org/2000/svg"/>'
+SVG = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 9 9"><path d="M0 0h9v9z"/></svg>'
+WEBP = "52494646 0C000000 57454250 56503820 00000000"
+GIF = "474946383961 0A000A00 000000 3B"
 _ZIPPED = T.StructType(
     [T.StructField("package_id", T.LongType()), T.StructField("content", T.BinaryType())]
 )
 
 
-def _zip(package_id, members):
+def _zip(package_id, members, damage):
+    """The archive of one book; a damaged one lacks or cuts one of its two key documents."""
+    if damage == 5:
+        return [(package_id, b"no archive at all")]
+    target = {1: S.CONTAINER, 2: S.CONTAINER, 3: "OPS/book.opf", 4: "OPS/book.opf"}.get(damage)
     held = io.BytesIO()
     with warnings.catch_warnings(), zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
         warnings.simplefilter("ignore")  # a name stored twice is wanted here
         for member in members:
-            info = zipfile.ZipInfo(member["name"], (2020, 1, 1, 0, 0, 0))
-            archive.writestr(info, member["content"], compress_type=zipfile.ZIP_DEFLATED)
+            name, content = member["name"], member["content"]
+            if name == target:
+                if damage in (1, 3):
+                    continue
+                content = content[: len(content) // 2]
+            archive.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), content, compress_type=zipfile.ZIP_DEFLATED)
     return [(package_id, held.getvalue())]
 
 
+def _hex(value, digits):
+    return F.lpad(F.hex(value), digits, "0")
+
+
+def _cover(shape, lines):
+    """The bytes of the cover picture, whose width is the number of lines."""
+    even = lines % 2 == 0
+    png = F.concat(
+        F.lit("89504E470D0A1A0A" "0000000D" "49484452"), _hex(lines, 8), F.lit("00000064"),
+        F.when(even, "10").otherwise("08"), F.lit("00" "000000" "00000000" "00000000" "49454E44" "AE426082"),
+    )
+    jpeg = F.concat(
+        F.lit("FFD8"), F.when(even, "FFC2").otherwise("FFC0"), F.lit("000B" "08" "0064"), _hex(lines % 65536, 4),
+        F.lit("01" "011100" "FFD9"),
+    )
+    webp = F.lit(WEBP.replace(" ", ""))
+    raw = F.when(shape == 0, png).when(shape == 1, webp).when(shape == 3, jpeg)
+    return F.coalesce(F.unhex(raw), F.encode(F.lit(SVG), "UTF-8"))
+
+
 def _archives(spark, folder):
     """(package_id, content): one archive per document."""
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    size = F.char_length("text")
     text = F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(char), F.lit(entity))
-    link = lambda word, to: f' <a href="{to}">{word}</a> '
-    for word, to in (("the", "#p1"), ("of", "https://example.org/"), ("is", "gone.xhtml")):
-        text = F.replace(text, F.lit(f" {word} "), F.lit(link(word, to)))
-    paras = F.array_join(
-        F.transform(
-            F.split(text, "\n"),
-            lambda line, i: F.concat(F.lit('<p id="p'), i + 1, F.lit('">'), line, F.lit("</p>")),
+    docs = docs.select(
+        F.col("doc_id").alias("package_id"), F.split(text, "\n").alias("ls"),
+        F.pmod(size, F.lit(SHAPE)).alias("shape"), F.pmod(size, F.lit(DAMAGE)).alias("damage"),
+    )
+    lines, shape = F.size("ls"), F.col("shape")
+    docs = docs.withColumn("n", F.floor((lines - 1) / LINES).cast("int") + 1)
+    numbers = F.sequence(F.lit(1), F.col("n"))
+    coded = lambda c: F.encode(c, "UTF-8")
+    member = lambda name, content: F.struct(name.alias("name"), content.alias("content"))
+    fixed = lambda name, content: member(F.lit(name), content)
+
+    def linked(line, first):
+        for words, markup in LINKS.values():
+            for word in words:
+                before, after = markup.format(first="@", word=word).partition("@")[::2] if "{first}" in markup else (markup.format(word=word), "")
+                here = F.concat(F.lit(" " + before), first, F.lit(after + " ")) if after else F.lit(f" {before} ")
+                line = F.replace(line, F.lit(f" {word} "), here)
+        return line
+
+    def chapter(c):
+        first = ((c - 1) * LINES + 1).cast("string")
+        paragraphs = F.transform(
+            F.slice("ls", (c - 1) * LINES + 1, F.lit(LINES)),
+            lambda line, i: F.concat(
+                F.lit('<p id="l'), (c - 1) * LINES + 1 + i, F.lit('">'), linked(line, first), F.lit("</p>")
+            ),
+        )
+        cover = F.when(c == 1, '<p><img src="../art/front" alt=" "/></p>').otherwise("")
+        plate = F.when((c == F.col("n")) & (c > 1), '<p><img src="../art/plate.gif" alt="plate"/></p>').otherwise("")
+        end = F.when((c == 1) & (shape == 2), "</html>").otherwise("</body></html>")
+        body = F.concat(
+            F.lit(HTML + '<h1 id="top">Part '), c, F.lit(" of "), "package_id", F.lit("</h1>"),
+            F.array_join(paragraphs, ""), cover, plate, end,
+        )
+        return member(F.concat(F.lit("OPS/chapters/"), c, F.lit(".xhtml")), coded(body))
+
+    many = lambda each: F.array_join(F.transform(numbers, each), "")
+    item = '<item id="{}" href="{}" media-type="{}"{}/>'.format
+    items = F.concat(
+        F.when(shape == 1, item("toc", "index.ncx", S.NCX_TYPE, "")).otherwise(
+            item("toc", "index.xhtml", S.XHTML_TYPE, ' properties="nav"')
+        ),
+        many(lambda c: F.concat(F.lit('<item id="c'), c, F.lit('" href="chapters/'), c, F.lit(f'.xhtml" media-type="{S.XHTML_TYPE}"/>'))),
+        F.lit(item("remarks", "remarks.xhtml", S.XHTML_TYPE, "")),
+        F.when(shape % 2 == 0, item("front", "art/front", "image/png", ' properties="cover-image"')).otherwise(
+            item("front", "art/front", "image/png", "")
         ),
-        "",
+        F.when(F.col("n") > 1, item("plate", "art/plate.gif", "image/gif", "")).otherwise(""),
+        F.when(shape == 3, item("remarks", "remarks.xhtml", S.XHTML_TYPE, "")).otherwise(""),
     )
-    end = F.when(F.col("lang") == "de", F.lit("")).otherwise(F.lit("</body>"))
-    chapter = F.concat(
-        F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><body><h1 id="top">Document '), "doc_id",
-        F.lit("</h1>"), paras, F.lit('<p><img src="../images/figure.png" alt=" "/></p>'), end, F.lit("</html>"),
+    opf = F.concat(
+        F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
+              "<dc:title>Book "), "package_id", F.lit("</dc:title>"),
+        F.when(shape % 2 == 1, '<meta name="cover" content="front"/>').otherwise(""),
+        F.lit("</metadata><manifest>"), items, F.lit('</manifest><spine toc="toc">'),
+        many(lambda c: F.concat(F.lit('<itemref idref="c'), c, F.lit('"/>'))),
+        F.lit('<itemref idref="remarks" linear="no"/><itemref idref="lost"/></spine></package>'),
     )
-    picture = (
-        F.when(F.col("lang") == "en", F.unhex(F.lit(PNG)))
-        .when(F.col("lang") == "fr", F.unhex(F.lit(WEBP)))
-        .when(F.col("lang") == "es", F.unhex(F.lit(JPEG)))
-        .otherwise(F.encode(F.lit(SVG), "UTF-8"))
+    contents = F.concat(
+        F.lit(HTML + '<nav epub:type="toc"><ol>'),
+        many(lambda c: F.concat(F.lit('<li><a href="chapters/'), c, F.lit('.xhtml">Part</a></li>'))),
+        F.lit('<li><a href="chapters/1.xhtml#l1">Start</a></li></ol></nav></body></html>'),
+    )
+    points = F.concat(
+        F.lit('<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><navMap>'),
+        many(lambda c: F.concat(F.lit('<navPoint id="p'), c, F.lit('"><content src="chapters/'), c, F.lit('.xhtml"/></navPoint>'))),
+        F.lit("</navMap></ncx>"),
     )
-    coded = lambda c: F.encode(c, "UTF-8")
-    member = lambda name, content: F.struct(F.lit(name).alias("name"), content.alias("content"))
-    opf = F.concat(F.lit(OPF_HEAD + "Document "), "doc_id", F.lit(OPF_TAIL))
     members = F.array_compact(
-        F.array(
-            member("mimetype", coded(F.lit("application/epub+zip"))),
-            member(S.CONTAINER, coded(F.lit(CONTAINER))),
-            member("EPUB/package.opf", coded(opf)),
-            F.when(F.col("lang") != "fr", member("EPUB/nav.xhtml", coded(F.lit(NAV)))),
-            member("EPUB/text/ch.xhtml", coded(chapter)),
-            member("EPUB/images/figure.png", picture),
-            F.when(F.col("lang") == "es", member("../mimetype", coded(F.lit("x")))),
-            F.when(F.col("lang") == "es", member("mimetype", coded(F.lit("application/epub+zip")))),
+        F.concat(
+            F.array(
+                fixed("mimetype", coded(F.lit("application/epub+zip"))),
+                fixed(S.CONTAINER, coded(F.lit(CONTAINER))),
+                fixed("OPS/book.opf", coded(opf)),
+                F.when(shape != 1, fixed("OPS/index.xhtml", coded(contents))),
+                F.when((shape == 1) & (lines % 2 == 1), fixed("OPS/index.ncx", coded(points))),
+                fixed("OPS/remarks.xhtml", coded(F.lit(REMARKS))),
+                fixed("OPS/art/front", _cover(shape, lines)),
+                F.when(F.col("n") > 1, fixed("OPS/art/plate.gif", F.unhex(F.lit(GIF.replace(" ", ""))))),
+                F.when(shape == 3, fixed("../up", coded(F.lit("x")))),
+                F.when(shape == 3, fixed("mimetype", coded(F.lit("application/epub+zip")))),
+            ),
+            F.transform(numbers, chapter),
         )
     )
-    rows = docs.select(F.col("doc_id").alias("package_id"), members.alias("members"))
-    return rows.mapInArrow(arrow_rows(_zip, _ZIPPED, ("package_id", "members")), _ZIPPED)
+    rows = docs.select("package_id", members.alias("members"), "damage")
+    return rows.mapInArrow(arrow_rows(_zip, _ZIPPED, ("package_id", "members", "damage")), _ZIPPED)
 
 
 def _members(spark, folder):
@@ -121,12 +200,38 @@ def _opened(spark, folder):
     return members, current, paths, records
 
 
+def _sql_count(words):
+    each = (f"(length(line) - length(replace(line, ' {w} ', ''))) // {len(w) + 2}" for w in words)
+    return " + ".join(each)
+
+
+# Lines with their chapter and links; chapters (b) without the cut one; books (k); s: those that open.
+_SQL_BOOKS = (
+    rf"""
+WITH d AS (SELECT doc_id, length(text) % {SHAPE} AS shape, length(text) % {DAMAGE} AS damage, string_split(regexp_replace(text,
+   '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{FFFE}}\x{{FFFF}}]', '', 'g'), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, shape, damage, unnest(range(1, len(ls) + 1)) AS ln, unnest(ls) AS line FROM d),
+n AS (SELECT *, (ln - 1) // {LINES} + 1 AS c, """
+    + ", ".join(f"{_sql_count(words)} AS {name}" for name, (words, _) in LINKS.items())
+    + f""" FROM l),
+a AS (SELECT doc_id, shape, damage, c, count(*) AS lines, max(own + gone + note + lost) AS top, sum(own)::BIGINT AS own, sum(web)::BIGINT AS web,
+  sum(gone)::BIGINT AS gone, sum(note)::BIGINT AS note, sum(lost)::BIGINT AS lost FROM n WHERE damage NOT BETWEEN 1 AND 5 GROUP BY ALL),
+b AS (SELECT * FROM a WHERE shape <> 2 OR c > 1),
+k AS (SELECT doc_id, shape, damage, len(ls) AS lines, (len(ls) - 1) // {LINES} + 1 AS parts FROM d),
+s AS (SELECT * FROM k WHERE damage NOT BETWEEN 1 AND 5)"""
+)
+
+
 @query(
     "archive_members",
-    """SELECT doc_id AS package_id, name, count(*) AS n FROM (SELECT doc_id,
-  unnest(['mimetype', 'META-INF/container.xml', 'EPUB/package.opf', 'EPUB/text/ch.xhtml', 'EPUB/images/figure.png']
-   || CASE WHEN lang <> 'fr' THEN ['EPUB/nav.xhtml'] ELSE [] END
-   || CASE WHEN lang = 'es' THEN ['mimetype', '../mimetype'] ELSE [] END) AS name FROM documents) GROUP BY ALL""",
+    _SQL_BOOKS
+    + """ SELECT doc_id AS package_id, name, count(*) AS n FROM (
+  SELECT doc_id, unnest(['mimetype', 'OPS/remarks.xhtml', 'OPS/art/front']
+   || CASE WHEN damage <> 1 THEN ['META-INF/container.xml'] ELSE [] END || CASE WHEN damage <> 3 THEN ['OPS/book.opf'] ELSE [] END
+   || CASE WHEN shape <> 1 THEN ['OPS/index.xhtml'] WHEN lines % 2 = 1 THEN ['OPS/index.ncx'] ELSE [] END
+   || CASE WHEN parts > 1 THEN ['OPS/art/plate.gif'] ELSE [] END || CASE WHEN shape = 3 THEN ['mimetype', '../up'] ELSE [] END
+   || list_transform(range(1, parts + 1), lambda c: 'OPS/chapters/' || c || '.xhtml')) AS name FROM k WHERE damage <> 5
+  UNION ALL SELECT doc_id, '' FROM k WHERE damage = 5) GROUP BY ALL""",
 )
 def archive_members(spark, folder):
     members = S.packages_to_members(_archives(spark, folder))
@@ -135,20 +240,27 @@ def archive_members(spark, folder):
 
 @query(
     "package_manifest",
-    """SELECT doc_id AS package_id, id, target, media_type FROM documents, (VALUES
-  ('nav', 'EPUB/nav.xhtml', 'application/xhtml+xml'), ('chapter', 'EPUB/text/ch.xhtml', 'application/xhtml+xml'),
-  ('figure', 'EPUB/images/figure.png', 'image/png')) v(id, target, media_type)""",
+    _SQL_BOOKS
+    + """ SELECT doc_id AS package_id, id, target, media_type, count(*) AS n FROM (
+  SELECT doc_id, 'toc' AS id, CASE WHEN shape = 1 THEN 'OPS/index.ncx' ELSE 'OPS/index.xhtml' END AS target,
+         CASE WHEN shape = 1 THEN 'application/x-dtbncx+xml' ELSE 'application/xhtml+xml' END AS media_type FROM s
+  UNION ALL SELECT doc_id, 'c' || c, 'OPS/chapters/' || c || '.xhtml', 'application/xhtml+xml' FROM a
+  UNION ALL SELECT doc_id, 'remarks', 'OPS/remarks.xhtml', 'application/xhtml+xml' FROM s, range(CASE WHEN shape = 3 THEN 2 ELSE 1 END)
+  UNION ALL SELECT doc_id, 'front', 'OPS/art/front', 'image/png' FROM s
+  UNION ALL SELECT doc_id, 'plate', 'OPS/art/plate.gif', 'image/gif' FROM s WHERE parts > 1) GROUP BY ALL""",
 )
 def package_manifest(spark, folder):
     *_, records = _opened(spark, folder)
-    return S.manifest(records).select("package_id", "id", "target", "media_type")
+    return S.manifest(records).groupBy("package_id", "id", "target", "media_type").agg(F.count("*").alias("n"))
 
 
 @query(
     "package_spine",
-    """SELECT doc_id AS package_id, ord::INTEGER AS ord, idref, linear, target, resolved FROM documents, (VALUES
-  (0, 'nav', false, 'EPUB/nav.xhtml', true), (1, 'chapter', true, 'EPUB/text/ch.xhtml', true),
-  (2, 'lost', true, NULL, false)) v(ord, idref, linear, target, resolved)""",
+    _SQL_BOOKS
+    + """ SELECT doc_id AS package_id, (c - 1)::INTEGER AS ord, 'c' || c AS idref, true AS linear, 'OPS/chapters/' || c || '.xhtml' AS target,
+  true AS resolved FROM a
+UNION ALL SELECT doc_id, parts::INTEGER, 'remarks', false, 'OPS/remarks.xhtml', true FROM s
+UNION ALL SELECT doc_id, (parts + 1)::INTEGER, 'lost', true, NULL, false FROM s""",
 )
 def package_spine(spark, folder):
     *_, records = _opened(spark, folder)
@@ -157,15 +269,6 @@ def package_spine(spark, folder):
     )
 
 
-_SQL_LINES = """
-WITH l AS (SELECT doc_id, lang, unnest(string_split(regexp_replace(text,
-   '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]', '', 'g'), chr(10))) AS line FROM documents),
-k AS (SELECT doc_id, lang, count(*) AS lines,
-  sum((length(line) - length(replace(line, ' the ', ''))) // 5)::BIGINT AS own,
-  sum((length(line) - length(replace(line, ' of ', ''))) // 4)::BIGINT AS web,
-  sum((length(line) - length(replace(line, ' is ', ''))) // 4)::BIGINT AS gone FROM l GROUP BY ALL)"""
-
-
 def _package_links(spark, folder):
     _, current, _, records = _opened(spark, folder)
     nodes = materialise(S.documents_to_nodes(S.content_documents(current, records)))
@@ -176,36 +279,49 @@ def _package_links(spark, folder):
 
 @query(
     "package_links",
-    _SQL_LINES
+    _SQL_BOOKS
     + """ SELECT doc_id AS package_id, document, kind, n FROM (
-  SELECT doc_id, 'EPUB/text/ch.xhtml' AS document, unnest(['cross-reference', 'web-link', 'dead-link']) AS kind,
-         unnest([own, web, gone]) AS n FROM k WHERE lang <> 'de'
-  UNION ALL SELECT doc_id, 'EPUB/nav.xhtml', 'cross-reference', CASE WHEN lang = 'de' THEN 1 ELSE 2 END FROM k WHERE lang <> 'fr'
-  UNION ALL SELECT doc_id, 'EPUB/nav.xhtml', 'dead-link', 1 FROM k WHERE lang = 'de') WHERE n > 0""",
+  SELECT doc_id, 'OPS/chapters/' || c || '.xhtml' AS document, unnest(['cross-reference', 'web-link', 'dead-link', 'footnote-reference']) AS kind,
+         unnest([own, web, gone + lost, note]) AS n FROM b
+  UNION ALL SELECT doc_id, 'OPS/index.xhtml', 'cross-reference', CASE WHEN shape = 2 THEN parts ELSE parts + 1 END FROM s WHERE shape <> 1
+  UNION ALL SELECT doc_id, 'OPS/index.xhtml', 'dead-link', 1 FROM s WHERE shape = 2
+  UNION ALL SELECT doc_id, 'OPS/remarks.xhtml', CASE WHEN shape = 2 THEN 'dead-link' ELSE 'footnote-back-link' END, 1 FROM s) WHERE n > 0""",
 )
 def package_links(spark, folder):
     *_, links = _package_links(spark, folder)
     return links.groupBy("package_id", "document", "kind").agg(F.count("*").alias("n"))
 
 
+@query(
+    "package_note_targets",
+    _SQL_BOOKS
+    + """ SELECT doc_id AS package_id, 1::BIGINT AS target_documents FROM b GROUP BY doc_id HAVING sum(note) > 0""",
+)
+def package_note_targets(spark, folder):
+    """In how many documents the note references of a book land."""
+    *_, links = _package_links(spark, folder)
+    return L.note_targets(links)
+
+
 @query(
     "package_anchors",
-    _SQL_LINES
-    + """ SELECT doc_id AS package_id, 'EPUB/text/ch.xhtml' AS document, 1 + lines AS anchors FROM k WHERE lang <> 'de'""",
+    _SQL_BOOKS
+    + """ SELECT doc_id AS package_id, 'OPS/chapters/' || c || '.xhtml' AS document, 1 + lines AS anchors FROM b
+UNION ALL SELECT doc_id, 'OPS/remarks.xhtml', 1 FROM s UNION ALL SELECT doc_id, 'OPS/index.xhtml', 0 FROM s WHERE shape <> 1""",
 )
 def package_anchors(spark, folder):
     _, current, _, records = _opened(spark, folder)
     nodes = S.documents_to_nodes(S.content_documents(current, records)).filter("well_formed")
-    counts = L.anchor_counts(nodes, ("package_id", "document"))
-    return counts.filter(F.col("document") == "EPUB/text/ch.xhtml")
+    return L.anchor_counts(nodes, ("package_id", "document"))
 
 
 @query(
     "package_text",
-    _SQL_LINES
-    + f""", t AS (SELECT doc_id, trim(regexp_replace(line, '{SQL_WS}+', ' ', 'g')) AS t FROM l WHERE lang <> 'de')
-SELECT doc_id AS package_id, length('Document ' || doc_id) + coalesce(sum(length(t) + 1) FILTER (t <> ''), 0)::BIGINT AS chars,
-       count(*) FILTER (t <> '') + 1 AS lines FROM t GROUP BY doc_id""",
+    _SQL_BOOKS
+    + f""", t AS (SELECT doc_id, trim(regexp_replace(line, '{SQL_WS}+', ' ', 'g')) AS t FROM n WHERE damage NOT BETWEEN 1 AND 5 AND (shape <> 2 OR c > 1)
+  UNION ALL SELECT doc_id, 'Part ' || c || ' of ' || doc_id FROM b
+  UNION ALL SELECT doc_id, 'plate' FROM s WHERE parts > 1 UNION ALL SELECT doc_id, 'Remark back' FROM s)
+SELECT doc_id AS package_id, sum(length(t) + 1)::BIGINT - 1 AS chars, count(*) AS lines FROM t WHERE t <> '' GROUP BY doc_id""",
 )
 def package_text(spark, folder):
     _, current, _, records = _opened(spark, folder)
@@ -220,22 +336,25 @@ def package_text(spark, folder):
 
 @query(
     "package_navigation",
-    """SELECT doc_id AS package_id, 'EPUB/nav.xhtml' AS path, 'epub3-nav' AS kind,
-              CASE WHEN lang = 'fr' THEN 0 ELSE 2 END::BIGINT AS entries FROM documents""",
+    _SQL_BOOKS
+    + """ SELECT doc_id AS package_id, CASE WHEN shape = 1 THEN 'OPS/index.ncx' ELSE 'OPS/index.xhtml' END AS path,
+  CASE WHEN shape = 1 THEN 'ncx' ELSE 'epub3-nav' END AS kind,
+  CASE WHEN shape <> 1 THEN parts + 1 WHEN lines % 2 = 1 THEN parts ELSE 0 END::BIGINT AS entries FROM s""",
 )
 def package_navigation(spark, folder):
     _, current, _, records = _opened(spark, folder)
-    nodes = S.documents_to_nodes(S.content_documents(current, records))
+    nodes = S.documents_to_nodes(S.content_documents(current, records, (S.XHTML_TYPE, S.NCX_TYPE)))
     chosen = K.navigation(records)
     return chosen.join(K.navigation_entries(nodes, chosen), "package_id")
 
 
 @query(
     "package_references",
-    _SQL_LINES
-    + """ SELECT doc_id AS package_id, kind, n FROM (SELECT doc_id, unnest(['in-book', 'same-document', 'external']) AS kind,
-  unnest([CASE WHEN lang <> 'de' THEN gone + 1 ELSE 0 END + CASE WHEN lang <> 'fr' THEN 2 ELSE 0 END,
-          CASE WHEN lang <> 'de' THEN own ELSE 0 END, CASE WHEN lang <> 'de' THEN web ELSE 0 END]) AS n FROM k) WHERE n > 0""",
+    _SQL_BOOKS
+    + """, r AS (SELECT doc_id, sum(own)::BIGINT AS own, sum(web)::BIGINT AS web, sum(gone + note + lost)::BIGINT AS inside FROM b GROUP BY doc_id)
+SELECT doc_id AS package_id, kind, n FROM (SELECT s.doc_id, unnest(['in-book', 'same-document', 'external']) AS kind,
+  unnest([coalesce(inside, 0) + 1 + CASE WHEN shape <> 1 THEN parts + 1 ELSE 0 END + (shape <> 2)::INT + (parts > 1)::INT,
+          coalesce(own, 0), coalesce(web, 0)]) AS n FROM s LEFT JOIN r USING (doc_id)) WHERE n > 0""",
 )
 def package_references(spark, folder):
     _, current, _, records = _opened(spark, folder)
@@ -245,14 +364,20 @@ def package_references(spark, folder):
 
 @query(
     "package_problems",
-    _SQL_LINES
+    _SQL_BOOKS
     + """ SELECT doc_id AS package_id, kind, location, n FROM (
-  SELECT doc_id, 'broken-reference' AS kind, 'EPUB/package.opf' AS location, CASE WHEN lang = 'fr' THEN 2 ELSE 1 END AS n FROM k
-  UNION ALL SELECT doc_id, 'broken-reference', 'EPUB/text/ch.xhtml', gone FROM k WHERE lang <> 'de'
-  UNION ALL SELECT doc_id, 'missing-navigation', 'EPUB/nav.xhtml', 1 FROM k WHERE lang = 'fr'
-  UNION ALL SELECT doc_id, 'malformed-xml', 'EPUB/text/ch.xhtml', 1 FROM k WHERE lang = 'de'
-  UNION ALL SELECT doc_id, 'duplicate-archive-member', 'mimetype', 1 FROM k WHERE lang = 'es'
-  UNION ALL SELECT doc_id, 'unsafe-archive-path', '../mimetype', 1 FROM k WHERE lang = 'es') WHERE n > 0""",
+  SELECT doc_id, 'broken-reference' AS kind, 'OPS/book.opf' AS location, CASE WHEN shape = 1 AND lines % 2 = 0 THEN 2 ELSE 1 END AS n FROM s
+  UNION ALL SELECT doc_id, 'broken-reference', 'OPS/chapters/' || c || '.xhtml', gone FROM b
+  UNION ALL SELECT doc_id, 'missing-navigation', 'OPS/index.ncx', 1 FROM s WHERE shape = 1 AND lines % 2 = 0
+  UNION ALL SELECT doc_id, 'malformed-xml', 'OPS/chapters/1.xhtml', 1 FROM s WHERE shape = 2
+  UNION ALL SELECT doc_id, 'duplicate-manifest-id', 'OPS/book.opf', 1 FROM s WHERE shape = 3
+  UNION ALL SELECT doc_id, 'duplicate-archive-member', 'mimetype', 1 FROM k WHERE shape = 3 AND damage <> 5
+  UNION ALL SELECT doc_id, 'unsafe-archive-path', '../up', 1 FROM k WHERE shape = 3 AND damage <> 5
+  UNION ALL SELECT doc_id, 'missing-container', 'META-INF/container.xml', 1 FROM k WHERE damage IN (1, 5)
+  UNION ALL SELECT doc_id, 'malformed-xml', 'META-INF/container.xml', 1 FROM k WHERE damage = 2
+  UNION ALL SELECT doc_id, 'missing-package-document', 'OPS/book.opf', 1 FROM k WHERE damage = 3
+  UNION ALL SELECT doc_id, 'malformed-xml', 'OPS/book.opf', 1 FROM k WHERE damage = 4
+  UNION ALL SELECT doc_id, 'unreadable-artifact', '', 1 FROM k WHERE damage = 5) WHERE n > 0""",
 )
 def package_problems(spark, folder):
     members, current, paths, records = _opened(spark, folder)
@@ -274,41 +399,56 @@ def _images(spark, folder):
     return materialise(K.image_resources(measured, references, K.covers(records))), references
 
 
+# The cover by shape, and the plate of books with several chapters.
+_SQL_IMAGES = (
+    _SQL_BOOKS
+    + """, i AS (SELECT doc_id, shape, lines, 'OPS/art/front' AS path, true AS cover, shape <> 2 AS referenced,
+  CASE shape WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' WHEN 2 THEN 'image/svg+xml' ELSE 'image/jpeg' END AS media_type,
+  CASE shape WHEN 0 THEN lines WHEN 3 THEN lines % 65536 END::INTEGER AS width,
+  CASE shape WHEN 0 THEN CASE WHEN lines % 2 = 0 THEN 16 ELSE 8 END WHEN 3 THEN 8 END::INTEGER AS sample_depth,
+  CASE WHEN shape = 3 THEN CASE WHEN lines % 2 = 0 THEN 'progressive' ELSE 'baseline' END END AS scan_mode,
+  CASE WHEN shape = 0 THEN CASE WHEN lines % 2 = 0 THEN 'false' ELSE 'true' END WHEN shape = 3 THEN CASE WHEN lines % 2 = 0 THEN 'unknown' ELSE 'true' END
+       ELSE 'false' END AS device_support FROM s
+  UNION ALL SELECT doc_id, shape, lines, 'OPS/art/plate.gif', false, true, 'image/gif', 10, NULL, NULL, 'unknown' FROM s WHERE parts > 1)"""
+)
+
+
 @query(
     "package_images",
-    """SELECT doc_id AS package_id, media_type, intact, width::INTEGER AS width, depth::INTEGER AS sample_depth,
-  scan_mode, lang <> 'de' AS referenced, true AS cover, device_support FROM documents JOIN (VALUES
-  ('en', 'image/png', true, 600, 16, NULL, 'false'), ('fr', 'image/webp', true, NULL, NULL, NULL, 'false'),
-  ('es', 'image/jpeg', true, 1, 8, 'progressive', 'false'), ('de', 'image/svg+xml', true, NULL, NULL, NULL, 'false'))
-  v(lang, media_type, intact, width, depth, scan_mode, device_support) USING (lang)""",
+    _SQL_IMAGES
+    + """ SELECT doc_id AS package_id, path, media_type, true AS intact, width, sample_depth, scan_mode, referenced, cover, device_support FROM i""",
 )
 def package_images(spark, folder):
     images, _ = _images(spark, folder)
     return K.device_support(images).select(
-        "package_id", "media_type", "intact", "width", "sample_depth", "scan_mode", "referenced",
+        "package_id", "path", "media_type", "intact", "width", "sample_depth", "scan_mode", "referenced",
         "cover", "device_support",
     )
 
 
 @query(
     "package_image_assessments",
-    """SELECT doc_id AS package_id, requirement_id, verdict, 1::BIGINT AS images FROM documents JOIN (VALUES
-  ('en', 'image-media-type', 'true'), ('en', 'png-decoding', 'false'), ('fr', 'image-media-type', 'false'),
-  ('es', 'image-media-type', 'true'), ('es', 'jpeg-decoding', 'false'), ('de', 'image-media-type', 'false'))
-  v(lang, requirement_id, verdict) USING (lang)""",
+    _SQL_IMAGES
+    + """, v AS (SELECT doc_id, 'image-media-type' AS requirement_id, CASE WHEN media_type IN ('image/png', 'image/jpeg') THEN 'true'
+    WHEN media_type IN ('image/webp', 'image/svg+xml') THEN 'false' ELSE 'unknown' END AS verdict FROM i
+  UNION ALL SELECT doc_id, 'png-decoding', device_support FROM i WHERE media_type = 'image/png'
+  UNION ALL SELECT doc_id, 'jpeg-decoding', device_support FROM i WHERE media_type = 'image/jpeg')
+SELECT doc_id AS package_id, requirement_id, CASE WHEN bool_or(verdict = 'false') THEN 'false' WHEN bool_or(verdict = 'unknown') THEN 'unknown'
+  ELSE 'true' END AS verdict, count(*) AS images, count(*) FILTER (verdict = 'true') AS compatible,
+  count(*) FILTER (verdict = 'false') AS incompatible, count(*) FILTER (verdict = 'unknown') AS unlisted FROM v GROUP BY ALL""",
 )
 def package_image_assessments(spark, folder):
     images, _ = _images(spark, folder)
-    tally = K.image_assessments(K.image_verdicts(images))
-    return tally.select("package_id", "requirement_id", "verdict", "images")
+    return K.image_assessments(K.image_verdicts(images))
 
 
 @query(
     "package_image_observations",
-    """SELECT doc_id AS package_id, name, applicability, fired FROM documents, (VALUES
-  ('unrenderable-images', true, true), ('alt-text-fallback-absence', true, NULL),
-  ('colour-meaning-collapse', true, NULL), ('diagram-text-legibility', true, NULL)) v(name, applicability, f),
-  LATERAL (SELECT CASE WHEN name = 'alt-text-fallback-absence' THEN lang <> 'de' ELSE f END AS fired)""",
+    _SQL_IMAGES
+    + """, f AS (SELECT doc_id, count(*) FILTER (device_support <> 'true') AS bad,
+   count(*) FILTER (device_support <> 'true' AND path = 'OPS/art/front' AND referenced) AS blank FROM i GROUP BY doc_id)
+SELECT doc_id AS package_id, unnest(['unrenderable-images', 'alt-text-fallback-absence', 'colour-meaning-collapse', 'diagram-text-legibility']) AS name,
+  true AS applicability, unnest([bad > 0, blank > 0, NULL, NULL]) AS fired FROM f""",
 )
 def package_image_observations(spark, folder):
     images, references = _images(spark, folder)
@@ -326,30 +466,35 @@ def package_image_observations(spark, folder):
     return seen.select("package_id", "name", "applicability", "fired")
 
 
+_SQL_FACTS = (
+    _SQL_BOOKS
+    + f""", f AS (SELECT k.doc_id, k.shape, k.damage BETWEEN 1 AND 5 AS shut, k.shape = 2 OR k.damage BETWEEN 1 AND 5 AS cut, parts, k.lines,
+  greatest(1, coalesce(max(top), 0)) AS top, coalesce(sum(note + b.lost), 0) AS noted, coalesce(sum(b.lost), 0) AS unfound,
+  coalesce(sum(gone + b.lost), 0) + CASE WHEN k.shape = 2 THEN 2 ELSE 0 END AS dead,
+  1 + CASE WHEN k.shape = 2 THEN least(k.lines - {LINES}, {LINES}) ELSE least(k.lines, {LINES}) END AS anchors
+  FROM k LEFT JOIN b USING (doc_id) GROUP BY k.doc_id, k.shape, k.damage, parts, k.lines)"""
+)
+
+
 @query(
     "package_verdicts",
-    _SQL_LINES
-    + """, b AS (SELECT doc_id, max((length(line) - length(replace(line, ' the ', ''))) // 5
-                                 + (length(line) - length(replace(line, ' is ', ''))) // 4) AS top FROM l GROUP BY doc_id),
-v AS (SELECT k.*, CASE WHEN lang = 'de' THEN 0 ELSE top END AS top, CASE WHEN lang = 'de' THEN 0 ELSE own + gone END + CASE WHEN lang = 'fr' THEN 0 ELSE 2 END AS recorded,
-   lang = 'de' AS broken FROM k JOIN b USING (doc_id))
-SELECT doc_id AS package_id, unnest(['recorded-links-per-block', 'footnote-href-length', 'anchors-per-chapter']) AS requirement_id,
-  unnest([CASE WHEN recorded = 0 THEN 'not_applicable' WHEN broken THEN 'unknown' WHEN top > 128 THEN 'false' ELSE 'true' END,
-          CASE WHEN recorded = 0 THEN 'not_applicable' WHEN broken THEN 'unknown' ELSE 'true' END,
-          CASE WHEN broken THEN 'unknown' WHEN lines + 1 > 1024 THEN 'false' ELSE 'true' END]) AS verdict FROM v""",
+    _SQL_FACTS
+    + """ SELECT doc_id AS package_id, requirement_id, CASE WHEN requirement_id = 'footnotes-per-screen' THEN 'unevaluable'
+  WHEN requirement_id NOT IN ('anchors-per-chapter', 'footnote-href-length', 'recorded-links-per-block') THEN 'unknown'
+  WHEN shut THEN 'not_applicable' WHEN cut THEN 'unknown'
+  WHEN requirement_id = 'recorded-links-per-block' AND top > 128 THEN 'false'
+  WHEN requirement_id = 'anchors-per-chapter' AND anchors > 1024 THEN 'false' ELSE 'true' END AS verdict
+FROM f, (VALUES ('anchors-per-chapter'), ('footnotes-per-screen'), ('footnote-href-length'),
+  ('recorded-links-per-block'), ('image-media-type'), ('png-decoding'), ('jpeg-decoding')) r(requirement_id)""",
 )
 def package_verdicts(spark, folder):
     nodes, records, current, links = _package_links(spark, folder)
     verdicts = V.evaluate(V.instruments_of(_artifact_facts(current, nodes, records, links)), "package_id")
-    return verdicts.filter(
-        F.col("requirement_id").isin(
-            "recorded-links-per-block", "footnote-href-length", "anchors-per-chapter"
-        )
-    ).select("package_id", "requirement_id", "verdict")
+    return verdicts.select("package_id", "requirement_id", "verdict")
 
 
 def _artifact_facts(packages, nodes, records, links):
-    """One row of measured facts per package, also of those without any content document."""
+    """One row of measured facts per package; one that does not open has nothing complete in it."""
     facts = L.link_facts(links, ("package_id",), ("document", "read_block"))
     order = K.spine_paths(records).filter(F.col("target").isNotNull())
     chapters = order.select("package_id", F.col("target").alias("document")).distinct()
@@ -359,26 +504,21 @@ def _artifact_facts(packages, nodes, records, links):
         .groupBy("package_id")
         .agg(F.max("anchors").alias("max_anchors"))
     )
-    state = nodes.groupBy("package_id").agg(F.bool_and("well_formed").alias("complete"))
+    state = nodes.groupBy("package_id").agg(F.bool_and("well_formed").alias("_whole"))
+    opened = records.filter("record = 'package'").select("package_id").distinct().withColumn("_open", F.lit(True))
     count = chapters.groupBy("package_id").agg(F.count("*").alias("chapters"))
-    joined = (
-        packages.select("package_id")
-        .distinct()
-        .join(state, "package_id", "left")
-        .withColumn("complete", F.coalesce("complete", F.lit(True)))  # no document, none unread
-        .join(count, "package_id", "left")
-        .join(anchors, "package_id", "left")
-        .join(facts, "package_id", "left")
-    )
-    return joined.fillna(0)
+    joined = packages.select("package_id").distinct()
+    for part in (state, opened, count, anchors, facts):
+        joined = joined.join(part, "package_id", "left")
+    complete = F.coalesce("_open", F.lit(False)) & F.coalesce("_whole", F.lit(True))
+    return joined.withColumn("complete", complete).drop("_open", "_whole").fillna(0)
 
 
 @query(
     "package_navigation_observations",
-    _SQL_LINES
-    + """, o AS (SELECT *, lang <> 'de' AS whole, CASE WHEN lang = 'de' THEN 0 ELSE own + gone END + CASE WHEN lang = 'fr' THEN 0 ELSE 2 END AS inside FROM k)
-SELECT doc_id AS package_id, name, applicability, fired FROM (SELECT doc_id, unnest(['footnote-target-reliability', 'link-footnote-dilution']) AS name,
-  unnest([false, inside > 0]) AS applicability, unnest([CASE WHEN whole THEN false END, NULL]) AS fired FROM o)""",
+    _SQL_FACTS
+    + """ SELECT doc_id AS package_id, unnest(['footnote-target-reliability', 'link-footnote-dilution']) AS name,
+  unnest([noted > 0, NOT shut]) AS applicability, unnest([CASE WHEN NOT cut THEN unfound > 0 END, NULL]) AS fired FROM f""",
 )
 def package_navigation_observations(spark, folder):
     nodes, records, current, links = _package_links(spark, folder)
@@ -388,11 +528,9 @@ def package_navigation_observations(spark, folder):
 
 @query(
     "package_refusals",
-    _SQL_LINES
-    + """, b AS (SELECT doc_id, max((length(line) - length(replace(line, ' the ', ''))) // 5
-                                 + (length(line) - length(replace(line, ' is ', ''))) // 4) AS top FROM l GROUP BY doc_id)
-SELECT doc_id AS package_id, CASE WHEN lang = 'de' THEN 'malformed-content-document' WHEN top > 128 THEN 'compatibility'
-     WHEN gone > 0 THEN 'text-preservation' END AS boundary FROM k JOIN b USING (doc_id)""",
+    _SQL_FACTS
+    + """ SELECT doc_id AS package_id, CASE WHEN cut THEN 'malformed-content-document' WHEN top > 128 THEN 'compatibility'
+     WHEN dead > 0 THEN 'text-preservation' END AS boundary FROM f""",
 )
 def package_refusals(spark, folder):
     """The first boundary of each book; dead links stand in for lost words here."""

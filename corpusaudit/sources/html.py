@@ -237,7 +237,7 @@ class PageReader(HTMLParser):
 
 def _local(name):
     """Name of an element or attribute without its namespace, as the tolerant reader sees it."""
-    return name.rsplit("}", 1)[-1]
+    return name.rsplit("}", 1)[-1].lower()
 
 
 def _attribute(name):

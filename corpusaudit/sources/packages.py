@@ -214,11 +214,11 @@ def _document_segments(package_id, document, content):
     return [(package_id, document, *row) for row in segments_of(package_id, read_element(package_id, root))]
 
 
-def content_documents(members: DataFrame, records: DataFrame) -> DataFrame:
-    """(package_id, document, content) of every manifest item of the document type, once."""
+def content_documents(members: DataFrame, records: DataFrame, types=(XHTML_TYPE,)) -> DataFrame:
+    """(package_id, document, content) of every manifest item of a document type, once."""
     named = (
         manifest(records)
-        .filter((F.col("media_type") == XHTML_TYPE) & F.col("target").isNotNull())
+        .filter(F.col("media_type").isin(*types) & F.col("target").isNotNull())
         .select("package_id", F.col("target").alias("name"))
         .distinct()
     )
