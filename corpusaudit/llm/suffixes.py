@@ -11,8 +11,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from corpusaudit.llm.common import blocks, groups, texts_of
 from corpusaudit.llm.hashing import gram_hashes, mixed, span_hashes
 
-#: Bytes of the substring that picks the anchor of a window.
-GRAM = 12
+#: Bytes of the substring that picks the anchor of a window: long enough to be rare by chance.
+GRAM = 24
 BLOCK = 1 << 18
 
 
@@ -283,6 +283,14 @@ class Texts:
         return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
 
 
+def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values occur in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    place = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return ordered[place] == values
+
+
 def _least(group: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct groups, least owner of each)."""
     order = np.argsort(group, kind="stable")
@@ -378,7 +386,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         ]
         every = np.sort(np.concatenate(values))
         often = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[v[f] for v, f in zip(values, flags, strict=True)]]))
-        kept = [v[np.isin(v, often)] for v in values]
+        kept = [v[_in(v, often)] for v in values]
         shard = table.column("shard")[0].as_py()
         full = [np.uint64(shard) << np.uint64(32) | k.astype(np.uint64) for k in kept]
         some = [i for i, k in enumerate(kept) if len(k)]
@@ -402,7 +410,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         row, anchor, _, _, prints = texts.windows(size)
         want = np.sort(_numbers(right, "anchors", np.uint64))
         short = shard_of(anchor).astype(np.uint64) << np.uint64(32) | (anchor & np.uint64(0xFFFFFFFF))
-        use = np.flatnonzero(np.isin(short, want))
+        use = np.flatnonzero(_in(short, want))
         use = use[np.lexsort((texts.keys[row[use]], prints[use]))]
         use = use[np.append([True], prints[use][1:] != prints[use][:-1])] if len(use) else use
         shards, pick = _by(shard_of(anchor[use]), dealt)
@@ -429,7 +437,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         later = least[np.searchsorted(kinds, prints)] < owner
         first = np.flatnonzero(~later)
         some, n = np.unique(anchor[first], return_counts=True)
-        open_ = first[np.isin(anchor[first], some[n > 1])]
+        open_ = first[_in(anchor[first], some[n > 1])]
         out = {"to_part": [], "gone": [], "open": []}
         for p in np.unique(part):
             mine = part == p
@@ -445,7 +453,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         """The bytes at the open prints of a group, by shard of their anchors."""
         texts = Texts(left, skipped(right))
         row, anchor, low, high, prints = texts.windows(size)
-        use = np.flatnonzero(np.isin(prints, np.sort(_numbers(right, "open", np.uint64))))
+        use = np.flatnonzero(_in(prints, np.sort(_numbers(right, "open", np.uint64))))
         kinds, least = _least(prints[use], texts.keys[row[use]])
         use = use[texts.keys[row[use]] == least[np.searchsorted(kinds, prints[use])]]
         shards, pick = _by(shard_of(anchor[use]), dealt)
@@ -529,7 +537,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         who, start, stop = (_numbers(right, c, k) for c, k in (("identity", np.int64), ("start", np.uint32), ("stop", np.uint32)))
         row, _, first, last, prints = texts.windows(size)
         kinds, least = _least(prints, texts.keys[row])
-        lost = np.isin(prints, np.sort(_numbers(right, "gone", np.uint64)))
+        lost = _in(prints, np.sort(_numbers(right, "gone", np.uint64)))
         if len(row):
             lost |= least[np.searchsorted(kinds, prints)] < texts.keys[row]
         who = np.concatenate([who, texts.identity[row[lost]]])
