@@ -150,39 +150,41 @@ def recovered_notes(spark, folder):
 
 @query(
     "repair_lineage",
-    """SELECT doc_id, CASE WHEN quality IS NULL THEN 'not-an-inspection' WHEN lang = 'de' THEN 'profile-mismatch'
-  WHEN toxic = 1 THEN 'source-changed' WHEN n_chars > 4000 THEN 'baseline-mismatch' END AS reason, quality = 0 AS changed
-FROM documents LEFT JOIN labels USING (doc_id)""",
+    """SELECT doc_id, CASE length(text) % 11 WHEN 0 THEN 'not-an-inspection' WHEN 1 THEN 'no-canonical-document' WHEN 2 THEN 'profile-mismatch'
+  WHEN 3 THEN 'source-kind-mismatch' WHEN 4 THEN 'source-mismatch' WHEN 5 THEN 'source-unreadable' WHEN 6 THEN 'source-changed'
+  WHEN 7 THEN 'baseline-mismatch' WHEN 8 THEN 'pandoc-api-version-mismatch' END AS reason,
+  length(text) % 11 = 1 OR length(text) % 3 = 0 AS changed FROM documents""",
 )
 def repair_lineage(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang", "n_chars").join(
-        table(spark, folder, "labels"), "doc_id", "left"
-    )
-    sha, fixed = F.sha2("text", 256), lambda v: F.lit(v)
-    other = F.sha2(F.concat("text", F.lit("x")), 256)
+    """Stated and observed lineage of each document; the length of its text says where they part."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    sha, other = F.sha2("text", 256), F.sha2(F.concat("text", F.lit("x")), 256)
+    at = F.pmod(F.char_length("text"), F.lit(11))
+
+    def unless(place, value, instead):
+        return F.when(at == place, instead).otherwise(value)
+
+    none, path, kind = F.lit(None).cast("string"), F.concat(F.lit("/in/"), "doc_id"), F.lit("markdown")
+    version = F.lit("1.23")
     repairs = docs.select(
         "doc_id",
-        "quality",
-        F.when(F.col("quality").isNotNull(), F.lit("inspect")).alias("command"),
-        sha.alias("canonical_sha256"),
-        F.when(F.col("lang") == "de", F.lit("other")).otherwise(F.lit("panel")).alias("profile_id"),
-        fixed(True).alias("profile_resolved"),
-        fixed("markdown").alias("kind"),
-        fixed("markdown").alias("stated_kind"),
-        F.concat(F.lit("/in/"), "doc_id").alias("located"),
-        F.concat(F.lit("/in/"), "doc_id").alias("requested"),
-        F.when(F.col("toxic") == 1, other).otherwise(sha).alias("observed_sha256"),
+        unless(0, F.lit("inspect"), none).alias("command"),
+        unless(1, sha, none).alias("canonical_sha256"),
+        unless(2, F.lit("panel"), F.lit("other")).alias("profile_id"),
+        F.lit(True).alias("profile_resolved"),
+        kind.alias("kind"),
+        unless(3, kind, F.lit("epub")).alias("stated_kind"),
+        path.alias("located"),
+        unless(4, path, F.lit("/elsewhere")).alias("requested"),
+        unless(5, unless(6, sha, other), none).alias("observed_sha256"),
         sha.alias("source_sha256"),
-        F.when(F.col("n_chars") > 4000, other).otherwise(sha).alias("baseline_sha256"),
+        unless(7, sha, other).alias("baseline_sha256"),
         sha.alias("stated_baseline_sha256"),
-        fixed("1.23").alias("api_version"),
-        fixed("1.23").alias("stated_api_version"),
-        F.when(F.col("quality") == 0, other).otherwise(sha).alias("repaired_sha256"),
-    )
-    checked = W.lineage_check(repairs, "panel")
-    return checked.select(
-        "doc_id", "reason", F.when(F.col("quality").isNotNull(), F.col("changed")).alias("changed")
+        unless(8, version, F.lit("1.22")).alias("api_version"),
+        version.alias("stated_api_version"),
+        F.when(F.pmod(F.char_length("text"), F.lit(3)) == 0, other).otherwise(sha).alias("repaired_sha256"),
     )
+    return W.lineage_check(repairs, "panel").select("doc_id", "reason", "changed")
 
 
 @query(
@@ -278,7 +280,7 @@ def _event_stream(spark, folder):
 
 
 def _drained(stream, spark, schema):
-    """Run a stream to its end into a table of the shared folder and read that."""
+    """Run a stream to its end into a table of the shared folder: the table, and where it is."""
     home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     job = (
         stream.writeStream.format("parquet")
@@ -288,7 +290,7 @@ def _drained(stream, spark, schema):
         .start()
     )
     job.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{home}/table")
+    return spark.read.schema(schema).parquet(f"{home}/table"), f"{home}/table"
 
 
 @query(
@@ -301,16 +303,13 @@ FROM o GROUP BY ALL""",
 )
 def streamed_states(spark, folder):
     """Path states from the stateful stream, the events arriving as one drained stream."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, A.ROCKSDB)
-    try:
-        states = A.path_states(
-            _event_stream(spark, folder).withColumnRenamed("modified_at", "arrived_at")
-        )
-        done = _drained(states, spark, A.STATES)
-    finally:
-        spark.conf.set(name, before)
+    own = spark.newSession()  # the state store is a setting of the stream alone
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", A.ROCKSDB)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    states = A.path_states(_event_stream(own, folder).withColumnRenamed("modified_at", "arrived_at"))
+    _, home = _drained(states, own, A.STATES)
+    done = spark.read.schema(A.STATES).parquet(home)
     return done.groupBy("path", "state").agg(F.sum("n").alias("n"))
 
 
@@ -345,7 +344,7 @@ COUNTS = T.StructType(
 def streamed_counts(spark, folder):
     """Arrivals per hour and type from the stream; the last window stays open, so rows only."""
     counts = A.arrival_counts(_event_stream(spark, folder), "event_type", "1 hour")
-    return _drained(counts, spark, COUNTS)
+    return _drained(counts, spark, COUNTS)[0]
 
 
 @query(
@@ -370,6 +369,6 @@ def streamed_first_arrivals(spark, folder):
             T.StructField("event_type", T.StringType()),
         ]
     )
-    return _drained(firsts, spark, schema).select("path", "sha256").distinct()
+    return _drained(firsts, spark, schema)[0].select("path", "sha256").distinct()
 
 
