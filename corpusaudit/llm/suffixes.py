@@ -42,7 +42,7 @@ def _induced(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, symbols: int) -
     further round for each symbol.
     """
     n = len(t)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32 if n < 2**31 else np.int64)
     counts = np.bincount(t, minlength=symbols)
     ends = np.cumsum(counts)
     heads = ends - counts
@@ -159,7 +159,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, starts: np.ndarray, lengths:
     strings of the text (from ``starts``, of ``lengths``) go in step with each other.
     """
     n = len(t)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, sa.dtype)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int16)
     have = np.zeros(len(starts), np.int64)
@@ -189,7 +189,7 @@ def earliest(strings: list[bytes], owners: np.ndarray, size: int) -> tuple[np.nd
     it, with common prefixes of ``size`` or more between them.
     """
     lengths = np.array([len(s) for s in strings], np.int64)
-    t = np.frombuffer(b"\x00".join(strings) + b"\x00\x00", np.uint8).astype(np.int64) + 2
+    t = np.frombuffer(b"\x00".join(strings) + b"\x00\x00", np.uint8).astype(np.int16) + np.int16(2)
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
     t[starts + lengths] = 1  # between strings
     t[-1] = 0
@@ -333,7 +333,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
     gives an empty one; other columns are left out.
     """
     spark = docs.sparkSession
-    dealt = 2 * groups(spark)
+    dealt = groups(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rest = [F.struct(*keep).alias("rest")] if keep else []
     rows = docs.select(F.col(key).alias("key"), body.alias("body"), *rest).withColumn("identity", F.xxhash64("key", "body"))
