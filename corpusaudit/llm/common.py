@@ -1,5 +1,6 @@
 """Small helpers that several operators share."""
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -60,3 +61,12 @@ def rebatched(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Itera
     for batch in batches:
         for start, stop in blocks(batch.column(text), limit):
             yield batch.slice(start, stop - start)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: a worker process stays for the next tasks and must not keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.llm.common import blocks, rebatched, texts_of
+from corpusaudit.llm.common import blocks, rebatched, release, texts_of
 from corpusaudit.llm.components import components
 from corpusaudit.llm.hashing import lowered, mixed, span_hashes, window_hashes, word_spans
 from corpusaudit.session import materialise
@@ -20,7 +20,9 @@ COORDINATES = 64
 #: Buckets of at most so many sets are compared by brute force; deeper ones are cut into tiles.
 BUCKET = 512
 DEPTH = 3
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Rows of a tile's batch, beyond the last whole tile.
+ROWS = 1000
 PAIRS = 60_000
 
 _A = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -164,11 +166,26 @@ def whole_groups(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterato
             same &= x == x[-1]
         cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         if cut:
-            yield table.slice(0, cut).combine_chunks().to_batches()[0]
+            yield from _cut(table.slice(0, cut), names)
         rest = table.slice(cut).combine_chunks()
         held = rest.to_batches()
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield from _cut(pa.Table.from_batches(held).combine_chunks(), names)
+    release()
+
+
+def _cut(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Whole groups, about ROWS rows at a time."""
+    fresh = np.zeros(table.num_rows, bool)
+    for n in names:
+        x = table.column(n).to_numpy()
+        fresh[1:] |= x[1:] != x[:-1]
+    begin = np.append(np.flatnonzero(fresh), table.num_rows)
+    start = 0
+    while start < table.num_rows:
+        stop = int(begin[min(np.searchsorted(begin, start + ROWS), len(begin) - 1)])
+        yield table.slice(start, stop - start).combine_chunks().to_batches()[0]
+        start = stop
 
 
 def _pairs(begin: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

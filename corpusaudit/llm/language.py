@@ -22,7 +22,7 @@ GRAMS, BUCKETS = (2, 3), 2048
 #: Rows of each language that the classifiers are fitted on, at most about so many.
 PER_LANGUAGE = 800
 UNKNOWN = "und"
-BLOCK, ROWS = 1 << 20, 500
+BLOCK, ROWS = 1 << 19, 250
 
 
 def features(body: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ POSITIVES, UNLABELLED = 4000, 12000
 #: Words that a classifier looks at: those that tell toxic from unlabelled texts best.
 WORDS = 1500
 MEMBERS = 3
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def word_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
