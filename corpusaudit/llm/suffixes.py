@@ -14,6 +14,10 @@ from corpusaudit.llm.hashing import gram_hashes, mixed, span_hashes
 #: Bytes of the substring that picks the anchor of a window: long enough to be rare by chance.
 GRAM = 24
 BLOCK = 1 << 18
+#: An anchor with more different surroundings than this is dealt out window by window.
+HOT = 10_000
+#: A suffix array is made of about so many bytes at a time.
+ARRAY = 1 << 21
 
 
 # ---- suffix arrays -----------------------------------------------------------------------------
@@ -307,12 +311,56 @@ def _by(number: np.ndarray, most: int) -> tuple[list[int], list[np.ndarray]]:
     return use, [order[cut[k] : cut[k + 1]] for k in use]
 
 
+def _window_prints(body: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes from each place, the same wherever they stand."""
+    power = mixed(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.zeros(len(begin), np.uint64)
+    for a in range(0, len(begin), 1 << 15):
+        rows = body[begin[a : a + (1 << 15), None] + np.arange(size)].astype(np.uint64)
+        out[a : a + (1 << 15)] = mixed(((rows + np.uint64(1)) * power).sum(1, dtype=np.uint64))
+    return out
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, start) of every window of each entry."""
+    n = high - low + 1
+    entry = np.repeat(np.arange(len(n)), n)
+    return entry, low[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _cuts(bucket: np.ndarray, sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of ordered items of about ``most`` bytes; a bucket is never cut."""
+    if not len(bucket):
+        return []
+    begin = np.flatnonzero(np.append([True], bucket[1:] != bucket[:-1]))
+    whole = np.cumsum(np.add.reduceat(sizes, begin))
+    out, a = [], 0
+    while a < len(begin):
+        b = max(a + 1, int(np.searchsorted(whole, (whole[a - 1] if a else 0) + most, "right")))
+        out.append((int(begin[a]), int(begin[b]) if b < len(begin) else len(bucket)))
+        a = b
+    return out
+
+
+def _gone(strings: list[bytes], owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, start) of the windows that a smaller owner has among the strings."""
+    place: dict[bytes, int] = {}
+    which = np.array([place.setdefault(s, len(place)) for s in strings], np.int64)
+    _, least = _least(which, owner)
+    offsets, first = earliest(list(place), least, size)
+    parts = np.diff(offsets)[which]
+    item = np.repeat(np.arange(len(which)), parts)
+    inside = np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)
+    gone = first[offsets[which[item]] + inside] < owner[item]
+    return item[gone], inside[gone]
+
+
 def _numbers(table: pa.Table, column: str, kind) -> np.ndarray:
     values = [v for v in table.column(column).to_pylist() if v]
     return np.frombuffer(b"".join(values), kind) if values else np.zeros(0, kind)
 
 
-def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: str) -> DataFrame:
+def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: str, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, spans, kept): the spans of each text that an earlier text has, and what is left.
 
     With ``keep``, those columns come too, in a struct ``rest``.
@@ -325,13 +373,21 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
     others that may repeat are found by their anchors, of which only hashes are shuffled. Where two
     texts have an anchor, prints of the bytes around it are compared: of equal ones only the text
     with the least key goes on, the others lose all of them. The different ones are brought
-    together by anchor, and a suffix array of each shard finds what repeats between them.
+    together by anchor, and suffix arrays of each shard find what repeats between them.
+    An anchor with more than ``hot`` kinds of surroundings is no key for that: its prints are dealt
+    by print and its windows of ``size`` bytes by their own hash, each once from a group of texts
+    with its least key, so that no shard holds more of it than another.
     Texts are shuffled once, by a hash of the key; every step reads that same shuffle.
 
     Null texts count as empty. Null keys have no order: such rows lose nothing and make nothing go.
     Rows with equal keys do not make each other's bytes go, and each has its own row; an empty table
     gives an empty one; other columns are left out.
     """
+    return _steps(docs, size, key, text, keep, hot)[0]
+
+
+def _steps(docs: DataFrame, size: int, key: str, text: str, keep: tuple[str, ...], hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``repeats`` gives, and what its shards of prints and of surroundings are sent."""
     spark = docs.sparkSession
     dealt = groups(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
@@ -357,14 +413,17 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         return np.array([x for v in lists for x in v], np.int64)
 
     def sent(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The anchors of a group, by shard: 32 bits each, and whether two of its texts have it."""
+        """The anchors of a group, by shard: 32 bits each, whether two of its texts have it, and its kinds of surroundings."""
         texts = Texts(left, skipped(right))
-        row, anchor, *_ = texts.windows(size)
-        order = np.lexsort((texts.keys[row], anchor)) if len(row) else np.zeros(0, np.int64)
-        anchor, owner = anchor[order], texts.keys[row][order]
+        row, anchor, _, _, prints = texts.windows(size)
+        order = np.lexsort((prints, anchor)) if len(row) else np.zeros(0, np.int64)
+        anchor, owner, prints = anchor[order], texts.keys[row][order], prints[order]
         begin = np.flatnonzero(np.append([True], anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
-        last = np.append(begin[1:], len(anchor)) - 1
-        twice = owner[begin] != owner[last] if len(begin) else np.zeros(0, bool)
+        twice, kinds = np.zeros(0, bool), np.zeros(0, np.uint32)
+        if len(begin):
+            twice = np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin)
+            other = np.append([True], (prints[1:] != prints[:-1]) | (anchor[1:] != anchor[:-1]))
+            kinds = np.add.reduceat(other.astype(np.uint32), begin)
         anchor = anchor[begin]
         use, pick = _by(shard_of(anchor), dealt)
         low = anchor.astype(np.uint32)
@@ -374,17 +433,22 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
                 "part": pa.array([part_of(left)] * len(use), pa.int32()),
                 "anchors": pa.array([low[p].tobytes() for p in pick], pa.binary()),
                 "twice": pa.array([np.packbits(twice[p]).tobytes() for p in pick], pa.binary()),
+                "kinds": pa.array([kinds[p].astype(np.uint32).tobytes() for p in pick], pa.binary()),
             }
         )
 
     def shared(table: pa.Table) -> pa.Table:
-        """Of the anchors of one shard, give each group those that another text has."""
+        """Of the anchors of one shard, give each group those that another text has, and which of them are hot."""
         values = [np.frombuffer(v, np.uint32) for v in table.column("anchors").to_pylist()]
         flags = [
             np.unpackbits(np.frombuffer(f, np.uint8), count=len(v)).astype(bool)
             for f, v in zip(table.column("twice").to_pylist(), values, strict=True)
         ]
-        every = np.sort(np.concatenate(values))
+        every = np.concatenate(values)
+        order = np.argsort(every, kind="stable")
+        every, kinds = every[order], _numbers(table, "kinds", np.uint32).astype(np.int64)[order]
+        begin = np.flatnonzero(np.append([True], every[1:] != every[:-1]))
+        many = every[begin][np.add.reduceat(kinds, begin) > hot]
         often = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[v[f] for v, f in zip(values, flags, strict=True)]]))
         kept = [v[_in(v, often)] for v in values]
         shard = table.column("shard")[0].as_py()
@@ -394,14 +458,15 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
             {
                 "to_part": pa.array([table.column("part")[i].as_py() for i in some], pa.int32()),
                 "anchors": pa.array([full[i].tobytes() for i in some], pa.binary()),
+                "many": pa.array([full[i][_in(kept[i], many)].tobytes() for i in some], pa.binary()),
             }
         )
 
     by_part = ordered.groupBy("part")
-    anchors = by_part.cogroup(copied.groupBy("to_part")).applyInArrow(sent, "shard int, part int, anchors binary, twice binary")
-    candidates = anchors.groupBy("shard").applyInArrow(shared, "to_part int, anchors binary")
+    anchors = by_part.cogroup(copied.groupBy("to_part")).applyInArrow(sent, "shard int, part int, anchors binary, twice binary, kinds binary")
+    candidates = anchors.groupBy("shard").applyInArrow(shared, "to_part int, anchors binary, many binary")
     wanted = candidates.withColumn("copies", F.lit(None).cast("array<long>")).unionByName(
-        copied.withColumn("anchors", F.lit(None).cast("binary"))
+        copied.withColumn("anchors", F.lit(None).cast("binary")).withColumn("many", F.lit(None).cast("binary"))
     )
 
     def asked(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -413,7 +478,10 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         use = np.flatnonzero(_in(short, want))
         use = use[np.lexsort((texts.keys[row[use]], prints[use]))]
         use = use[np.append([True], prints[use][1:] != prints[use][:-1])] if len(use) else use
-        shards, pick = _by(shard_of(anchor[use]), dealt)
+        many = _in(short[use], np.sort(_numbers(right, "many", np.uint64)))
+        spread = (mixed(prints[use]) % np.uint64(dealt)).astype(np.int64)
+        shards, pick = _by(np.where(many, spread, shard_of(anchor[use])), dealt)
+        flags = [np.packbits(many[p]).tobytes() for p in pick]
         pick = [use[p] for p in pick]
         return pa.table(
             {
@@ -422,35 +490,49 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
                 "anchors": pa.array([anchor[p].astype(np.uint32).tobytes() for p in pick], pa.binary()),
                 "prints": pa.array([prints[p].tobytes() for p in pick], pa.binary()),
                 "owner": pa.array([texts.keys[row[p]].tobytes() for p in pick], pa.binary()),
+                "many": pa.array(flags, pa.binary()),
             }
         )
 
     def compared(table: pa.Table) -> pa.Table:
         """For each group: the prints that a smaller key has elsewhere, and those to be looked into.
 
-        The latter are the first of their kind, at anchors with several kinds.
+        The latter are the first of their kind, at anchors with several kinds or (``many``) at hot ones.
         """
         counts = [len(v) // 8 for v in table.column("owner").to_pylist()]
         part = np.repeat(table.column("part").to_numpy(), counts)
         anchor, prints, owner = (_numbers(table, c, k) for c, k in (("anchors", np.uint32), ("prints", np.uint64), ("owner", np.int64)))
         kinds, least = _least(prints, owner)
         later = least[np.searchsorted(kinds, prints)] < owner
-        first = np.flatnonzero(~later)
+        flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=n).astype(bool) for f, n in zip(table.column("many").to_pylist(), counts, strict=True)]
+        many = np.concatenate(flags)
+        first = np.flatnonzero(~later & ~many)
         some, n = np.unique(anchor[first], return_counts=True)
         open_ = first[_in(anchor[first], some[n > 1])]
-        out = {"to_part": [], "gone": [], "open": []}
+        out = {"to_part": [], "gone": [], "open": [], "many": []}
         for p in np.unique(part):
             mine = part == p
             gone = prints[mine & later]
             look = prints[open_[part[open_] == p]]
-            if len(gone) or len(look):
+            single = prints[mine & many & ~later]
+            if len(gone) or len(look) or len(single):
                 out["to_part"].append(int(p))
                 out["gone"].append(gone.tobytes())
                 out["open"].append(look.tobytes())
+                out["many"].append(single.tobytes())
         return pa.table({k: pa.array(v, pa.int32() if k == "to_part" else pa.binary()) for k, v in out.items()})
 
+    def apart(texts: Texts, row, low, high, prints, many) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, print) of each window at the first of their kind of hot anchors."""
+        use = np.flatnonzero(_in(prints, np.sort(many)))
+        kinds, least = _least(prints[use], texts.keys[row[use]])
+        use = use[texts.keys[row[use]] == least[np.searchsorted(kinds, prints[use])]]
+        entry, start = _spread(low[use], high[use])
+        r = row[use][entry]
+        return r, start, _window_prints(texts.body, texts.at[r] + start, size)
+
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The bytes at the open prints of a group, by shard of their anchors."""
+        """The bytes at the open prints of a group, by shard of their anchors; at hot anchors each window by its own."""
         texts = Texts(left, skipped(right))
         row, anchor, low, high, prints = texts.windows(size)
         use = np.flatnonzero(_in(prints, np.sort(_numbers(right, "open", np.uint64))))
@@ -458,7 +540,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         use = use[texts.keys[row[use]] == least[np.searchsorted(kinds, prints[use])]]
         shards, pick = _by(shard_of(anchor[use]), dealt)
         data = texts.body.tobytes()
-        out = {k: [] for k in ("shard", "part", "context", "size", "owner", "identity", "low")}
+        out = {k: [] for k in ("shard", "part", "context", "size", "owner", "bucket", "identity", "low")}
         for k, p in zip(shards, pick, strict=True):
             mine = use[p]
             r = row[mine]
@@ -468,68 +550,84 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
             out["context"].append(b"".join([data[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]))
             out["size"].append((stop - begin).astype(np.uint32).tobytes())
             out["owner"].append(texts.keys[r].tobytes())
+            out["bucket"].append(anchor[mine].tobytes())
             out["identity"].append(texts.identity[r].tobytes())
             out["low"].append(low[mine].astype(np.uint32).tobytes())
+        r, start, window = apart(texts, row, low, high, prints, _numbers(right, "many", np.uint64))
+        use = np.lexsort((texts.keys[r], window))
+        use = use[np.append([True], window[use][1:] != window[use][:-1])] if len(use) else use
+        shards, pick = _by((mixed(window[use]) % np.uint64(dealt)).astype(np.int64), dealt)
+        for k, p in zip(shards, pick, strict=True):
+            mine = use[p]
+            begin = texts.at[r[mine]] + start[mine]
+            out["shard"].append(k)
+            out["part"].append(part_of(left))
+            out["context"].append(b"".join([data[a : a + size] for a in begin.tolist()]))
+            out["size"].append(np.full(len(mine), size, np.uint32).tobytes())
+            out["owner"].append(texts.keys[r[mine]].tobytes())
+            out["bucket"].append(window[mine].tobytes())
+            out["identity"].append(None)
+            out["low"].append(None)
         kinds = {"shard": pa.int32(), "part": pa.int32()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
     def found(table: pa.Table) -> pa.Table:
-        """What repeats in one shard, as (identity, start, stop) for each group."""
-        counts = [len(v) // 8 for v in table.column("owner").to_pylist()]
+        """What repeats in one shard, for each group: (identity, start, stop), and prints of windows of hot anchors."""
+        lists = table.column("owner").to_pylist()
+        counts = [len(v) // 8 for v in lists]
         part = np.repeat(table.column("part").to_numpy(), counts)
+        window = np.repeat([v is None for v in table.column("identity").to_pylist()], counts)
         sizes = _numbers(table, "size", np.uint32).astype(np.int64)
-        owner, identity = _numbers(table, "owner", np.int64), _numbers(table, "identity", np.int64)
-        low = _numbers(table, "low", np.uint32).astype(np.int64)
+        owner, bucket = _numbers(table, "owner", np.int64), _numbers(table, "bucket", np.uint64)
+        identity, low = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        identity[~window], low[~window] = _numbers(table, "identity", np.int64), _numbers(table, "low", np.uint32)
         data = b"".join(table.column("context").to_pylist())
         stop = np.cumsum(sizes)
-        strings = [data[a:b] for a, b in zip((stop - sizes).tolist(), stop.tolist(), strict=True)]
-        place: dict[bytes, int] = {}
-        which = np.array([place.setdefault(s, len(place)) for s in strings], np.int64)
-        order = np.argsort(which, kind="stable")
-        begin = np.flatnonzero(np.append([True], which[order][1:] != which[order][:-1]))
-        least = np.minimum.reduceat(owner[order], begin)
-        offsets, first = earliest(list(place), least, size)
-        # Of each occurrence, the windows that a smaller key has.
-        parts = np.diff(offsets)[which]
-        item = np.repeat(np.arange(len(which)), parts)
-        inside = np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)
-        gone = first[offsets[which[item]] + inside] < owner[item]
-        item, inside = item[gone], inside[gone]
+        order = np.lexsort((bucket, window))
+        items, insides = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # Equal windows have equal anchors, and so one bucket: a suffix array takes some whole buckets.
+        for a, b in _cuts(bucket[order], sizes[order], ARRAY):
+            of = order[a:b]
+            strings = [data[x:y] for x, y in zip((stop - sizes)[of].tolist(), stop[of].tolist(), strict=True)]
+            item, inside = _gone(strings, owner[of], size)
+            items.append(of[item])
+            insides.append(inside)
+        item, inside = np.concatenate(items), np.concatenate(insides)
+        lost = item[window[item]]
+        item, inside = item[~window[item]], inside[~window[item]]
         fresh = np.ones(len(item), bool)
         fresh[1:] = (item[1:] != item[:-1]) | (inside[1:] != inside[:-1] + 1)
         begin = np.flatnonzero(fresh)
         last = np.append(begin[1:], len(item)) - 1 if len(begin) else begin
         of = item[begin]
         start, end = low[of] + inside[begin], low[of] + inside[last] + size
-        group = part[of]
-        order = np.argsort(group, kind="stable")
-        names, cut = np.unique(group[order], return_index=True)
-        cut = np.append(cut, len(order))
-        pick = [order[cut[i] : cut[i + 1]] for i in range(len(names))]
+        names = np.unique(np.concatenate([part[of], part[lost]]))
+        pick = [np.flatnonzero(part[of] == k) for k in names]
         return pa.table(
             {
                 "to_part": pa.array(names, pa.int32()),
                 "identity": pa.array([identity[of[p]].tobytes() for p in pick], pa.binary()),
                 "start": pa.array([start[p].astype(np.uint32).tobytes() for p in pick], pa.binary()),
                 "stop": pa.array([end[p].astype(np.uint32).tobytes() for p in pick], pa.binary()),
+                "windows": pa.array([bucket[lost[part[lost] == k]].tobytes() for k in names], pa.binary()),
             }
         )
 
     prints = by_part.cogroup(wanted.groupBy("to_part")).applyInArrow(
-        asked, "shard int, part int, anchors binary, prints binary, owner binary"
+        asked, "shard int, part int, anchors binary, prints binary, owner binary, many binary"
     )
-    verdicts = prints.groupBy("shard").applyInArrow(compared, "to_part int, gone binary, open binary")
+    verdicts = prints.groupBy("shard").applyInArrow(compared, "to_part int, gone binary, open binary, many binary")
 
     def beside(df: DataFrame, **kinds: str) -> DataFrame:
         return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
 
-    told = beside(verdicts, copies="array<long>").unionByName(beside(copied, gone="binary", open="binary"))
+    told = beside(verdicts, copies="array<long>").unionByName(beside(copied, gone="binary", open="binary", many="binary"))
     places = by_part.cogroup(told.groupBy("to_part")).applyInArrow(
-        contexts, "shard int, part int, context binary, size binary, owner binary, identity binary, low binary"
+        contexts, "shard int, part int, context binary, size binary, owner binary, bucket binary, identity binary, low binary"
     )
-    spans = places.groupBy("shard").applyInArrow(found, "to_part int, identity binary, start binary, stop binary")
-    every = beside(told, identity="binary", start="binary", stop="binary").unionByName(
-        beside(spans, copies="array<long>", gone="binary", open="binary")
+    spans = places.groupBy("shard").applyInArrow(found, "to_part int, identity binary, start binary, stop binary, windows binary")
+    every = beside(told, identity="binary", start="binary", stop="binary", windows="binary").unionByName(
+        beside(spans, copies="array<long>", gone="binary", open="binary", many="binary")
     )
 
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -540,9 +638,15 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         lost = _in(prints, np.sort(_numbers(right, "gone", np.uint64)))
         if len(row):
             lost |= least[np.searchsorted(kinds, prints)] < texts.keys[row]
-        who = np.concatenate([who, texts.identity[row[lost]]])
-        start = np.concatenate([start.astype(np.int64), first[lost]])
-        stop = np.concatenate([stop.astype(np.int64), last[lost] + size])
+        # Of hot anchors, windows that a smaller key has elsewhere or in this group.
+        r, begin, window = apart(texts, row, first, last, prints, _numbers(right, "many", np.uint64))
+        kinds, least = _least(window, texts.keys[r])
+        taken = _in(window, np.sort(_numbers(right, "windows", np.uint64)))
+        if len(r):
+            taken |= least[np.searchsorted(kinds, window)] < texts.keys[r]
+        who = np.concatenate([who, texts.identity[row[lost]], texts.identity[r[taken]]])
+        start = np.concatenate([start.astype(np.int64), first[lost], begin[taken]])
+        stop = np.concatenate([stop.astype(np.int64), last[lost] + size, begin[taken] + size])
         order = np.lexsort((start, who))
         who, start, stop = who[order], start[order], stop[order]
         lists, left_over = [], []
@@ -570,7 +674,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
         *(["rest"] if keep else []),
     )
     done = by_part.cogroup(every.groupBy("to_part")).applyInArrow(applied, loose.schema)
-    return done.unionByName(loose).withColumnRenamed("key", key)
+    return done.unionByName(loose).withColumnRenamed("key", key), prints, places
 
 
 def without_repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", length: str | None = None) -> DataFrame:

@@ -85,3 +85,41 @@ def test_repeated_rows_and_null_keys(spark):
 
 def test_empty_table(spark):
     assert suffixes.repeats(spark.createDataFrame([], "doc_id long, text string"), 50).count() == 0
+
+
+def stock_phrases(rng, n, phrase):
+    """Texts that hold one phrase between neighbours of their own."""
+    def own(k):
+        return "".join(rng.choices("abcdefghijklmnop ", k=k))
+
+    return [(3 * (k * 37 % n), own(60) + phrase + own(60)) for k in range(n)]
+
+
+@pytest.mark.parametrize("length", [30, 45, 60, 120])
+def test_hot_anchors_equal_brute_force(spark, length):
+    rng = random.Random(length)
+    phrase = "".join(rng.choices("QRSTUVWXYZ", k=length))
+    rows = rows_of(rng) + [(k + 20_000, t) for k, t in stock_phrases(rng, 120, phrase)]
+    rows += [(k + 30_000, t[20:]) for k, t in rows[-30:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(suffixes.brute([(k, (t or "").encode()) for k, t in rows], 50))
+    for hot in (0, 5, suffixes.HOT):
+        assert sorted(digest(suffixes.repeats(docs, 50, hot=hot).collect())) == want
+
+
+def test_surroundings_of_one_anchor_are_dealt_to_all_shards(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame(stock_phrases(rng, 3000, "".join(rng.choices("QRSTUVWXYZ", k=40))), "doc_id long, text string")
+    # The phrase alone has a few anchors; their surroundings are all different.
+    for hot, even in ((100, True), (suffixes.HOT, False)):
+        _, prints, places = suffixes._steps(docs, 50, "doc_id", "text", (), hot)
+        for frame, column in ((prints, "prints"), (places, "context")):
+            shards = [r[0] for r in frame.groupBy("shard").agg({column: "count"}).selectExpr("shard").collect()]
+            sums = [r.n for r in frame.selectExpr("shard", f"length({column}) AS n").groupBy("shard").sum("n").toDF("shard", "n").collect()]
+            assert (len(shards) == 8 and max(sums) < 1.5 * sum(sums) / 8) == even
+
+
+def test_suffix_arrays_take_whole_buckets():
+    bucket, sizes = np.array([1, 1, 2, 3, 3, 3, 4]), np.array([5, 5, 4, 30, 30, 30, 2])
+    assert suffixes._cuts(bucket, sizes, 14) == [(0, 3), (3, 6), (6, 7)]
+    assert suffixes._cuts(bucket[:0], sizes[:0], 14) == []
