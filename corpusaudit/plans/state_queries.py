@@ -316,6 +316,59 @@ def artifact_names_existing(spark, folder):
     return naming.assign_names(titled, existing)
 
 
+def _sql_cut(text: str, limit: int) -> str:
+    return f"""left({text}, coalesce(list_max(list_filter(
+  range(0, least(length({text}), {limit}) + 1), lambda k: strlen(left({text}, k)) <= {limit})), 0))"""
+
+
+def _sql_whole_names(existing: bool) -> str:
+    before = "UNION ALL SELECT name, digest, -1 FROM e" if existing else ""
+    return f"""WITH t AS (SELECT doc_id AS ord, regexp_extract(text, '^[^\\n]*') AS title, sha256(text) AS digest FROM documents),
+p AS (SELECT *, trim(regexp_replace(nfc_normalize(title),
+  '(?:[^\\p{{L}}\\p{{N}}''’(),\\[\\]&\\-_.]+|{SQL_WS}+)+', ' ', 'g')) AS spaced FROM t),
+b AS (SELECT ord, title, digest, coalesce(nullif(regexp_replace({_sql_cut("spaced", 80)}, '^[ .]+|[ .]+$', '', 'g'), ''), 'book') AS base FROM p),
+n AS (SELECT ord, title, digest, base || '.epub' AS plain,
+        regexp_replace({_sql_cut("base", 67)}, '[ .]+$', '') || '-' || left(digest, 12) || '.epub' AS suffixed FROM b),
+e AS (SELECT plain AS name, arg_min(sha256(digest), ord) AS digest FROM n JOIN labels ON ord = doc_id GROUP BY plain),
+h AS (SELECT name, arg_min(digest, ord) AS holder, min(ord) AS first
+      FROM (SELECT plain AS name, digest, ord FROM n {before}) GROUP BY name),
+s AS (SELECT n.*, holder = digest AS own, first FROM n JOIN h ON plain = name),
+h2 AS (SELECT name, arg_min(digest, ord) AS holder2, min(ord) AS first2
+       FROM (SELECT suffixed AS name, digest, ord FROM s WHERE NOT own {before}) GROUP BY name)
+SELECT ord, title, digest, CASE WHEN own THEN plain ELSE suffixed END AS name,
+  CASE WHEN NOT own AND holder2 <> digest THEN 'refuse'
+       WHEN CASE WHEN own THEN first ELSE first2 END = ord THEN 'publish' ELSE 'reuse' END AS action
+FROM s LEFT JOIN h2 ON suffixed = h2.name AND NOT own"""
+
+
+def _whole_titles(spark, folder):
+    """Books titled by their whole first line: long titles reach the byte limit and clash after the cut."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return docs.select(
+        F.col("doc_id").alias("ord"),
+        F.regexp_extract("text", r"^[^\n]*", 0).alias("title"),
+        F.sha2("text", 256).alias("digest"),
+    )
+
+
+@query("artifact_names_whole_titles", _sql_whole_names(False))
+def artifact_names_whole_titles(spark, folder):
+    return naming.assign_names(_whole_titles(spark, folder))
+
+
+@query("artifact_names_existing_whole_titles", _sql_whole_names(True))
+def artifact_names_existing_whole_titles(spark, folder):
+    titled = _whole_titles(spark, folder)
+    labels = table(spark, folder, "labels", "doc_id").withColumnRenamed("doc_id", "ord")
+    existing = (
+        titled.join(labels, "ord")
+        .withColumn("name", F.concat(N.portable_base(F.col("title")), F.lit(".epub")))
+        .groupBy("name")
+        .agg(F.min_by(F.sha2("digest", 256), F.col("ord")).alias("digest"))
+    )
+    return naming.assign_names(titled, existing)
+
+
 @query(
     "portable_bases",
     f"""WITH t AS (SELECT doc_id, regexp_extract(text, '^[^\\n]*') AS title FROM documents),

@@ -137,6 +137,24 @@ def declared_losses(spark, folder):
     return P.validate_declared(rows)
 
 
+@query(
+    "declared_losses_every_word",
+    f"""SELECT doc_id, token, allowed,
+          CASE WHEN len({sql_words('token')}) <> 1 OR {sql_words('token')}[1] <> token
+               THEN 'invalid-token' WHEN allowed < 0 THEN 'invalid-count' END AS reason
+        FROM (SELECT DISTINCT doc_id, unnest(string_split(nfc_normalize(text), ' ')) AS token,
+                     n_chars - 400 AS allowed FROM documents)""",
+)
+def declared_losses_every_word(spark, folder):
+    """A declaration for everything between two spaces of the whole text, each once."""
+    rows = _docs(spark, folder, "doc_id", "text", "n_chars").select(
+        "doc_id",
+        F.explode(F.array_distinct(F.split(X.nfc(F.col("text")), " "))).alias("token"),
+        (F.col("n_chars") - 400).alias("allowed"),
+    )
+    return P.validate_declared(rows)
+
+
 @query(
     "multiset_ops",
     f"""WITH {_SQL_PAIRS},
