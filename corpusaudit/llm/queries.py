@@ -5,7 +5,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import decontamination, jaccard, language, line_rules, maxent, packing, sharding, suffixes, tokens, toxicity
+from corpusaudit.llm import (
+    bpe,
+    centroids,
+    decontamination,
+    jaccard,
+    language,
+    lexical,
+    line_rules,
+    maxent,
+    packing,
+    sharding,
+    suffixes,
+    tokens,
+    toxicity,
+)
 from corpusaudit.llm.common import crc_rest, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +238,79 @@ def op1(spark, folder):
     """Log probability of every document, learned from six sevenths of them."""
     held_out = crc_rest(F.col("doc_id"), 7) == 2
     return maxent.scored(documents(spark, folder, "doc_id", "text"), held_out)
+
+
+@query("op11_segment_tree_bpe")
+def op11(spark, folder):
+    """Tokens of every document, and digests of its ids and of the text that they decode to."""
+    path = vocabulary("byte_bpe_50k.json")
+    ids = bpe.encoded(documents(spark, folder, "doc_id", "text"), path)
+    return bpe.decoded(ids, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe.ids_digest("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query(
+    "op12_ranked_search",
+    r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS size FROM words GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(size)::BIGINT AS tokens FROM sizes),
+hits AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM hits, corpus GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * size * docs) // tokens))))::BIGINT AS score
+  FROM asked JOIN hits USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), corpus GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+""",
+)
+def op12(spark, folder):
+    """The ten documents that answer each benchmark item best."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return lexical.ranked(lexical.index(documents(spark, folder, "doc_id", "text")), items, 10)
+
+
+def _clusters_sql() -> str:
+    assigned = """
+  SELECT row, arg_min(c, d * 1000 + c) AS c, min(d) AS d FROM (
+    SELECT v.row, k.c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS d FROM flat v JOIN c{r} k USING (i) GROUP BY v.row, k.c) GROUP BY row"""
+    steps = []
+    for r in range(10):
+        steps.append(f"a{r} AS MATERIALIZED ({assigned.format(r=r)})")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT k.c, k.i, coalesce(m.x, k.x) AS x FROM c{r} k LEFT JOIN (
+    SELECT a.c, v.i, ((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+    FROM a{r} a JOIN flat v USING (row) GROUP BY a.c, v.i) m USING (c, i))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+flat AS MATERIALIZED (SELECT row, unnest(range(1, 65)) AS i, unnest(v) AS x FROM kept),
+first AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), v) - 1 AS c FROM kept),
+c0 AS MATERIALIZED (SELECT c, i, x FROM first JOIN flat USING (row) WHERE c < 8),
+{", ".join(steps)},
+final AS MATERIALIZED ({assigned.format(r=10)}),
+digests AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM final JOIN kept USING (row) JOIN digests USING (c)
+"""
+
+
+@query("op13_pivot_clusters", _clusters_sql())
+def op13(spark, folder):
+    """Cluster of every vector after ten rounds, with its distance and the figures of its cluster."""
+    return centroids.with_figures(*centroids.clustered(spark.read.parquet(f"{folder}/embeddings.parquet")))
