@@ -5,10 +5,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusaudit.llm.common import rebatched, texts_of
+from corpusaudit.llm.common import rebatched, release, texts_of
 from corpusaudit.llm.hashing import SPACE, gram_counts, lowered
 
 #: Families of languages, by code; a language of no family here is a family of its own.
@@ -19,8 +19,8 @@ FAMILIES = {
     "uralic": ("fi", "et", "hu"),
 }
 GRAMS, BUCKETS = (2, 3), 2048
-#: Rows of each language that the classifiers are fitted on, at most about so many.
-PER_LANGUAGE = 800
+#: Texts of each language that the classifiers are fitted on, at most, and languages that are learned.
+PER_LANGUAGE, LANGUAGES = 800, 128
 UNKNOWN = "und"
 BLOCK, ROWS = 1 << 19, 250
 
@@ -103,20 +103,40 @@ def _voted(names: list[str], machines: list[Margin], x: np.ndarray) -> tuple[np.
     return np.array(names, object)[won], least[np.arange(len(x)), won]
 
 
-def fit(docs: DataFrame, text="text", lang="lang", per_language: int = PER_LANGUAGE, families=None) -> Model | None:
-    """Fit on a bounded sample: about ``per_language`` rows of each language, taken by a hash of the text.
+def sampled(docs: DataFrame, text: str, lang: str, per_language: int, languages: int) -> DataFrame:
+    """(lang, text): different texts of the commonest languages, exactly bounded for each.
 
-    Rows without text or language teach nothing. None: there is nothing to learn from. The driver
+    Copies of a text are one before the dice are thrown, so that how often a text occurs plays no part.
+    The dice leave about a fifth more than wanted, of which those of least hash stay.
+    """
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit("sample")).alias("hash")
+    )
+    # Estimates of how many different texts there are decide the dice only, never who is in.
+    counts = (
+        known.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n"))
+        .orderBy(F.desc("n"), "lang").limit(languages).collect()
+    )
+    if not counts:
+        return known.select("lang", "text").limit(0)
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.2 * (per_language + 20) / max(r["n"], 1)))])
+    dice = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    drawn = known.filter(dice < F.element_at(share, F.col("lang"))).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    least = Window.partitionBy("lang").orderBy("hash")
+    return drawn.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= per_language).select("lang", "text")
+
+
+def fit(
+    docs: DataFrame, text="text", lang="lang", per_language: int = PER_LANGUAGE, families=None, languages: int = LANGUAGES
+) -> Model | None:
+    """Fit on a bounded sample: at most ``per_language`` different texts of each language, by a hash of the text.
+
+    At most ``languages`` languages are learned, those with most texts. Rows without text or language
+    teach nothing, copies of a text no more than one. None: there is nothing to learn from. The driver
     gets one short row of features for each sampled text, never texts.
     """
     family_of = {x: name for name, members in (families or FAMILIES).items() for x in members}
-    known = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
-    dice = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(F.col("text").isNotNull()).filter(dice < F.element_at(share, F.col("lang")))
+    sample = sampled(docs, text, lang, per_language, languages)
 
     def work(batches):
         for batch in batches:
@@ -144,7 +164,10 @@ def fit(docs: DataFrame, text="text", lang="lang", per_language: int = PER_LANGU
             out.append(machine(x[use], np.where(of[use] == a, 1.0, -1.0), a, b))
         return out
 
-    return Model(pairs(list(members), group), {f: pairs(m, labels) for f, m in members.items()}, members)
+    model = Model(pairs(list(members), group), {f: pairs(m, labels) for f, m in members.items()}, members)
+    del rows, x
+    release()
+    return model
 
 
 def predicted(column: pa.Array, model: Model | None) -> tuple[list[str], list[float]]:

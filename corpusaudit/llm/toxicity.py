@@ -99,7 +99,7 @@ def fit(
     """
     marks = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(toxic).cast("int")).alias("mark"))
     known = (
-        docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).join(marks, "key", "left")
+        docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().join(marks, "key", "left")
         .select("key", "mark", F.coalesce(F.col("mark") == 1, F.lit(False)).alias("yes"))
     )
     n = known.agg(F.count_if("yes").alias("p"), F.count_if(~F.col("yes")).alias("u"), F.count_if(F.col("mark") == 0).alias("clean")).first()
@@ -110,9 +110,12 @@ def fit(
     prior = min(max(prior, 1e-4), 0.9)
     dice = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("yes"), min(1.0, positives / n["p"])).otherwise(min(1.0, unlabelled / n["u"]))
-    # Bounded by the two parameters, whatever the corpus holds.
+    # Bounded by the two parameters, whatever the corpus holds: of a key that repeats one text is taken.
     chosen = F.broadcast(known.filter(dice < share).groupBy("key").agg(F.max("yes").alias("yes")))
-    sample = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("text", "yes")
+    sample = (
+        docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+        .join(chosen, "key").groupBy("key").agg(F.min("text").alias("text"), F.first("yes").alias("yes")).select("text", "yes")
+    )
 
     def work(batches):
         for batch in rebatched(batches, "text", BLOCK):

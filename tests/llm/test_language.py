@@ -51,3 +51,20 @@ def test_nothing_to_learn_and_one_language(spark):
     assert [(r.lang_pred, r.score) for r in language.identify(docs, model, "text", "doc_id").collect()] == [("en", 1.0)]
     empty = docs.filter("doc_id < 0")
     assert language.fit(empty) is None and language.identify(empty, model, "text", "doc_id").count() == 0
+
+
+def test_a_text_with_many_copies_is_one_of_the_sample(spark):
+    hot = "one text that fills a third of the table"
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") < 20_000, F.lit(hot)).otherwise(F.concat(F.lit("text "), "id")).alias("text"),
+        F.when(F.col("id") % 50 == 0, F.lit("fr")).otherwise(F.lit("en")).alias("lang"),
+    )
+    got = {r["lang"]: (r["n"], r["d"]) for r in language.sampled(rows, "text", "lang", 800, 9).groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_distinct("text").alias("d")).collect()}
+    assert got == {"en": (800, 800), "fr": (800, 800)}
+
+
+def test_the_number_of_languages_is_bounded(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("l"), F.floor(F.sqrt("id"))).alias("lang"))
+    got = language.sampled(rows, "text", "lang", 5, 4).groupBy("lang").count().collect()
+    assert len(got) == 4 and all(r["count"] == 5 for r in got)
