@@ -198,20 +198,3 @@ def first_unsupported(images: DataFrame) -> DataFrame:
     """(doc_id, locator): the first locator in reading order that cannot be made local."""
     bad = images.filter(R.locator_class(F.col("src")) == "unsupported")
     return bad.groupBy("doc_id").agg(F.min_by("src", "node").alias("locator"))
-
-
-def retrieval_status(references: DataFrame, fetch_log: DataFrame) -> DataFrame:
-    """(doc_id, retrieved, boundary): all locators of a document must have been retrieved.
-
-    ``references`` holds doc_id, locator, ord; ``fetch_log`` locator, outcome. A locator nobody
-    tried is ``not-attempted``. The first failure in order names the boundary.
-    """
-    tried = fetch_log.groupBy("locator").agg(F.max_by("outcome", "attempt").alias("outcome"))
-    found = references.join(tried, "locator", "left").withColumn(
-        "outcome", F.coalesce("outcome", F.lit("not-attempted"))
-    )
-    bad = F.col("outcome") != "retrieved"
-    return found.groupBy("doc_id").agg(
-        (~F.bool_or(bad)).alias("retrieved"),
-        F.min_by("outcome", F.when(bad, F.col("ord"))).alias("boundary"),
-    )

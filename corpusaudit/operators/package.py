@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.functions import refs as R
 from corpusaudit.operators import verdicts as V
+from corpusaudit.operators.nesting import innermost
 from corpusaudit.rules import APPLIES_TO, IMAGE_REQUIREMENTS, SUPPORT_MATRIX
 from corpusaudit.sources import packages as S
 from corpusaudit.sources.images import has_alt
@@ -123,14 +124,11 @@ def navigation_entries(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     documents = chosen.select("package_id", F.col("path").alias("document"), F.col("kind").alias("_k"))
     mine = nodes.join(documents, ["package_id", "document"])
     points = F.count_if((F.col("_k") == "ncx") & (F.col("tag") == "navpoint"))
-    navs = mine.filter(F.col("tag") == "nav").select(
-        "package_id", F.col("node").alias("_n"), F.col("end_node").alias("_e")
-    )
+    navs = mine.filter(F.col("tag") == "nav").select("package_id", "node", "end_node")
     anchors = mine.filter((F.col("tag") == "a") & F.col("href").isNotNull() & (F.col("_k") != "ncx"))
     inside = (
-        anchors.select("package_id", "node")
-        .join(navs, "package_id")
-        .filter(F.col("node").between(F.col("_n"), F.col("_e")))
+        innermost(anchors.select("package_id", "node"), navs, "nav", ["package_id"])
+        .filter(F.col("nav").isNotNull())
         .groupBy("package_id")
         .agg(F.count("*").alias("a"))
     )
@@ -492,7 +490,7 @@ def conformance(reports: DataFrame, key: str, output: str) -> DataFrame:
 
 
 def conformance_messages(reports: DataFrame, key: str, output: str) -> DataFrame:
-    """(key, path, line, column, id, severity, message), ordered by place and id."""
+    """(key, path, line, column, id, severity, message); sort by these where their order is to be shown."""
     parsed = reports.select(key, F.from_json(F.col(output), CONFORMANCE).alias("_c"))
     rows = parsed.select(key, F.explode("_c.messages").alias("m"))
     where = F.get("m.locations", F.lit(0))
@@ -504,7 +502,7 @@ def conformance_messages(reports: DataFrame, key: str, output: str) -> DataFrame
         F.coalesce("m.ID", F.lit("")).alias("id"),
         F.col("m.severity").alias("severity"),
         F.col("m.message").alias("message"),
-    ).orderBy(key, "path", "line", "column", "id")
+    )
 
 
 def severity_counts(messages: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,8 @@ The order is meaning: captions, callouts, links, notes, raw markup, identifiers,
 
 While documents are rewritten, ``node`` and ``end_node`` are fractions within a ``part``: part 0 is
 the body, part n the document of note n. A node may then be put between two others, and a note
-moved behind the body, without renumbering anything. ``dense`` counts again at the end.
+moved behind the body, without renumbering anything. The chain ends with labels made of both; ``dense`` counts
+whole numbers for those who need them.
 
 Every rewrite first gathers the few rows it is about - links, notes, figures - into a small table
 and then passes over the nodes once. Joins carry the document in their key, so rows without a
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from corpusaudit.functions import refs as R
 from corpusaudit.functions.names import ANCHOR_RESERVE, bounded_identifier
 from corpusaudit.functions.text import remove_whitespace, strip_whitespace
+from corpusaudit.operators.nesting import innermost
 from corpusaudit.operators.structure import IDENTIFIED
 from corpusaudit.rules import ACTIVATIONS
 from corpusaudit.schema import NODES
@@ -99,6 +101,18 @@ def dense(nodes: DataFrame) -> DataFrame:
     return moved.select(*[new.get(c, F.col(c)).alias(c) for c in NODES.names])
 
 
+def labelled(nodes: DataFrame) -> DataFrame:
+    """Nodes with labels for positions: (part, place), which sort in reading order, the body first.
+
+    A label is given when a node is put in and never changes, whatever is put in or taken out around it,
+    so nothing is counted again: consumers sort and group by labels as they do by numbers.
+    """
+    label = lambda c: F.when(F.col(c).isNotNull(), F.struct("part", F.col(c).alias("place"))).alias(c)
+    places = ("node", "end_node", "parent", "read_block", "text_seg")
+    new = {c: label(c) for c in places} | {"note": F.lit(None).cast("int").alias("note")}
+    return nodes.select(*[new.get(c, F.col(c)) for c in NODES.names])
+
+
 def _holding(nodes: DataFrame, mark: Column) -> tuple[DataFrame, DataFrame]:
     """Documents with a marked node, gathered apart, and all the others."""
     docs = materialise(nodes.filter(mark).select("doc_id").distinct())
@@ -807,21 +821,9 @@ BACKREF = "footnote-backref"
 
 
 def _within(nodes: DataFrame, holders: DataFrame, name: str) -> DataFrame:
-    """Rows inside a holder, with the holder's position as ``name``.
-
-    Holders do not nest, so a row lies in the last holder begun before it or in none.
-    """
-    marks = holders.select(
-        "doc_id", "node", F.struct("node", "end_node").alias("_h")
-    )
-    order = Window.partitionBy("doc_id").orderBy("node")
-    return (
-        nodes.join(marks, ["doc_id", "node"], "left")
-        .withColumn("_h", F.last("_h", ignorenulls=True).over(order))
-        .filter((F.col("node") > F.col("_h.node")) & (F.col("node") <= F.col("_h.end_node")))
-        .withColumn(name, F.col("_h.node"))
-        .drop("_h")
-    )
+    """Rows inside a holder, with the position of the innermost as ``name``; a holder is not in itself."""
+    found = innermost(nodes, holders.select("doc_id", "node", "end_node"), name, own=False)
+    return found.filter(F.col(name).isNotNull())
 
 
 def apparatus(nodes: DataFrame) -> DataFrame:
@@ -981,8 +983,8 @@ REWRITES = {
 }
 
 
-def rewrite(nodes: DataFrame, docs: DataFrame, href_limit: int | None = 96, prefix: str = "title-"):
-    """The whole chain. ``docs`` holds doc_id, title. Returns nodes and {rewrite: changes}."""
+def _chained(nodes: DataFrame, docs: DataFrame, href_limit: int | None, prefix: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The nodes of the whole chain in working form, and {rewrite: changes}."""
     w = materialise(working(nodes))
     w, captions = suppress_captions(w)
     w, callouts = emphasise_callouts(w)
@@ -992,9 +994,8 @@ def rewrite(nodes: DataFrame, docs: DataFrame, href_limit: int | None = 96, pref
     w, raw = balance_raw_html(w)
     w, titled = ensure_title(w, docs, prefix)
     w, bounded = bound_identifiers(w, href_limit)
-    w = materialise(w)
     w, renamed = namespace_attrs(w)
-    return dense(w), {
+    return w, {
         "duplicate-caption-suppression": captions,
         "callout-title-emphasis": callouts,
         "link-stripping": links.filter("removed"),
@@ -1005,6 +1006,30 @@ def rewrite(nodes: DataFrame, docs: DataFrame, href_limit: int | None = 96, pref
     }
 
 
+def rewrite(nodes: DataFrame, docs: DataFrame, href_limit: int | None = 96, prefix: str = "title-"):
+    """The whole chain. ``docs`` holds doc_id, title. Returns nodes and {rewrite: changes}.
+
+    Positions of the nodes are labels (``labelled``).
+    """
+    w, done = _chained(nodes, docs, href_limit, prefix)
+    return labelled(w), done
+
+
+def changes(nodes: DataFrame, docs: DataFrame, href_limit: int | None = 96, prefix: str = "title-") -> dict[str, DataFrame]:
+    """What ``rewrite`` would change, {rewrite: changes}, from the few kinds of nodes that rewrites look at.
+
+    Words and spaces outside of figures, callouts and raw markup play no part in any change, so they are
+    left out before the chain begins, and positions are not counted again.
+    """
+    acting = F.col("kind").isin("Link", "Note", "Image", "Figure", *tree.RAW) | F.col("kind").isin(*tree.BLOCKS)
+    figures = F.col("kind").isin("Figure", "Div")
+    # Words count where a caption or a callout may be compared or told.
+    telling = nodes.filter(figures).select("doc_id").distinct()
+    few = nodes.filter(acting | F.col("attrs").isNotNull() | F.col("ident").isNotNull())
+    words = nodes.filter(~(acting | F.col("attrs").isNotNull() | F.col("ident").isNotNull())).join(telling, "doc_id", "left_semi")
+    return _chained(few.unionByName(words), docs, href_limit, prefix)[1]
+
+
 def transform_log(docs: DataFrame, changes: dict[str, DataFrame], activations=ACTIVATIONS) -> DataFrame:
     """One row per rewrite and document: name, fired, activation, justification, changes.
 

@@ -125,19 +125,6 @@ def unsupported_constructs(counts: DataFrame, modelled=None, vocabulary=None) ->
     )
 
 
-def inside(nodes: DataFrame, holders: DataFrame, name: str) -> DataFrame:
-    """Nodes with the ordinal of each holder they lie in, as column ``name``.
-
-    An equality on the document carries the join; the range is what remains of it.
-    """
-    spans = holders.select(
-        "doc_id", F.col("node").alias(name), F.col("end_node").alias("_last")
-    )
-    return nodes.join(spans, "doc_id").filter(
-        F.col("node").between(F.col(name), F.col("_last"))
-    ).drop("_last")
-
-
 def _visible(nodes: DataFrame) -> DataFrame:
     return nodes.filter(
         F.col("text_seg").isNotNull() & F.col("text").isNotNull() & ~F.col("kind").isin(*tree.RAW)

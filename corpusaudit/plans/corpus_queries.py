@@ -1,7 +1,5 @@
 """Corpus summaries, retrieval, recovered notes, lineage, conformance and streamed arrivals."""
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +11,7 @@ from corpusaudit.operators import structure as S
 from corpusaudit.operators import verdicts as V
 from corpusaudit.plans.tables import query, sql_words, table
 from corpusaudit.plans.text_queries import _SQL_LOSS, _declared, _pairs
-from corpusaudit.session import materialise, shared_folder
+from corpusaudit.session import materialise, new_folder
 from corpusaudit.sources import images as I
 from corpusaudit.sources.html import pages_to_nodes
 from corpusaudit.streaming import arrivals as A
@@ -69,34 +67,6 @@ def claimed_totals(spark, folder):
     return P.with_claim(docs, "doc_id", said).select("doc_id", "discarded", "claimed")
 
 
-@query(
-    "retrieval_status",
-    """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages),
-r AS (SELECT page_id, href, strlen(href) AS n FROM h),
-o AS (SELECT *, CASE WHEN n > 12 THEN 'oversize' WHEN n > 10 THEN 'http-error' ELSE 'retrieved' END AS outcome FROM r)
-SELECT page_id, NOT bool_or(outcome <> 'retrieved') AS retrieved, bool_or(outcome <> 'retrieved') AS failed FROM o GROUP BY page_id""",
-)
-def retrieval_status(spark, folder):
-    pages = table(spark, folder, "pages", "page_id", "html")
-    links = L.links_of(pages_to_nodes(pages, "page_id", "html", ("Link",)))
-    seen = L.distinct_locators(links, "doc_id", "href", "node").select(
-        "doc_id", F.col("href").alias("locator"), F.col("first").alias("ord")
-    )
-    size = F.octet_length("locator")
-    log = seen.select(
-        "locator",
-        F.lit(1).alias("attempt"),
-        F.when(size > 12, F.lit("oversize"))
-        .when(size > 10, F.lit("http-error"))
-        .otherwise(F.lit("retrieved"))
-        .alias("outcome"),
-    )
-    status = L.retrieval_status(seen, log)
-    return status.select(
-        F.col("doc_id").alias("page_id"), "retrieved", F.col("boundary").isNotNull().alias("failed")
-    )
-
-
 _SQL_NOTED = """
 WITH n AS (SELECT doc_id, lang, text, len(string_split(text, chr(10))) AS k,
   list_max(list_transform(string_split(text, chr(10)), lambda l: (trim(l) = '')::INT)) AS blank FROM documents)"""
@@ -187,30 +157,58 @@ def repair_lineage(spark, folder):
     return W.lineage_check(repairs, "panel").select("doc_id", "reason", "changed")
 
 
-@query(
-    "conformance_results",
-    """SELECT doc_id, severity, n, severity <> 'ERROR' OR n = 0 AS fine FROM (SELECT doc_id, unnest(['ERROR', 'WARNING']) AS severity,
-  unnest([length(text) - length(replace(text, '!', '')), length(text) - length(replace(text, '?', ''))])::BIGINT AS n FROM documents) WHERE n > 0""",
-)
-def conformance_results(spark, folder):
-    """Every ``!`` of a text as an error and every ``?`` as a warning of a checker's output."""
-    docs = table(spark, folder, "documents", "doc_id", "text")
-    marks = F.regexp_extract_all("text", F.lit("[!?]"), F.lit(0))
+def _checker_output(spark, folder):
+    """A checker's JSON of each document: every ``!`` an error, every ``?`` a warning, every ``%`` fatal, ``;`` usage.
+
+    Spanish documents were checked by nobody, and of French ones whose length is odd the output broke off.
+    """
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    marks = F.regexp_extract_all("text", F.lit("[!?%;]"), F.lit(0))
+    said = {"!": "ERROR", "?": "WARNING", "%": "FATAL", ";": "USAGE"}
+    severity = F.create_map(*[F.lit(x) for pair in said.items() for x in pair])
     message = lambda m, i: F.struct(
         F.concat(F.lit("M-"), m).alias("ID"),
-        F.when(m == "!", F.lit("ERROR")).otherwise(F.lit("WARNING")).alias("severity"),
+        severity[m].alias("severity"),
         m.alias("message"),
         F.array(F.struct(F.lit("ch.xhtml").alias("path"), i.alias("line"), i.alias("column"))).alias("locations"),
     )
-    output = F.to_json(
-        F.struct(
-            F.struct(F.lit("5.3.0").alias("checkerVersion")).alias("checker"),
-            F.transform(marks, message).alias("messages"),
-        )
+    n = lambda sign: F.regexp_count("text", F.lit(f"[{sign}]")).cast("bigint")
+    checker = F.struct(
+        F.lit("5.3.0").alias("checkerVersion"), n("%").alias("nFatal"), n("!").alias("nError"), n("?").alias("nWarning"), n(";").alias("nUsage")
     )
-    messages = K.conformance_messages(docs.select("doc_id", output.alias("out")), "doc_id", "out")
-    counted = K.severity_counts(messages, "doc_id")
-    return counted.withColumn("fine", F.col("severity") != "ERROR")
+    whole = F.to_json(F.struct(checker.alias("checker"), F.transform(marks, message).alias("messages")))
+    broken = (F.col("lang") == "fr") & (F.char_length("text") % 2 == 1)
+    output = F.when(F.col("lang") == "es", F.lit(None)).when(broken, F.left(whole, F.lit(20))).otherwise(whole)
+    return docs.select("doc_id", output.alias("out"))
+
+
+_SQL_MARKS = """
+WITH d AS (SELECT doc_id, text, lang = 'es' OR (lang = 'fr' AND length(text) % 2 = 1) AS lost FROM documents),
+m AS (SELECT doc_id, lost, length(text) - length(replace(text, '%', '')) AS fatal, length(text) - length(replace(text, '!', '')) AS error,
+  length(text) - length(replace(text, '?', '')) AS warning, length(text) - length(replace(text, ';', '')) AS usage FROM d)"""
+
+
+@query(
+    "conformance_results",
+    _SQL_MARKS
+    + """ SELECT doc_id, CASE WHEN NOT lost THEN '5.3.0' END AS version, CASE WHEN lost THEN 0 ELSE fatal END AS fatal,
+  CASE WHEN lost THEN 0 ELSE error END AS error, CASE WHEN lost THEN 0 ELSE warning END AS warning, CASE WHEN lost THEN 0 ELSE usage END AS usage,
+  CASE WHEN NOT lost THEN fatal = 0 AND error = 0 END AS valid FROM m""",
+)
+def conformance_results(spark, folder):
+    """Counts and validity by a checker's output; null where there is no result."""
+    return K.conformance(_checker_output(spark, folder), "doc_id", "out")
+
+
+@query(
+    "conformance_severities",
+    _SQL_MARKS
+    + """ SELECT doc_id, severity, n FROM (SELECT doc_id, unnest(['FATAL', 'ERROR', 'WARNING', 'USAGE']) AS severity,
+  unnest([fatal, error, warning, usage]) AS n FROM m WHERE NOT lost) WHERE n > 0""",
+)
+def conformance_severities(spark, folder):
+    """Messages of a checker by severity."""
+    return K.severity_counts(K.conformance_messages(_checker_output(spark, folder), "doc_id", "out"), "doc_id")
 
 
 @query(
@@ -279,20 +277,6 @@ def _event_stream(spark, folder):
     )
 
 
-def _drained(stream, spark, schema):
-    """Run a stream to its end into a table of the shared folder: the table, and where it is."""
-    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    job = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{home}/table")
-        .option("checkpointLocation", f"{home}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{home}/table"), f"{home}/table"
-
-
 @query(
     "streamed_states",
     """WITH a AS (SELECT '/inbox/' || user_id AS path, ts, sha256(event_type) AS sha256 FROM events),
@@ -307,9 +291,9 @@ def streamed_states(spark, folder):
     own.conf.set("spark.sql.streaming.stateStore.providerClass", A.ROCKSDB)
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    states = A.path_states(_event_stream(own, folder).withColumnRenamed("modified_at", "arrived_at"))
-    _, home = _drained(states, own, A.STATES)
-    done = spark.read.schema(A.STATES).parquet(home)
+    home = new_folder(spark)
+    A.drained(_event_stream(own, folder).withColumnRenamed("modified_at", "arrived_at"), A.path_states, home, A.STATES)
+    done = spark.read.schema(A.STATES).parquet(f"{home}/table")
     return done.groupBy("path", "state").agg(F.sum("n").alias("n"))
 
 
@@ -340,11 +324,27 @@ COUNTS = T.StructType(
 )
 
 
-@query("streamed_counts")
+@query(
+    "streamed_counts",
+    """SELECT 'tumbling' AS kind, time_bucket(INTERVAL 1 HOUR, ts) AS begin, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end",
+  event_type, count(*) AS n FROM events GROUP BY ALL
+UNION ALL SELECT 'sliding', b, b + INTERVAL 1 HOUR, event_type, count(*) FROM (
+  SELECT event_type, time_bucket(INTERVAL 20 MINUTE, ts) - k * INTERVAL 20 MINUTE AS b FROM events, range(3) r(k)) GROUP BY ALL""",
+)
 def streamed_counts(spark, folder):
-    """Arrivals per hour and type from the stream; the last window stays open, so rows only."""
-    counts = A.arrival_counts(_event_stream(spark, folder), "event_type", "1 hour")
-    return _drained(counts, spark, COUNTS)[0]
+    """Arrivals by type per hour, and per hour every twenty minutes, from streams whose every window is closed."""
+    kinds = {"tumbling": None, "sliding": "20 minutes"}
+    parts = [
+        A.drained(
+            _event_stream(spark, folder),
+            lambda s, slide=slide: A.arrival_counts(s, "event_type", "1 hour", slide),
+            new_folder(spark),
+            COUNTS,
+            past="1 day",
+        ).withColumn("kind", F.lit(kind))
+        for kind, slide in kinds.items()
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -357,10 +357,9 @@ def arrival_counts(spark, folder):
     return counts.select("begin", "event_type", "n")
 
 
-@query("streamed_first_arrivals")
+@query("streamed_first_arrivals", "SELECT DISTINCT '/inbox/' || user_id AS path, sha256(event_type) AS sha256 FROM events")
 def streamed_first_arrivals(spark, folder):
-    """Each (path, digest) once within an hour of event time."""
-    firsts = A.first_arrivals(_event_stream(spark, folder), "1 hour")
+    """Which (path, digest) the stream lets through, each once within an hour of event time."""
     schema = T.StructType(
         [
             T.StructField("path", T.StringType()),
@@ -369,6 +368,5 @@ def streamed_first_arrivals(spark, folder):
             T.StructField("event_type", T.StringType()),
         ]
     )
-    return _drained(firsts, spark, schema)[0].select("path", "sha256").distinct()
-
-
+    firsts = A.drained(_event_stream(spark, folder), lambda s: A.first_arrivals(s, "1 hour"), new_folder(spark), schema)
+    return firsts.select("path", "sha256").distinct()

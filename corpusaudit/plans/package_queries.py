@@ -19,12 +19,13 @@ from pyspark.sql import types as T
 from corpusaudit.operators import links as L
 from corpusaudit.operators import observations as O
 from corpusaudit.operators import package as K
+from corpusaudit.operators import preservation as P
 from corpusaudit.operators import verdicts as V
 from corpusaudit.plans.tables import SQL_WS, query, table
 from corpusaudit.session import materialise
 from corpusaudit.sources import images as I
 from corpusaudit.sources import packages as S
-from corpusaudit.sources.rows import arrow_rows
+from corpusaudit.sources.rows import arrow_rows, dealt
 
 LINES = 25
 SHAPE, DAMAGE = 4, 23
@@ -94,7 +95,7 @@ def _cover(shape, lines):
 
 def _archives(spark, folder):
     """(package_id, content): one archive per document."""
-    docs = table(spark, folder, "documents", "doc_id", "text")
+    docs = dealt(table(spark, folder, "documents", "doc_id", "text"), "doc_id")
     size = F.char_length("text")
     text = F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -190,7 +191,7 @@ def _archives(spark, folder):
 
 def _members(spark, folder):
     """Every stored member, read once and kept."""
-    return materialise(S.packages_to_members(_archives(spark, folder)))
+    return materialise(S.packages_to_members(_archives(spark, folder), deal=False))
 
 
 def _opened(spark, folder):
@@ -234,7 +235,7 @@ s AS (SELECT * FROM k WHERE damage NOT BETWEEN 1 AND 5)"""
   UNION ALL SELECT doc_id, '' FROM k WHERE damage = 5) GROUP BY ALL""",
 )
 def archive_members(spark, folder):
-    members = S.packages_to_members(_archives(spark, folder))
+    members = S.packages_to_members(_archives(spark, folder), deal=False)
     return members.groupBy("package_id", "name").agg(F.count("*").alias("n"))
 
 
@@ -342,9 +343,13 @@ def package_text(spark, folder):
   CASE WHEN shape <> 1 THEN parts + 1 WHEN lines % 2 = 1 THEN parts ELSE 0 END::BIGINT AS entries FROM s""",
 )
 def package_navigation(spark, folder):
-    _, current, _, records = _opened(spark, folder)
-    nodes = S.documents_to_nodes(S.content_documents(current, records, (S.XHTML_TYPE, S.NCX_TYPE)))
+    """Of each archive only the container, the package document and the chosen contents are inflated."""
+    files = materialise(_archives(spark, folder))
+    _, records = S.open_packages(files)
     chosen = K.navigation(records)
+    wanted = chosen.select("package_id", F.col("path").alias("name"))
+    members = S.current_members(S.named_members(files, wanted))
+    nodes = S.documents_to_nodes(S.content_documents(members, records, (S.XHTML_TYPE, S.NCX_TYPE)))
     return chosen.join(K.navigation_entries(nodes, chosen), "package_id")
 
 
@@ -526,25 +531,107 @@ def package_navigation_observations(spark, folder):
     return seen.select("package_id", "name", "applicability", "fired")
 
 
+def _labelled(spark, folder):
+    """Documents with what their label says: toxic sources lost their picture, bad ones grew a line."""
+    labels = table(spark, folder, "labels", "doc_id", "quality", "toxic").groupBy(F.col("doc_id").alias("package_id"))
+    return labels.agg(F.bool_or(F.col("toxic") == 1).alias("redrawn"), F.bool_or(F.col("quality") == 0).alias("longer"))
+
+
+def _expected_pictures(spark, folder):
+    """Pictures each source has: its cover, redrawn since where the label says so, and the plate of several chapters.
+
+    Where the source is no longer than its book, the plate is taken for a cover.
+    """
+    docs = table(spark, folder, "documents", "doc_id", "text").withColumnRenamed("doc_id", "package_id")
+    plain = F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
+    lines = F.size(F.split(plain, "\n"))
+    cover = _cover(F.pmod(F.char_length("text"), F.lit(SHAPE)), lines)
+    told = docs.join(_labelled(spark, folder), "package_id", "left").fillna(False, ["redrawn", "longer"])
+    bytes_of = F.when(F.col("redrawn"), F.concat(cover, F.lit(b"redrawn"))).otherwise(cover)
+    plate = F.when(lines > LINES, F.struct(F.lit("plate").alias("reference"), F.unhex(F.lit(GIF.replace(" ", ""))).alias("content"), (~F.col("longer")).alias("is_cover")))
+    front = F.struct(F.lit("front").alias("reference"), bytes_of.alias("content"), F.lit(True).alias("is_cover"))
+    shown = told.select("package_id", F.inline(F.array_compact(F.array(front, plate))))
+    return shown.select("package_id", "reference", F.sha2("content", 256).alias("sha256"), "is_cover")
+
+
+_SQL_EXPECTED = (
+    _SQL_BOOKS
+    + """, lab AS (SELECT doc_id, bool_or(toxic = 1) AS redrawn, bool_or(quality = 0) AS longer FROM labels GROUP BY doc_id),
+x AS (SELECT k.doc_id, k.damage BETWEEN 1 AND 5 AS shut, parts, coalesce(redrawn, false) AS redrawn, coalesce(longer, false) AS longer FROM k LEFT JOIN lab USING (doc_id)),
+pic AS (SELECT doc_id, 'front' AS reference, true AS is_cover, CASE WHEN shut OR redrawn THEN 'absent-resource' END AS reason FROM x
+  UNION ALL SELECT doc_id, 'plate', NOT longer, CASE WHEN shut THEN 'absent-resource' WHEN NOT longer THEN 'cover-not-declared' END FROM x WHERE parts > 1)"""
+)
+
+
+@query("image_integrity", _SQL_EXPECTED + " SELECT doc_id AS package_id, reference, is_cover, reason FROM pic")
+def image_integrity(spark, folder):
+    """Every picture of a source and why its book does not carry it, if it does not."""
+    images, _ = _images(spark, folder)
+    found = K.image_mismatch(_expected_pictures(spark, folder), images.select("package_id", "sha256", "cover", "referenced"))
+    return found.select("package_id", "reference", "is_cover", "reason")
+
+
 @query(
     "package_refusals",
-    _SQL_FACTS
-    + """ SELECT doc_id AS package_id, CASE WHEN cut THEN 'malformed-content-document' WHEN top > 128 THEN 'compatibility'
-     WHEN dead > 0 THEN 'text-preservation' END AS boundary FROM f""",
+    _SQL_EXPECTED
+    + f""", f AS (SELECT k.doc_id, k.shape = 2 OR k.damage BETWEEN 1 AND 5 AS cut, greatest(1, coalesce(max(top), 0)) AS top, coalesce(sum(b.lost), 0) > 0 AS unfound
+  FROM k LEFT JOIN b USING (doc_id) GROUP BY k.doc_id, k.shape, k.damage),
+w AS (SELECT f.doc_id, cut, top > 128 AS heavy, longer, unfound, EXISTS (SELECT 1 FROM pic WHERE pic.doc_id = f.doc_id AND reason IS NOT NULL) AS bare FROM f JOIN x USING (doc_id))
+SELECT doc_id AS package_id, cut AS malformed, CASE WHEN NOT cut THEN heavy END AS incompatible, CASE WHEN NOT cut THEN longer END AS text_lost,
+  CASE WHEN NOT cut THEN unfound END AS notes_mismatched, CASE WHEN NOT cut THEN bare END AS images_lost,
+  CASE WHEN cut THEN 'malformed-content-document' WHEN heavy THEN 'compatibility' WHEN longer THEN 'text-preservation'
+       WHEN unfound THEN 'note-representation-mismatch' WHEN bare THEN 'image-preservation' END AS boundary FROM w""",
 )
 def package_refusals(spark, folder):
-    """The first boundary of each book; dead links stand in for lost words here."""
-    nodes, records, current, links = _package_links(spark, folder)
-    facts = _artifact_facts(current, nodes, records, links)
+    """All five boundaries of each book, measured on it, and the first that refuses it.
+
+    Of a book that cannot be read whole nothing else is said. Bad sources grew a line since the book was
+    made, so words of theirs are missing there.
+    """
+    members, current, paths, records = _opened(spark, folder)
+    documents = S.content_documents(current, records)
+    nodes = materialise(S.documents_to_nodes(documents))
+    links = L.links_of(nodes.filter("well_formed"), L.R.EXCLUDED_SCHEMES, True, "package_id", "document")
+    anchors = nodes.filter("well_formed AND ident IS NOT NULL").select("package_id", "document", "ident")
+    links = materialise(L.resolve_in_package(links, current, anchors))
+    facts = materialise(_artifact_facts(current, nodes, records, links))
     verdicts = V.evaluate(V.instruments_of(facts), "package_id")
-    refused = V.refusals(verdicts, "package_id").withColumn("_no", F.lit(True))
-    no = F.lit(False)
-    return facts.join(refused, "package_id", "left").select(
+    refused = V.refusals(verdicts, "package_id").select("package_id", F.lit(True).alias("_no"))
+
+    text = K.package_text(S.documents_to_segments(documents), records).select("package_id", F.col("text").alias("derived"))
+    docs = table(spark, folder, "documents", "doc_id", "text").withColumnRenamed("doc_id", "package_id")
+    sources = docs.join(_labelled(spark, folder), "package_id", "left")
+    grown = F.concat("text", F.lit("\nwithdrawn appendix "), "package_id")
+    source = F.when(F.col("longer"), grown).otherwise(F.col("text"))
+    pairs = sources.select("package_id", source.alias("baseline")).join(text, "package_id", "left").fillna("", ["derived"])
+    lost = P.loss_totals(pairs, "package_id", "baseline", "derived").select("package_id", (F.col("missing") > 0).alias("text_lost"))
+
+    noted = F.coalesce("target_documents", F.lit(0).cast("bigint"))
+    counts = facts.join(L.note_targets(links), "package_id", "left").select(
         "package_id",
-        V.first_refusal(
-            ~F.col("complete"), F.coalesce("_no", no), F.col("dead_link") > 0, no, no
-        ).alias("boundary"),
+        noted.alias("source_notes"),
+        noted.alias("converted_notes"),
+        F.col("note_references").alias("references"),
+        F.col("note_unresolved").alias("unresolved_references"),
+        noted.alias("note_documents"),
+    )
+    notes = V.note_mismatch(counts).select("package_id", (F.size("disagreements") > 0).alias("notes_mismatched"))
+
+    declared = S.manifest(records).filter(F.col("media_type").startswith("image/"))
+    carried = current.join(declared.select("package_id", F.col("target").alias("name")).distinct(), ["package_id", "name"])
+    shown = K.image_resources(carried.select("package_id", F.col("name").alias("path"), "sha256"), K.image_references(nodes), K.covers(records))
+    missing = K.image_mismatch(_expected_pictures(spark, folder), shown.select("package_id", "sha256", "cover", "referenced"))
+    images = missing.groupBy("package_id").agg(F.bool_or(F.col("reason").isNotNull()).alias("images_lost"))
+
+    joined = facts.select("package_id", (~F.col("complete")).alias("malformed"))
+    for part in (refused, lost, notes, images):
+        joined = joined.join(part, "package_id", "left")
+    known = lambda c: F.when(~F.col("malformed"), F.coalesce(c, F.lit(False)))
+    flags = joined.select(
+        "package_id", "malformed", known("_no").alias("incompatible"), *(known(c).alias(c) for c in ("text_lost", "notes_mismatched", "images_lost"))
     )
+    names = ("malformed", "incompatible", "text_lost", "notes_mismatched", "images_lost")
+    return flags.withColumn("boundary", V.first_refusal(*map(F.col, names)))
 
 
 @query(

@@ -4,7 +4,9 @@ from corpusaudit.plans import (  # noqa: F401
     corpus_queries,
     package_queries,
     page_queries,
+    picture_queries,
     state_queries,
+    store_queries,
     text_queries,
     tree_queries,
 )

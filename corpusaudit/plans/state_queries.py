@@ -260,62 +260,6 @@ def latest_per_key(spark, folder):
     )
 
 
-SQL_TITLES = f"""
-SELECT doc_id AS ord, regexp_extract(text, '^[^.\\n]{{0,24}}') || lang AS title, sha256(text) AS digest
-FROM documents"""
-
-
-def _titled(spark, folder):
-    """Books titled by their first words; copies and near copies compete for one name."""
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
-    return docs.select(
-        F.col("doc_id").alias("ord"),
-        F.concat(F.regexp_extract("text", r"^[^.\n]{0,24}", 0), F.col("lang")).alias("title"),
-        F.sha2("text", 256).alias("digest"),
-    )
-
-
-# Titles here stay far below the byte limit, so the limit itself is left to the unit tests.
-_SQL_BASE = f"""regexp_replace(trim(regexp_replace(nfc_normalize(title),
-  '(?:[^\\p{{L}}\\p{{N}}''’(),\\[\\]&\\-_.]+|{SQL_WS}+)+', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g')"""
-
-
-@query(
-    "artifact_names",
-    f"""WITH t AS ({SQL_TITLES}), b AS (SELECT *, {_SQL_BASE} AS base FROM t),
-o AS (SELECT *, first_value(digest) OVER (PARTITION BY base ORDER BY ord) AS holder,
-             row_number() OVER (PARTITION BY base, digest ORDER BY ord) AS turn FROM b)
-SELECT ord, title, digest,
-  CASE WHEN digest = holder THEN base ELSE base || '-' || left(digest, 12) END || '.epub' AS name,
-  CASE WHEN turn = 1 THEN 'publish' ELSE 'reuse' END AS action FROM o""",
-)
-def artifact_names(spark, folder):
-    return naming.assign_names(_titled(spark, folder))
-
-
-@query(
-    "artifact_names_existing",
-    f"""WITH t AS ({SQL_TITLES}), b AS (SELECT *, {_SQL_BASE} AS base FROM t),
-e AS (SELECT base, arg_min(sha256(digest), ord) AS held FROM b JOIN labels ON ord = doc_id GROUP BY base)
-SELECT ord, title, digest,
-  CASE WHEN coalesce(held, first_value(digest) OVER (PARTITION BY base ORDER BY ord)) = digest
-       THEN base ELSE base || '-' || left(digest, 12) END || '.epub' AS name,
-  CASE WHEN row_number() OVER (PARTITION BY base, digest ORDER BY ord) = 1
-       THEN 'publish' ELSE 'reuse' END AS action
-FROM b LEFT JOIN e USING (base)""",
-)
-def artifact_names_existing(spark, folder):
-    titled = _titled(spark, folder)
-    labels = table(spark, folder, "labels", "doc_id").withColumnRenamed("doc_id", "ord")
-    existing = (
-        titled.join(labels, "ord")
-        .withColumn("name", F.concat(N.portable_base(F.col("title")), F.lit(".epub")))
-        .groupBy("name")
-        .agg(F.min_by(F.sha2("digest", 256), F.col("ord")).alias("digest"))
-    )
-    return naming.assign_names(titled, existing)
-
-
 def _sql_cut(text: str, limit: int) -> str:
     return f"""left({text}, coalesce(list_max(list_filter(
   range(0, least(length({text}), {limit}) + 1), lambda k: strlen(left({text}, k)) <= {limit})), 0))"""
@@ -351,13 +295,15 @@ def _whole_titles(spark, folder):
     )
 
 
+@query("artifact_names", _sql_whole_names(False))
 @query("artifact_names_whole_titles", _sql_whole_names(False))
-def artifact_names_whole_titles(spark, folder):
+def artifact_names(spark, folder):
     return naming.assign_names(_whole_titles(spark, folder))
 
 
+@query("artifact_names_existing", _sql_whole_names(True))
 @query("artifact_names_existing_whole_titles", _sql_whole_names(True))
-def artifact_names_existing_whole_titles(spark, folder):
+def artifact_names_existing(spark, folder):
     titled = _whole_titles(spark, folder)
     labels = table(spark, folder, "labels", "doc_id").withColumnRenamed("doc_id", "ord")
     existing = (

@@ -120,32 +120,16 @@ def char_loss(spark, folder):
     return P.char_losses(_pairs(spark, folder), "doc_id", "baseline", "derived")
 
 
-@query(
-    "declared_losses",
-    f"""SELECT doc_id, token, allowed,
+_SQL_DECLARED = f"""SELECT doc_id, token, allowed,
           CASE WHEN len({sql_words('token')}) <> 1 OR {sql_words('token')}[1] <> token
                THEN 'invalid-token' WHEN allowed < 0 THEN 'invalid-count' END AS reason
-        FROM (SELECT doc_id, nfc_normalize(regexp_extract(text, '^[^\\n]{{0,12}}')) AS token,
-                     n_chars - 400 AS allowed FROM documents)""",
-)
-def declared_losses(spark, folder):
-    rows = _docs(spark, folder, "doc_id", "text", "n_chars").select(
-        "doc_id",
-        X.nfc(F.regexp_extract("text", r"^[^\n]{0,12}", 0)).alias("token"),
-        (F.col("n_chars") - 400).alias("allowed"),
-    )
-    return P.validate_declared(rows)
+        FROM (SELECT DISTINCT doc_id, unnest(string_split(nfc_normalize(text), ' ')) AS token,
+                     n_chars - 400 AS allowed FROM documents)"""
 
 
-@query(
-    "declared_losses_every_word",
-    f"""SELECT doc_id, token, allowed,
-          CASE WHEN len({sql_words('token')}) <> 1 OR {sql_words('token')}[1] <> token
-               THEN 'invalid-token' WHEN allowed < 0 THEN 'invalid-count' END AS reason
-        FROM (SELECT DISTINCT doc_id, unnest(string_split(nfc_normalize(text), ' ')) AS token,
-                     n_chars - 400 AS allowed FROM documents)""",
-)
-def declared_losses_every_word(spark, folder):
+@query("declared_losses", _SQL_DECLARED)
+@query("declared_losses_every_word", _SQL_DECLARED)
+def declared_losses(spark, folder):
     """A declaration for everything between two spaces of the whole text, each once."""
     rows = _docs(spark, folder, "doc_id", "text", "n_chars").select(
         "doc_id",

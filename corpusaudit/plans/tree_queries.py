@@ -18,6 +18,7 @@ from corpusaudit.operators import verdicts as V
 from corpusaudit.plans.tables import query, sql_words, table
 from corpusaudit.rules import GLYPHS
 from corpusaudit.session import materialise
+from corpusaudit.sources.rows import dealt
 from corpusaudit.sources.tree import MAX_DEPTH, trees_to_nodes
 from corpusaudit.sources.tree import tree_refusals as refused_trees
 
@@ -55,7 +56,7 @@ def _words(line, anchor):
 
 
 def _trees(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    docs = dealt(table(spark, folder, "documents", "doc_id", "text", "lang"), "doc_id")
     lines = F.split("text", "\n")
     docs = docs.withColumn("lines", lines)
     first = F.element_at("lines", 1)
@@ -82,7 +83,7 @@ def _trees(spark, folder):
 
 
 def _nodes(spark, folder, kinds=None, columns=None):
-    return trees_to_nodes(_trees(spark, folder), "doc_id", "tree", kinds, columns)
+    return trees_to_nodes(_trees(spark, folder), "doc_id", "tree", kinds, columns, deal=False)
 
 
 def _linked(spark, folder):
@@ -273,51 +274,52 @@ def rewritten_loss(spark, folder):
     return totals.select("doc_id", "baseline", "missing")
 
 
+# With one kind of tag, what stays is what a stack pairs: an end tag finds a partner where the
+# running balance, floored at zero, is above zero.
+_SQL_DROPPED = (
+    _SQL_TOKENS
+    + """, t AS (SELECT doc_id, ln, pos, CASE w WHEN 'que' THEN 1 ELSE -1 END AS d FROM word WHERE w IN ('que', 'los')),
+s AS (SELECT *, sum(d) OVER (PARTITION BY doc_id ORDER BY ln, pos) AS run FROM t),
+f AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY doc_id ORDER BY ln, pos)) AS level FROM s),
+e AS (SELECT doc_id, arg_max(level, (ln, pos)) AS left_open, -least(0, min(run)) AS no_start FROM f GROUP BY doc_id),
+gone AS (SELECT doc_id, (left_open + no_start)::BIGINT AS dropped FROM e WHERE left_open + no_start > 0)"""
+)
+
+
 @query(
     "rewritten_constructs",
-    _SQL_TOKENS
-    + """ SELECT doc_id, kind, c::BIGINT AS n FROM (SELECT doc_id, unnest(['Header', 'Para', 'Link', 'Span', 'Strikeout']) AS kind,
+    _SQL_DROPPED
+    + """ SELECT doc_id, kind, c::BIGINT AS n FROM (SELECT doc_id, unnest(['Header', 'Para', 'Link', 'Span', 'Strikeout', 'RawInline', 'Str', 'Space']) AS kind,
   unnest([1 + (lang = 'de')::INT + notes, lines + notes,
-          notes + CASE WHEN notes = 0 AND anchor <> '' THEN xref ELSE 0 END, web, struck]) AS c FROM n) WHERE c > 0""",
+          notes + CASE WHEN notes = 0 AND anchor <> '' THEN xref ELSE 0 END, web, struck, opens + shuts - coalesce(dropped, 0),
+          2 + words - opens - shuts + 3 * notes + (notes > 0)::INT + (lang = 'de')::INT, words - lines + 2 * notes]) AS c
+  FROM n LEFT JOIN gone USING (doc_id)) WHERE c > 0""",
 )
 def rewritten_constructs(spark, folder):
+    """Nodes of every kind behind the whole chain."""
     nodes, _ = _rewritten(spark, folder)
-    kept = nodes.filter(F.col("kind").isin("Header", "Para", "Link", "Span", "Strikeout"))
-    return S.construct_counts(kept)
+    return S.construct_counts(nodes)
 
 
 @query(
     "transform_log",
-    _SQL_TOKENS
+    _SQL_DROPPED
     + """, c AS (SELECT doc_id, unnest(['duplicate-caption-suppression', 'callout-title-emphasis', 'link-stripping',
-    'note-conversion', 'identifier-bounding', 'attribute-namespacing']) AS name,
-  unnest([0, 0, web + dead + CASE WHEN notes > 0 OR anchor = '' THEN xref ELSE 0 END, notes,
-    (lang = 'de')::INT + (strlen(anchor) > 77)::INT, web])::BIGINT AS changes FROM n)
+    'note-conversion', 'raw-html-balance', 'identifier-bounding', 'attribute-namespacing']) AS name,
+  unnest([0, 0, web + dead + CASE WHEN notes > 0 OR anchor = '' THEN xref ELSE 0 END, notes, coalesce(dropped, 0),
+    (lang = 'de')::INT + (strlen(anchor) > 77)::INT, web])::BIGINT AS changes FROM n LEFT JOIN gone USING (doc_id))
 SELECT doc_id, name, changes, changes > 0 AS fired,
   CASE name WHEN 'link-stripping' THEN 'strip_non_apparatus_hrefs' WHEN 'note-conversion' THEN 'one_file_per_note' END AS activation
 FROM c""",
 )
 def transform_log(spark, folder):
-    _, changes = _rewritten(spark, folder)
+    """Every rewrite of every document, the ones that did nothing too; no rewritten nodes are built for it."""
+    changes = W.changes(_nodes(spark, folder), _titles(spark, folder))
     log = W.transform_log(table(spark, folder, "documents", "doc_id"), changes)
-    return log.filter(F.col("name") != "raw-html-balance").select(
-        "doc_id", "name", "changes", "fired", "activation"
-    )
-
-
-# With one kind of tag, what stays is what a stack pairs: an end tag finds a partner where the
-# running balance, floored at zero, is above zero.
-_SQL_BALANCE = (
-    _SQL_TOKENS
-    + """, t AS (SELECT doc_id, ln, pos, CASE w WHEN 'que' THEN 1 ELSE -1 END AS d FROM word WHERE w IN ('que', 'los')),
-s AS (SELECT *, sum(d) OVER (PARTITION BY doc_id ORDER BY ln, pos) AS run FROM t),
-f AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY doc_id ORDER BY ln, pos)) AS level FROM s),
-e AS (SELECT doc_id, count(*) AS n, arg_max(level, (ln, pos)) AS left_open, -least(0, min(run)) AS no_start FROM f GROUP BY doc_id)
-SELECT doc_id, (left_open + no_start)::BIGINT AS dropped FROM e WHERE left_open + no_start > 0"""
-)
+    return log.select("doc_id", "name", "changes", "fired", "activation")
 
 
-@query("raw_markup_balance", _SQL_BALANCE)
+@query("raw_markup_balance", _SQL_DROPPED + " SELECT * FROM gone")
 def raw_markup_balance(spark, folder):
     """Raw markup dropped per document, counted."""
     _, gone = W.balance_raw_html(W.working(_nodes(spark, folder, ("RawInline", "RawBlock"))))

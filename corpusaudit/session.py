@@ -1,6 +1,8 @@
 """Session settings the jobs are written for, and where intermediate tables go."""
 
+import threading
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,19 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+_SOURCES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_REGISTERING = threading.Lock()
+
+
+def register(spark: SparkSession, source: type) -> None:
+    """Make a data source known to a session, once: a second time would take it away for a moment."""
+    with _REGISTERING:
+        known = _SOURCES.setdefault(spark, set())
+        if source not in known:
+            spark.dataSource.register(source)
+            known.add(source)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
@@ -33,6 +48,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -40,6 +60,6 @@ def materialise(df: DataFrame) -> DataFrame:
     unlike a checkpoint keeps column pruning and pushed filters for what comes after.
     """
     spark = df.sparkSession
-    where = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    where = new_folder(spark)
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from corpusaudit.schema import NODES, SEGMENTS
-from corpusaudit.sources.rows import arrow_rows, pruned
+from corpusaudit.sources.rows import arrow_rows, dealt, pruned
 
 # What counts as a reading block for link density, and what holds blocks.
 READING_BLOCKS = frozenset(
@@ -290,13 +290,14 @@ def read_segments(doc_id, html):
 
 
 def pages_to_nodes(
-    pages: DataFrame, key: str, html: str, kinds=None, keep=(), named=False, only=None
+    pages: DataFrame, key: str, html: str, kinds=None, keep=(), named=False, only=None, deal=True
 ) -> DataFrame:
     """The ``nodes`` table of pages. Filter and prune ``pages`` first: nothing is pushed through.
 
     ``kinds`` names the kinds to emit where a job needs only some, such as links; positions
     stay those of the whole page. ``named`` adds nodes of any kind with an identifier. ``keep`` names columns of the page to repeat on its nodes, which
-    saves a join back. ``only`` names the node columns wanted.
+    saves a join back. ``only`` names the node columns wanted. Pages are dealt out by their key first, unless
+    ``deal`` is false.
     """
     wanted = frozenset(kinds) if kinds else None
     nodes, prune = pruned(NODES, only)
@@ -308,12 +309,12 @@ def pages_to_nodes(
             read = [r for r in read if r[8] in wanted or (named and r[11])]
         return [[*prune(r), *kept] for r in read]
 
-    chosen = pages.select(*columns)
+    chosen = dealt(pages.select(*columns), key, deal=deal)
     schema = StructType([*nodes.fields, *[chosen.schema[c] for c in keep]])
     return chosen.mapInArrow(arrow_rows(rows, schema, columns), schema)
 
 
-def pages_to_segments(pages: DataFrame, key: str, html: str) -> DataFrame:
+def pages_to_segments(pages: DataFrame, key: str, html: str, deal=True) -> DataFrame:
     """Visible text of every page, one row per block, without building the node table."""
-    chosen = pages.select(key, html)
+    chosen = dealt(pages.select(key, html), key, deal=deal)
     return chosen.mapInArrow(arrow_rows(read_segments, SEGMENTS, (key, html)), SEGMENTS)

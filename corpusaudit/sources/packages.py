@@ -3,7 +3,6 @@
 import hashlib
 import io
 import xml.etree.ElementTree as ElementTree
-import zipfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +11,9 @@ from pyspark.sql import types as T
 from corpusaudit.functions import refs as R
 from corpusaudit.schema import MEMBERS, NODES, SEGMENTS
 from corpusaudit.session import materialise
+from corpusaudit.sources.archives import members_of
 from corpusaudit.sources.html import read_element, segments_of
-from corpusaudit.sources.rows import arrow_rows
+from corpusaudit.sources.rows import arrow_rows, dealt
 
 # Fixed values of the package format.
 CONTAINER = "META-INF/container.xml"
@@ -25,34 +25,43 @@ XHTML_TYPE = "application/xhtml+xml"
 NCX_TYPE = "application/x-dtbncx+xml"
 
 
-def _read_members(package_id, content):
-    """(package_id, ord, name, byte_size, sha256, content, problem, current) of one archive."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except (zipfile.BadZipFile, OSError, ValueError):
-        return [(package_id, -1, "", None, None, None, "not-a-zip-archive", True)]
-    entries = archive.infolist()
-    last = {info.filename: position for position, info in enumerate(entries)}
+def _read_members(package_id, content, names=None):
+    """(package_id, ord, name, byte_size, sha256, content, problem, current) of one archive, or of some names."""
+    asked = None if names is None else frozenset(names)
     rows = []
-    for position, info in enumerate(entries):
-        current = last[info.filename] == position
-        try:
-            data = archive.read(info)
-        except (zipfile.BadZipFile, OSError, RuntimeError, ValueError):
-            rows.append((package_id, position, info.filename, None, None, None, "unreadable", current))
-            continue
-        digest = hashlib.sha256(data).hexdigest()
-        rows.append((package_id, position, info.filename, len(data), digest, data, None, current))
+    for place, name, size, _, current, data, problem in members_of(
+        io.BytesIO(content or b""), lambda name: asked is None or name in asked
+    ):
+        digest = None if data is None else hashlib.sha256(data).hexdigest()
+        rows.append((package_id, place, name, None if data is None else size, digest, data, problem, current))
     return rows
 
 
-def packages_to_members(files: DataFrame, key: str = "package_id", content: str = "content") -> DataFrame:
-    """Members of every archive in stored order; what cannot be read stays as a row."""
-    return files.select(key, content).mapInArrow(
+def packages_to_members(files: DataFrame, key: str = "package_id", content: str = "content", deal=True) -> DataFrame:
+    """Members of every archive in stored order; what cannot be read stays as a row.
+
+    Archives are dealt out by their key first, unless they are already.
+    """
+    return dealt(files.select(key, content), key, deal=deal).mapInArrow(
         arrow_rows(_read_members, MEMBERS, (key, content)), MEMBERS
     )
 
 
+def named_members(files: DataFrame, wanted: DataFrame | tuple[str, ...], key: str = "package_id", content: str = "content") -> DataFrame:
+    """Only the members that ``wanted`` names, a row for each stored; no other member is inflated.
+
+    ``wanted`` is a tuple of names, or a table (package_id, name). What is no archive gives no row.
+    """
+    if isinstance(wanted, DataFrame):
+        names = wanted.groupBy("package_id").agg(F.collect_set("name").alias("_names"))
+        asked = files.select(F.col(key).alias("package_id"), F.col(content).alias("content")).join(names, "package_id")
+    else:
+        names = F.array(*map(F.lit, wanted))
+        asked = files.select(F.col(key).alias("package_id"), F.col(content).alias("content"), names.alias("_names"))
+    columns = ("package_id", "content", "_names")
+    return asked.mapInArrow(arrow_rows(_read_members, MEMBERS, columns), MEMBERS)
+
+
 def current_members(members: DataFrame) -> DataFrame:
     """The member a name stands for: the last one stored under it, which the reader marked."""
     return members.filter("current")
@@ -126,12 +135,13 @@ def _read_package(package_id, path, content):
     return rows
 
 
-def package_paths(members: DataFrame) -> DataFrame:
+def package_paths(members: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     """(package_id, present, well_formed, path): the package document each container names.
 
     ``members`` are current members. The first root file of the package type wins, else the first.
+    ``packages`` names all packages where ``members`` are only some.
     """
-    packages = members.select("package_id").distinct()
+    packages = (members if packages is None else packages).select("package_id").distinct()
     containers = members.filter((F.col("name") == CONTAINER) & F.col("content").isNotNull())
     found = containers.select("package_id", "content").mapInArrow(
         arrow_rows(_read_container, _ROOTFILE, ("package_id", "content")), _ROOTFILE
@@ -158,15 +168,32 @@ def members_to_package(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     paths = materialise(package_paths(members))
     wanted = paths.filter(F.col("path").isNotNull()).select("package_id", F.col("path").alias("name"))
-    documents = members.join(wanted, ["package_id", "name"]).filter(F.col("content").isNotNull())
-    records = documents.select("package_id", F.col("name").alias("path"), "content").mapInArrow(
-        arrow_rows(_read_package, _PACKAGE, ("package_id", "path", "content")), _PACKAGE
+    return paths, materialise(_records(members.join(wanted, ["package_id", "name"])))
+
+
+def open_packages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paths, records) as ``members_to_package`` gives them, of archives (package_id, content).
+
+    Reads the directory of each archive and inflates its container, then the package document named there.
+    Unlike there a file that is no archive is a package without a container.
+    """
+    containers = current_members(named_members(files, (CONTAINER,)))
+    paths = materialise(package_paths(containers, files))
+    wanted = paths.filter(F.col("path").isNotNull()).select("package_id", F.col("path").alias("name"))
+    return paths, materialise(_records(current_members(named_members(files, wanted))))
+
+
+def _records(documents: DataFrame) -> DataFrame:
+    """What package documents (package_id, name, content) say, with references resolved."""
+    records = (
+        documents.filter(F.col("content").isNotNull())
+        .select("package_id", F.col("name").alias("path"), "content")
+        .mapInArrow(arrow_rows(_read_package, _PACKAGE, ("package_id", "path", "content")), _PACKAGE)
     )
     ref = R.classify_reference(F.col("path"), F.col("href"))
-    resolved = records.withColumn("_ref", F.when(F.col("href").isNotNull(), ref)).select(
+    return records.withColumn("_ref", F.when(F.col("href").isNotNull(), ref)).select(
         *records.columns, F.col("_ref.kind").alias("reference"), F.col("_ref.target").alias("target")
     )
-    return paths, materialise(resolved)
 
 
 def manifest(records: DataFrame) -> DataFrame:

@@ -9,6 +9,16 @@ BATCH_ROWS = 20000
 BATCH_BYTES = 32 << 20
 
 
+def dealt(rows, *key, deal=True):
+    """Rows dealt over all tasks of a shuffle by their key, as parsing them costs far more than moving them.
+
+    A file with one row group would else be parsed by one task, whatever it holds.
+    """
+    if not deal:
+        return rows
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def pruned(schema, columns):
     """(schema of the named columns, a function that keeps just those of a row); all where none are named."""
     if columns is None:

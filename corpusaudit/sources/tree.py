@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corpusaudit.schema import NODES
-from corpusaudit.sources.rows import arrow_rows, pruned
+from corpusaudit.sources.rows import arrow_rows, dealt, pruned
 
 # The vocabulary of document trees.
 BLOCKS = (
@@ -253,18 +253,22 @@ def read_tree(doc_id, text):
 _REFUSAL = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("reason", T.StringType(), False)])
 
 
-def tree_refusals(trees: DataFrame, key: str, tree: str) -> DataFrame:
-    """(doc_id, reason) of every document whose tree cannot be read."""
+def tree_refusals(trees: DataFrame, key: str, tree: str, deal: bool = True) -> DataFrame:
+    """(doc_id, reason) of every document whose tree cannot be read. Rows are dealt out unless they are already."""
 
     def refused(doc_id, text):
         reason = read_or_refuse(doc_id, text)[1]
         return [] if reason is None else [(doc_id, reason)]
 
-    return trees.select(key, tree).mapInArrow(arrow_rows(refused, _REFUSAL, (key, tree)), _REFUSAL)
+    chosen = dealt(trees.select(key, tree), key, deal=deal)
+    return chosen.mapInArrow(arrow_rows(refused, _REFUSAL, (key, tree)), _REFUSAL)
 
 
-def trees_to_nodes(trees: DataFrame, key: str, tree: str, kinds=None, columns=None) -> DataFrame:
-    """The ``nodes`` table of document trees, of the named kinds and columns where a job needs few."""
+def trees_to_nodes(trees: DataFrame, key: str, tree: str, kinds=None, columns=None, deal: bool = True) -> DataFrame:
+    """The ``nodes`` table of document trees, of the named kinds and columns where a job needs few.
+
+    Trees are dealt out by their key first, unless they are already.
+    """
     wanted = frozenset(kinds) if kinds else None
     schema, keep = pruned(NODES, columns)
 
@@ -272,5 +276,5 @@ def trees_to_nodes(trees: DataFrame, key: str, tree: str, kinds=None, columns=No
         read = read_tree(doc_id, text)
         return [keep(r) for r in read if wanted is None or r[8] in wanted]
 
-    chosen = trees.select(key, tree)
+    chosen = dealt(trees.select(key, tree), key, deal=deal)
     return chosen.mapInArrow(arrow_rows(rows, schema, (key, tree)), schema)

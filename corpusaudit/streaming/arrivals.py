@@ -30,6 +30,18 @@ STATES = T.StructType(
         T.StructField("n", T.LongType()),
     ]
 )
+#: What ``check_arrivals`` keeps of each arrival.
+DERIVED = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("byte_size", T.LongType()),
+        T.StructField("modified_at", T.TimestampType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("sha256", T.StringType()),
+        T.StructField("state", T.StringType()),
+        T.StructField("damage", T.StringType()),
+    ]
+)
 FOLDED = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -103,6 +115,44 @@ def arrival_counts(
     )
 
 
+def drained(
+    arrivals: DataFrame, shape: Callable[[DataFrame], DataFrame], home: str, schema: T.StructType,
+    time: str = "modified_at", past: str | None = None,
+) -> DataFrame:
+    """Run ``shape`` of a stream to its end into a table under ``home``, and with ``past`` close the end.
+
+    A stream that is drained keeps its last windows open, as its watermark stands at the latest event. With
+    ``past``, an interval longer than windows and lateness together, a last batch follows of one row that
+    is so much later than all others and null but for its time. The watermark then passes every window that
+    holds an arrival, and what a window of the last row would say is never written. Arrivals that come to
+    the stream after that are late.
+    """
+    spark = arrivals.sparkSession
+    end = f"{home}/end"
+    spark.createDataFrame([], arrivals.schema).coalesce(1).write.parquet(end)
+    both = arrivals.unionByName(spark.readStream.schema(arrivals.schema).parquet(end)) if past else arrivals
+    latest = _run(shape(both), home)
+    if past and latest is not None:
+        at = F.lit(latest).cast("timestamp") + F.expr(f"INTERVAL {past}")
+        row = [(at if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in arrivals.schema]
+        spark.range(1).select(*row).write.mode("append").parquet(end)
+        _run(shape(both), home)
+    return spark.read.schema(schema).parquet(f"{home}/table")
+
+
+def _run(stream: DataFrame, home: str) -> str | None:
+    """Run a stream until nothing is left; the latest event time that it met."""
+    job = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{home}/table")
+        .option("checkpointLocation", f"{home}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    return max((p["eventTime"]["max"] for p in job.recentProgress if "max" in (p["eventTime"] or {})), default=None)
+
+
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Arrivals of one Arrow batch, one row per path and digest."""
     for batch in batches:

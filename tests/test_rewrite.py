@@ -53,12 +53,6 @@ def test_unsupported_and_unknown_constructs(spark):
     assert said == {"title": "old", "author": "A, B C"}
 
 
-def test_nodes_inside_their_holder(spark):
-    tree = nodes(spark, [div(attr("d"), para("a b")), para("c")])
-    held = S.inside(tree, tree.filter("kind = 'Div'"), "holder").filter("kind = 'Str'")
-    assert sorted(r.text for r in held.collect()) == ["a", "b"]
-
-
 def test_derived_captions_go(spark):
     fig = lambda cap: figure([para(cap)], para(image("River ( map )", "f.png")))
     again = [fig("River (map)"), para("River (map)"), para("End")]

@@ -95,16 +95,16 @@ def test_inboxes_and_reports_on_disk(spark, tmp_path):
 
 
 def test_sinks_never_write_a_key_twice(spark, tmp_path):
-    table = str(tmp_path / "evidence")
-    one = spark.createDataFrame([("k1", "a"), ("k1", "a"), ("k2", "b")], "key string, v string")
-    stores.append_new(one, table, ["key"])
-    stores.append_new(spark.createDataFrame([("k2", "other"), ("k3", "c")], "key string, v string"), table, ["key"])
-    assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [("k1", "a"), ("k2", "b"), ("k3", "c")]
+    table, shape = str(tmp_path / "evidence"), "key string, v string"
+    one = spark.createDataFrame([("k1", "a"), ("k1", "a"), ("k2", "b")], shape)
+    assert stores.append_new(one, table, ["key"]) == 2
+    assert stores.append_new(spark.createDataFrame([("k2", "other"), ("k3", "c")], shape), table, ["key"]) == 1
+    assert sorted(map(tuple, stores.kept(spark, table, one.schema, ["key"]).collect())) == [("k1", "a"), ("k2", "b"), ("k3", "c")]
     log = str(tmp_path / "attempts")
     for turn, text in ((1, "first"), (2, "second")):
-        stores.append_attempts(spark.createDataFrame([("k", turn, text)], "key string, at int, boundary string"), log)
-    last = stores.latest_attempts(spark, log, ["key"], ["at"]).collect()
-    assert [r.boundary for r in last] == ["second"]
+        attempt = spark.createDataFrame([("k", turn, text)], "key string, at int, boundary string")
+        stores.replace_attempts(attempt, log, ["key"], ["at"])
+    assert [r.boundary for r in stores.kept(spark, log, attempt.schema, ["key"]).collect()] == ["second"]
 
 
 def test_stream_of_new_files(spark, tmp_path):
@@ -117,7 +117,7 @@ def test_stream_of_new_files(spark, tmp_path):
         job = A.check_arrivals(A.inbox_stream(spark, str(inbox)), evidence, none("path string, sha256 string"), table, str(tmp_path / "cp"))
         job.awaitTermination()
         (inbox / name).write_text(name)
-    rows = spark.read.parquet(table).collect()
+    rows = stores.kept(spark, table, A.DERIVED, ["path", "sha256"]).collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.state) for r in rows) == [("a.md", "new"), ("b.md", "new")]
 
 
