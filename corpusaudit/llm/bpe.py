@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from corpusaudit.llm.encoding import tokenizer
 
 #: Texts are taken in blocks of about so many bytes.
 BLOCK = 1 << 22
-#: Words of so many bytes at most are remembered, and so many words at most in a worker process.
-KNOWN_BYTES, KNOWN_WORDS = 64, 400_000
+#: Words of so many bytes at most have their trees side by side and are remembered, so many words in a worker process.
+SHORT_BYTES, KNOWN_WORDS = 64, 400_000
+#: Trees that stand side by side.
+TREES = 4_000
 
 
 class Merges:
@@ -50,6 +53,10 @@ class Merges:
             self.rank[vocabulary[left], vocabulary[right]] = len(self.made)
             self.made.append(vocabulary[left + right])
         self.special = {t["content"]: t["id"] for t in special}
+        codes = np.array([self._code(*pair) for pair in self.rank], np.int64)
+        self._order = np.argsort(codes)
+        self._codes = codes[self._order]
+        self._alphabet, self._made = np.array(self.alphabet, np.int32), np.array(self.made, np.int32)
         byte_of = {sign: b for b, sign in signs.items()}
         self.bytes_of = {i: bytes(map(byte_of.__getitem__, word)) for word, i in vocabulary.items()}
         # A special string decodes like any other token: by the bytes of its signs, if it has only such.
@@ -57,6 +64,79 @@ class Merges:
             known = all(c in byte_of for c in word)
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, word)) if known else word.encode("utf-8")
 
+    @staticmethod
+    def _code(left, right):
+        return (left << 32) | right
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; one more than the last where there is no merge."""
+        code = self._code(left.astype(np.int64), right)
+        place = np.minimum(np.searchsorted(self._codes, code), len(self._codes) - 1)
+        return np.where(self._codes[place] == code, self._order[place], len(self.made))
+
+    def encode_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as 32-bit numbers, of short words many trees at a time."""
+        out = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        size = 2
+        for i in np.flatnonzero(sizes > SHORT_BYTES):
+            out[i] = self.encode(words[i]).tobytes()
+        while size <= SHORT_BYTES:
+            mine = np.flatnonzero((sizes > size // 2) & (sizes <= size) if size > 2 else sizes <= 2)
+            for start in range(0, len(mine), TREES):
+                part = mine[start : start + TREES]
+                for i, ids in zip(part, self._side_by_side([words[i] for i in part], size), strict=True):
+                    out[i] = ids
+            size *= 2
+        return out
+
+    def _side_by_side(self, words: list[bytes], size: int) -> list[bytes]:
+        """``encode`` of words of at most ``size`` bytes: a row for each word in every array."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        place = np.arange(size)
+        inside = place < n[:, None]
+        ids = np.full((len(words), size), -1, np.int32)
+        ids[inside] = self._alphabet[np.frombuffer(b"".join(words), np.uint8)]
+        following = np.where(place + 1 < n[:, None], place + 1, size)
+        before = np.broadcast_to(place - 1, ids.shape).copy()
+        none = len(self.made) * size
+        tree = [np.full(ids.shape, none, np.int64)]
+        pairs = place[:-1] + 1 < n[:, None]
+        at, first = np.nonzero(pairs)
+        tree[0][at, first] = np.minimum(self._ranks(ids[at, first], ids[at, first + 1]) * size + first, none)
+        while tree[-1].shape[1] > 1:
+            tree.append(np.minimum(tree[-1][:, ::2], tree[-1][:, 1::2]))
+        row = np.arange(len(words))
+        while True:
+            top = tree[-1][row, 0]
+            row, top = row[top < none], top[top < none]
+            if not len(row):
+                break
+            i = top % size
+            gone = following[row, i]
+            after = following[row, gone]
+            new = self._made[top // size]
+            ids[row, i], ids[row, gone] = new, -1
+            following[row, i] = after
+            tree[0][row, gone] = tree[0][row, i] = none
+            on = np.flatnonzero(after < size)
+            r, a = row[on], after[on]
+            before[r, a] = i[on]
+            tree[0][r, i[on]] = np.minimum(self._ranks(new[on], ids[r, a]) * size + i[on], none)
+            left = before[row, i]
+            on = np.flatnonzero(left >= 0)
+            r, a = row[on], left[on]
+            tree[0][r, a] = np.minimum(self._ranks(ids[r, a], new[on]) * size + a, none)
+            # Up from the three leaves to the root.
+            for lower, upper in zip(tree, tree[1:]):
+                i, gone, left = i >> 1, gone >> 1, np.maximum(left, 0) >> 1
+                for node in (gone, i, left):
+                    upper[row, node] = np.minimum(lower[row, 2 * node], lower[row, 2 * node + 1])
+        kept = ids >= 0
+        body = ids[kept].tobytes()
+        ends = (4 * np.cumsum(kept.sum(1))).tolist()
+        return [body[a:b] for a, b in zip([0, *ends], ends)]
+
     def encode(self, word: bytes) -> np.ndarray:
         """Ids of one word: always the leftmost of the pairs of lowest rank is merged.
 
@@ -137,10 +217,8 @@ def contested() -> frozenset[str]:
     The tokenizer's own tables may be older or newer than the pattern's, so texts that hold one of
     them are cut by the tokenizer.
     """
-    named = regex.compile(r"[\p{L}\p{N}]")
-    return frozenset(
-        c for c in map(chr, range(0x370, sys.maxunicode + 1)) if unicodedata.category(c) == "Cn" and named.match(c)
-    )
+    unknown = "".join(c for c in map(chr, range(0x370, sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    return frozenset(regex.findall(r"[\p{L}\p{N}]", unknown))
 
 
 class Encoder:
@@ -160,27 +238,37 @@ class Encoder:
         cut = tokenizer(self.path).pre_tokenizer.pre_tokenize_str(text)
         return [text[start:stop] for _, (start, stop) in cut]
 
-    def ids(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = self.older.get(word)
-            if found is None:
-                found = self.merges.encode(word.encode("utf-8")).tobytes()
-            if len(word) <= KNOWN_BYTES // 4:
-                if len(self.known) >= KNOWN_WORDS // 2:
-                    self.older, self.known = self.known, {}
-                self.known[word] = found
-        return found
-
-    def __call__(self, text: str) -> bytes:
-        parts = self.special.split(text) if self.special else [text]
-        out = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(np.int32(self.merges.special[part]).tobytes())
-            elif part:
-                out.extend(map(self.ids, self.words(part)))
-        return b"".join(out)
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of all these words into memory; of those not met lately half go when it is full."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KNOWN_WORDS // 2:
+            self.older, self.known = self.known, {}
+            new = list(words)
+        known, older = self.known, self.older
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in known]
+        known.update(zip(new, self.merges.encode_many([w.encode("utf-8") for w in new]), strict=True))
+
+    def forget_long(self, words: set[str]) -> None:
+        """Long words would fill the memory, and seldom come again."""
+        for w in words:
+            if len(w) > SHORT_BYTES // 4:
+                self.known.pop(w, None)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers, of all words of the texts at once."""
+        cut = [self.special.split(t) if self.special else [t] for t in (t or "" for t in texts)]
+        words = [[self.words(part) if k % 2 == 0 else None for k, part in enumerate(parts)] for parts in cut]
+        every = set().union(*(w for parts in words for w in parts if w))
+        self.learn(every)
+        ids = self.known.__getitem__
+        marks = {name: np.int32(i).tobytes() for name, i in self.merges.special.items()}
+        out = [
+            b"".join([marks[part] if w is None else b"".join(map(ids, w)) for part, w in zip(parts, listed, strict=True)])
+            for parts, listed in zip(cut, words, strict=True)
+        ]
+        self.forget_long(every)
+        return out
 
 
 @functools.cache
@@ -190,10 +278,10 @@ def encoder(path: str) -> Encoder:
 
 
 @functools.cache
-def _token_bytes(path: str) -> tuple[list[bytes], int]:
+def _token_bytes(path: str) -> list[bytes]:
+    """Bytes of each id; one more, of nothing, for ids that the file does not know."""
     known = encoder(path).merges.bytes_of
-    most = max(known) + 1
-    return [known.get(i, b"") for i in range(most)], most
+    return [known.get(i, b"") for i in range(max(known) + 2)]
 
 
 def encoded(docs: DataFrame, path: str, key="doc_id", text="text") -> DataFrame:
@@ -211,7 +299,7 @@ def encoded(docs: DataFrame, path: str, key="doc_id", text="text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         encode = encoder(path)
         for batch in rebatched(batches, text, BLOCK):
-            found = [encode(t) if t else b"" for t in batch.column(text).to_pylist()]
+            found = encode(batch.column(text).to_pylist())
             at = np.zeros(len(found) + 1, np.int64)
             np.cumsum([len(x) // 4 for x in found], out=at[1:])
             values = pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(found))])
@@ -233,19 +321,25 @@ def decoded(rows: DataFrame, path: str, ids="ids", text="decoded") -> DataFrame:
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c != text), f"`{text}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tokens, most = _token_bytes(path)
-
-        def said(numbers) -> str:
-            return b"".join([tokens[i] for i in numbers if i is not None and 0 <= i < most]).decode("utf-8", "replace")
-
+        tokens = _token_bytes(path)
+        said = tokens.__getitem__
         place = kept.index(ids)
         for batch in batches:
-            lists = batch.column(place)
-            step = max(1, batch.num_rows * BLOCK // max(4 * len(lists.flatten()), 1))
+            step = max(1, batch.num_rows * BLOCK // max(4 * len(batch.column(place).flatten()), 1))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                texts = [None if x is None else said(x) for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, text])
+                lists = part.column(place)
+                numbers = lists.flatten().fill_null(-1).to_numpy()
+                numbers = np.where((numbers >= 0) & (numbers < len(tokens)), numbers, len(tokens) - 1)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                ends = np.cumsum(sizes, dtype=np.int64)
+                texts = [
+                    b"".join(map(said, numbers[end - size : end].tolist())).decode("utf-8", "replace")
+                    for size, end in zip(sizes.tolist(), ends.tolist(), strict=True)
+                ]
+                spoken = pa.array(texts, pa.string())
+                spoken = pc.if_else(lists.is_valid(), spoken, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, spoken], names=[*kept, text])
         release()
 
     return rows.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
