@@ -272,7 +272,8 @@ def ranked(postings: DataFrame, items: DataFrame, k=10, key="doc_id", item="item
     out = spark.createDataFrame([], schema)
     number = 0
     for block in item_blocks(items, item, text):
-        terms = spark.createDataFrame([(t,) for t in set().union(*(c for _, c in block))], "term string")
+        # Written first, so that Spark knows how small they are and sends them to the index or not.
+        terms = materialise(spark.createDataFrame([(t,) for t in sorted(set().union(*(c for _, c in block)))], "term string").coalesce(1))
         asked = postings.join(terms, "term", "left_semi")
         df = dict(asked.groupBy("term").agg(F.sum("df")).collect())
         weight = {t: math.floor(1000 * math.log((2 * size + 2) / (2 * n + 1))) for t, n in df.items()}
