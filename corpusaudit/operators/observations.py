@@ -170,6 +170,21 @@ def image_observations(facts: DataFrame, names=ENABLED, key: str = "doc_id") ->
     )
 
 
+def judged(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Judgements (key, name, fired) of a person or a device as a layer of observations; null is undecided."""
+    none = F.lit(None).cast(QUANTITY)
+    return rows.select(
+        key,
+        "name",
+        lookup(_EVIDENCE, F.col("name")).alias("evidence"),
+        lookup(_CONSEQUENCE, F.col("name")).alias("consequence"),
+        F.lit(True).alias("applicability"),
+        "fired",
+        none.alias("measurement"),
+        F.array().cast("array<string>").alias("locations"),
+    )
+
+
 def merge_observations(
     docs: DataFrame, layers: list[DataFrame], names=ENABLED, key: str = "doc_id"
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.functions.text import collapse_whitespace, glyph_count, codepoint, strip_whitespace
+from corpusaudit.session import materialise
 from corpusaudit.sources import tree
 
 # Markers of a printed page break, and the attributes that may carry them.
@@ -245,38 +246,73 @@ def glyph_hits(texts: DataFrame, key: str, text: str, glyphs) -> DataFrame:
     return texts.select(key, F.inline(counts)).filter(F.col("n") > 0)
 
 
-def tree_digest(nodes: DataFrame) -> DataFrame:
-    """(doc_id, digest) of a document's nodes: equal trees agree, whatever order rows came in.
+def subtree_digests(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node, parent, depth, root, kind, size, digest) of every node with all below it.
+
+    A digest is made of the node's own facts and of its children's digests in order, level by level from
+    the deepest up, so equal subtrees agree wherever they stand: positions, pointers and depth play no part.
+    A node that does not say how deep it lies is of depth 0. Each level is written and read once; a level
+    groups no more than the children of its own nodes.
 
-    Attributes are put in key order first. Each node is hashed on its own, and one document's
-    hashes are joined in reading order and hashed again.
+    Attributes are put in key order first. Repeated rows are children of their own.
     """
     attrs = F.array_join(
-        F.array_sort(
-            F.transform(F.map_entries("attrs"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-        ),
-        ";",
+        F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";"
     )
-    fields = [
-        "node", "end_node", "pointer", "kind", "tag", "level", "ident", "href", "src",
-        "list_start", "list_style", "text",
-    ]
+    fields = ["kind", "tag", "level", "ident", "href", "src", "list_start", "list_style", "text"]
     parts = [F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in fields]
-    one = F.sha2(
-        F.concat_ws(
-            "\x1f",
-            *parts,
-            F.coalesce(F.array_join("classes", " "), F.lit("\x00")),
-            F.coalesce(attrs, F.lit("\x00")),
-        ),
-        256,
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("node", one.alias("h"))))
-    return nodes.groupBy("doc_id").agg(
-        F.sha2(F.array_join(F.transform(ordered, lambda e: e["h"]), ""), 256).alias("digest")
+    parts += [F.coalesce(F.array_join("classes", " "), F.lit("\x00")), F.coalesce(attrs, F.lit("\x00"))]
+    own = F.sha2(F.concat_ws("\x1f", *parts), 256)
+    level = F.coalesce("depth", F.lit(0))
+    base = materialise(nodes.select("doc_id", "node", "parent", level.alias("depth"), "root", "kind", own.alias("own")), "depth")
+    deepest = base.agg(F.max("depth")).first()[0]
+    whole, below = None, None
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        here = base.filter(F.col("depth") == depth)
+        size, children = F.lit(1).cast("long"), F.lit("")
+        if below is not None:
+            held = F.array_sort(F.collect_list(F.struct("node", "digest")))
+            told = below.filter("parent IS NOT NULL").groupBy("doc_id", F.col("parent").alias("node")).agg(
+                F.array_join(F.transform(held, lambda c: c["digest"]), "").alias("_children"), F.sum("size").alias("_size")
+            )
+            here = here.join(told, ["doc_id", "node"], "left")
+            size, children = size + F.coalesce("_size", F.lit(0).cast("long")), F.coalesce("_children", F.lit(""))
+        below = materialise(
+            here.select(
+                "doc_id", "node", "parent", "depth", "root", "kind", size.alias("size"), F.sha2(F.concat("own", children), 256).alias("digest")
+            )
+        )
+        whole = below if whole is None else whole.unionByName(below)
+    if whole is None:
+        return base.select("doc_id", "node", "parent", "depth", "root", "kind", F.lit(0).cast("long").alias("size"), F.col("own").alias("digest"))
+    return whole
+
+
+def tree_digest(nodes: DataFrame, subtrees: DataFrame | None = None) -> DataFrame:
+    """(doc_id, digest) of a document's nodes: equal trees agree, whatever order rows came in.
+
+    ``subtrees`` are the digests of all subtrees, where they are there already.
+    """
+    subtrees = subtree_digests(nodes) if subtrees is None else subtrees
+    ordered = F.array_sort(F.collect_list(F.struct("node", F.concat("root", F.lit(":"), "digest").alias("h"))))
+    return (
+        subtrees.filter("depth = 0")
+        .groupBy("doc_id")
+        .agg(F.sha2(F.array_join(F.transform(ordered, lambda e: e["h"]), ""), 256).alias("digest"))
     )
 
 
+def repeated_subtrees(subtrees: DataFrame) -> DataFrame:
+    """(kind, digest, n, documents, doc_id, node) of each different subtree: how often, and where first.
+
+    One aggregate on the digest over the whole corpus, summed before it is shuffled.
+    """
+    return subtrees.groupBy("kind", "digest").agg(
+        F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.min(F.struct("doc_id", "node")).alias("_first")
+    ).select("kind", "digest", "n", "documents", "_first.doc_id", "_first.node")
+
+
+
 def worst(measures: DataFrame, by: str, k: int, key: str = "doc_id") -> DataFrame:
     """The ``k`` rows with the largest measure, ties by key."""
     return measures.orderBy(F.col(by).desc(), key).limit(k)

@@ -2,6 +2,8 @@
 
 from corpusaudit.plans import (  # noqa: F401
     corpus_queries,
+    fact_queries,
+    figure_queries,
     package_queries,
     page_queries,
     picture_queries,

@@ -15,6 +15,7 @@ from corpusaudit.operators import preservation as P
 from corpusaudit.operators import rewrite as W
 from corpusaudit.operators import structure as S
 from corpusaudit.operators import verdicts as V
+from corpusaudit.operators.layers import layered
 from corpusaudit.plans.tables import query, sql_words, table
 from corpusaudit.rules import GLYPHS
 from corpusaudit.session import materialise
@@ -181,12 +182,28 @@ def tree_text(spark, folder):
 
 @query(
     "tree_digests",
-    """SELECT count(*) AS trees, count(DISTINCT (text, lang)) AS distinct_trees FROM documents""",
+    """SELECT doc_id, count(*) OVER (PARTITION BY text, lang) AS copies, min(doc_id) OVER (PARTITION BY text, lang) AS first FROM documents""",
 )
 def tree_digests(spark, folder):
-    digests = S.tree_digest(_nodes(spark, folder))
-    groups = digests.groupBy("digest").agg(F.count("*").alias("n"))
-    return groups.agg(F.sum("n").alias("trees"), F.count("*").alias("distinct_trees"))
+    """How many documents have the same tree as each, and the first of them."""
+    digests = materialise(S.tree_digest(_nodes(spark, folder)))
+    groups = digests.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    return digests.join(groups, "digest").select("doc_id", "copies", "first")
+
+
+@query(
+    "repeated_blocks",
+    _SQL_TOKENS
+    + """, p AS (SELECT doc_id, line.ln, line, CASE WHEN list_has_any(string_split(line, ' '), ['the', 'la']) THEN anchor END AS anchor FROM line JOIN head USING (doc_id)),
+b AS (SELECT 'Para' AS kind, doc_id, 2 * ln AS at, struct_pack(l := line, a := anchor, note := false) AS what FROM p
+  UNION ALL SELECT 'Para', doc_id, 2 * ln + 1, struct_pack(l := 'and', a := NULL, note := true) FROM word WHERE w = 'and'
+  UNION ALL SELECT 'Header', doc_id, 0, struct_pack(l := head, a := anchor || '|' || (lang = 'de')::INT, note := false) FROM head)
+SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS documents, min(doc_id) AS first FROM b GROUP BY kind, what""",
+)
+def repeated_blocks(spark, folder):
+    """Every different heading and paragraph of the corpus, with all below it: how often, in how many documents, where first."""
+    subtrees = S.subtree_digests(_nodes(spark, folder)).filter(F.col("kind").isin("Header", "Para"))
+    return S.repeated_subtrees(subtrees).select("kind", "n", "documents", F.col("doc_id").alias("first"))
 
 
 @query(
@@ -451,6 +468,75 @@ def judgement_worklist(spark, folder):
     return O.worklist(merged, link_interlock(spark, folder)).select("doc_id", "item", "owner")
 
 
+@query(
+    "merged_judgements",
+    _SQL_PROJECTED
+    + """, o AS (SELECT doc_id, name, applicability, fired, 0 AS layer FROM (SELECT doc_id,
+  unnest(['strikethrough-inversion', 'table-relationship-loss', 'link-footnote-dilution', 'footnote-target-reliability']) AS name,
+  unnest([true, true, xref + dead > 0, notes > 0]) AS applicability, unnest([struck > 0, false, NULL, NULL]) AS fired FROM n)
+UNION ALL SELECT doc_id, name, NULL, NULL, -1 FROM n, (VALUES ('theme-adaptation'), ('colour-image-presentation')) v(name)
+UNION ALL SELECT doc_id, 'theme-adaptation', true, CASE WHEN lang <> 'fr' THEN toxic = 1 END, 1 FROM labels JOIN documents USING (doc_id)
+UNION ALL SELECT doc_id, 'strikethrough-inversion', true, quality = 0, 1 FROM labels
+UNION ALL SELECT doc_id, name, true, false, 2 FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) JOIN documents USING (doc_id),
+  (VALUES ('strikethrough-inversion'), ('link-footnote-dilution')) v(name))
+SELECT doc_id, name, arg_max(struct_pack(a := applicability), layer).a AS applicability, arg_max(struct_pack(f := fired), layer).f AS fired FROM o GROUP BY ALL""",
+)
+def merged_judgements(spark, folder):
+    """What was measured, what a device showed and what a person said; the last layer that reached an observation wins.
+
+    Labels stand for the device's judgements, undecided for French documents, and a conversation about a
+    document for the person's. Device-judged observations nobody reached are rows without a decision.
+    """
+    names = (
+        "strikethrough-inversion", "table-relationship-loss", "link-footnote-dilution", "footnote-target-reliability",
+        "theme-adaptation", "colour-image-presentation",
+    )
+    measured = O.source_observations(_source_facts(spark, folder), names)
+    docs = table(spark, folder, "documents", "doc_id", "lang")
+    labels = table(spark, folder, "labels").join(docs, "doc_id")
+    said = lambda name, fired: F.struct(F.lit(name).alias("name"), fired.alias("fired"))
+    shown = F.when(F.col("lang") != "fr", F.col("toxic") == 1)
+    device = labels.select(
+        "doc_id", F.inline(F.array(said("theme-adaptation", shown), said("strikethrough-inversion", F.col("quality") == 0)))
+    )
+    talked = table(spark, folder, "conversations", F.col("conv_id").alias("doc_id")).distinct().join(docs, "doc_id", "left_semi")
+    no = F.lit(False)
+    person = talked.select("doc_id", F.inline(F.array(said("strikethrough-inversion", no), said("link-footnote-dilution", no))))
+    merged = O.merge_observations(docs.select("doc_id"), [measured, O.judged(device), O.judged(person)], names)
+    return merged.select("doc_id", "name", "applicability", "fired")
+
+
+@query(
+    "layered_facts",
+    """WITH r AS (
+  SELECT doc_id, 'measured' AS layer, 0 AS place, 1::BIGINT AS version, false AS gone, length(text) % 2 = 0 AS sound, length(text)::BIGINT AS size FROM documents
+  UNION ALL SELECT l.doc_id, 'device', 1, 2 + quality, quality = 0 AND toxic = 1, CASE WHEN lang <> 'fr' THEN toxic = 0 END, NULL FROM labels l JOIN documents USING (doc_id)
+  UNION ALL SELECT conv_id, 'person', 2, count(*), false, NULL, sum(length(text))::BIGINT FROM conversations GROUP BY conv_id),
+s AS (SELECT doc_id, list_sort(list({'v': version, 'p': place, 'x': CASE WHEN NOT gone THEN sound END, 'l': layer}) FILTER (gone OR sound IS NOT NULL))[-1] AS a,
+             list_sort(list({'v': version, 'p': place, 'x': CASE WHEN NOT gone THEN size END, 'l': layer}) FILTER (gone OR size IS NOT NULL))[-1] AS b,
+             list_sort(list({'p': place, 'l': layer}) FILTER (NOT gone AND sound IS NOT NULL)) AS sa, list_sort(list({'p': place, 'l': layer}) FILTER (NOT gone AND size IS NOT NULL)) AS sb
+      FROM r GROUP BY doc_id)
+SELECT doc_id, a.x AS sound, a.l AS sound_from, list_filter(list_transform(coalesce(sa, []), lambda e: e.l), lambda e: e <> coalesce(a.l, '')) AS sound_over,
+       b.x AS size, b.l AS size_from, list_filter(list_transform(coalesce(sb, []), lambda e: e.l), lambda e: e <> coalesce(b.l, '')) AS size_over FROM s""",
+)
+def layered_facts(spark, folder):
+    """Two facts of each document from three layers: what was measured, a device's word, and what people wrote."""
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    size = F.length("text").cast("bigint")
+    no = F.lit(False)
+    measured = docs.select("doc_id", F.lit(1).alias("version"), no.alias("gone"), (size % 2 == 0).alias("sound"), size.alias("size"))
+    device = table(spark, folder, "labels").join(docs.select("doc_id", "lang"), "doc_id").select(
+        "doc_id",
+        (F.col("quality") + 2).alias("version"),
+        ((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("gone"),
+        F.when(F.col("lang") != "fr", F.col("toxic") == 0).alias("sound"),
+    )
+    person = table(spark, folder, "conversations", F.col("conv_id").alias("doc_id"), "text").groupBy("doc_id").agg(
+        F.count("*").alias("version"), F.sum(F.length("text")).alias("size")
+    ).withColumn("gone", no)
+    return layered({"measured": measured, "device": device, "person": person}, ["doc_id"], ["sound", "size"])
+
+
 @query(
     "tree_refusals",
     _SQL_TOKENS

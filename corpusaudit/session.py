@@ -53,13 +53,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def materialise(df: DataFrame, *by: str) -> DataFrame:
+    """Write a table to the shared folder, in folders by some columns if they are named, and read it back.
 
     Cuts the plan where a step looks at its input several times, survives lost executors, and
     unlike a checkpoint keeps column pruning and pushed filters for what comes after.
     """
     spark = df.sparkSession
     where = new_folder(spark)
-    df.write.parquet(where)
+    (df.write.partitionBy(*by) if by else df.write).parquet(where)
     return spark.read.schema(df.schema).parquet(where)

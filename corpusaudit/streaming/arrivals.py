@@ -160,17 +160,24 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield groups.agg(arrived_at=("arrived_at", "min"), n=("arrived_at", "size"))
 
 
-class PathStates(StatefulProcessor):
-    """Remembers the digests seen per path and says what the arrivals are."""
+class DigestStates(StatefulProcessor):
+    """Remembers the digests of one share of a path and tells new ones from those seen before.
+
+    Of the digests that are new in a batch the first by time may be the path's first of all, which only
+    all shares together know; the others cannot be.
+    """
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "sha256 string", "times bigint")
+        self.seen = handle.getMapState("seen", "sha256 string", "times bigint", self.idle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Held in memory: one entry per digest of the path, however often it arrived.
+        # Held in memory: one entry for each digest of the share in this batch, however often it arrived.
         arrived: dict = {}
         for chunk in rows:
-            for digest, at, n in zip(chunk["sha256"], chunk["arrived_at"], chunk["n"]):
+            for digest, at, n in zip(chunk["sha256"], chunk["arrived_at"], chunk["n"], strict=True):
                 first, times = arrived.get(digest, (at, 0))
                 arrived[digest] = (min(first, at), times + int(n))
         known = self.seen.exists()
@@ -180,7 +187,7 @@ class PathStates(StatefulProcessor):
             times = self.seen.getValue((digest,))[0] if before else 0
             self.seen.updateValue((digest,), (times + n,))
             if not before:
-                out.append((key[0], digest, at, "changed" if known else "new", 1))
+                out.append((key[0], digest, at, "changed" if known else "first", 1))
                 n -= 1
             known = True
             if n:
@@ -191,23 +198,64 @@ class PathStates(StatefulProcessor):
         pass
 
 
-def path_states(arrivals: DataFrame) -> DataFrame:
+class FirstOfPath(StatefulProcessor):
+    """Of what may be the first of a path, says what is. Holds one row, and one mark for each path."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "met boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names, least = list(STATES.names), None
+        for chunk in rows:
+            chunk = chunk[names]
+            first = chunk["state"] == "first"
+            lost = []
+            for row in chunk[first].itertuples(index=False):
+                if least is None or (row.arrived_at, row.sha256) < (least.arrived_at, least.sha256):
+                    row, least = least, row
+                if row is not None:
+                    lost.append(row._replace(state="changed"))
+            yield chunk[~first]
+            yield pd.DataFrame(lost, columns=names)
+        if least is not None:
+            yield pd.DataFrame([least._replace(state="changed" if self.known.exists() else "new")], columns=names)
+            self.known.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+#: Shares that the digests of one path are dealt into.
+SHARES = 64
+
+
+def path_states(arrivals: DataFrame, shares: int = SHARES, idle: int | None = None) -> DataFrame:
     """(path, sha256, arrived_at, state, n) of arrivals, across batches of the stream.
 
     A digest seen under the path before is ready, another one changed, the first one new; ``n``
-    arrivals share the row. Copies are folded before the shuffle, so a path that arrives again
-    and again sends few rows to its task. Needs the RocksDB state store
-    (``spark.sql.streaming.stateStore.providerClass``).
+    arrivals share the row. State is kept by (path, share of its digests), so a path with any part of all
+    arrivals and any number of digests is dealt over ``shares`` tasks. A second operator by path gets one row
+    of each share that may be the path's first; what is decided stays with its share. Copies are folded before
+    the shuffle. With ``idle``, in milliseconds, digests that do not arrive for so long are forgotten.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    return (
+    mode = "None" if idle is None else "ProcessingTime"
+    seen = (
         arrivals.select("path", "arrived_at", "sha256")
         .mapInPandas(_fold, FOLDED)
-        .groupBy("path")
+        .withColumn("share", F.pmod(F.xxhash64("sha256"), F.lit(shares)).cast("int"))
+        .groupBy("path", "share")
+        .transformWithStateInPandas(
+            statefulProcessor=DigestStates(idle), outputStructType=STATES, outputMode="Append", timeMode=mode
+        )
+    )
+    decided = F.pmod(F.xxhash64("sha256"), F.lit(shares)).cast("int")
+    return (
+        seen.withColumn("share", F.when(F.col("state") == "first", F.lit(-1)).otherwise(decided))
+        .groupBy("path", "share")
         .transformWithStateInPandas(
-            statefulProcessor=PathStates(),
-            outputStructType=STATES,
-            outputMode="Append",
-            timeMode="None",
+            statefulProcessor=FirstOfPath(), outputStructType=STATES, outputMode="Append", timeMode=mode
         )
     )
 

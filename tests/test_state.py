@@ -139,6 +139,29 @@ def test_streamed_states_match_batch(spark, tmp_path):
     assert count(spark.read.parquet(out)) == count(A.path_states_batch(every))
 
 
+def test_a_path_with_many_digests_is_dealt_over_shares(spark, tmp_path):
+    """A third of all arrivals under one path, every digest another one: no share holds more than its part."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", A.ROCKSDB)
+    source, out = str(tmp_path / "src"), str(tmp_path / "out")
+    rows = [("/hot" if i % 3 == 0 else f"/p{i}", 3000 - i, str(i)) for i in range(3000)]
+    every = spark.createDataFrame(rows, "path string, s int, sha256 string").withColumn("arrived_at", F.timestamp_seconds("s")).drop("s")
+    for low, high in ((2000, 3001), (0, 2000)):
+        every.filter((F.unix_seconds("arrived_at") >= low) & (F.unix_seconds("arrived_at") < high)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(every.schema).parquet(source)
+        job = (
+            A.path_states(stream, 16).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        job.awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == 3000
+    # The first batch had the later arrivals, so its least is the path's first.
+    (first,) = got.filter("path = '/hot' AND state = 'new'").collect()
+    assert first.sha256 == "999" and got.filter("path = '/hot' AND state = 'changed'").count() == 999
+    share = F.pmod(F.xxhash64("sha256"), F.lit(16))
+    assert got.filter("path = '/hot'").groupBy(share.alias("s")).count().agg(F.max("count")).first()[0] < 120
+
+
 def test_late_rows_and_repeats(spark, tmp_path):
     source = str(tmp_path / "src")
     rows = [("/a", "x", 0), ("/a", "x", 60), ("/b", "x", 61), ("/a", "y", 62)]
