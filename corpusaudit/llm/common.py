@@ -23,6 +23,14 @@ def crc_rest(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or as much longer as it must be to be no column's name, case aside."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def groups(spark: SparkSession) -> int:
     """How many groups work is dealt into: the session's own figure for a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

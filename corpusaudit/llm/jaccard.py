@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.llm.common import blocks, rebatched, release, texts_of
+from corpusaudit.llm.common import blocks, free_name, rebatched, release, texts_of
 from corpusaudit.llm.components import components
 from corpusaudit.llm.hashing import lowered, mixed, span_hashes, window_hashes, word_spans
 from corpusaudit.session import materialise
@@ -389,10 +389,11 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,
     without a word all stay.
     """
     row = F.xxhash64(F.col(key), F.col(text).cast("string"))
+    mark = free_name("_row", docs.columns)
     first = near_classes(docs, threshold, recall, key, text).filter(F.col(key) == F.col("class_id")).groupBy("component").agg(
-        F.min("row").alias("_row")
+        F.min("row").alias(mark)
     )
     blank = F.col(key).isNull() | F.coalesce(~F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    marked = docs.filter(~blank).withColumn("_row", row)
-    kept = marked.join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    marked = docs.filter(~blank).withColumn(mark, row)
+    kept = marked.join(first.select(mark), mark, "left_semi").dropDuplicates([mark]).drop(mark)
     return kept.unionByName(docs.filter(blank))

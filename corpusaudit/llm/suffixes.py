@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from corpusaudit.llm.common import blocks, groups, texts_of
+from corpusaudit.llm.common import blocks, free_name, groups, texts_of
 from corpusaudit.llm.hashing import gram_hashes, mixed, span_hashes
 
 #: Bytes of the substring that picks the anchor of a window: long enough to be rare by chance.
@@ -379,6 +379,7 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
     with its least key, so that no shard holds more of it than another.
     Texts are shuffled once, by a hash of the key; every step reads that same shuffle.
 
+    Keys are whole numbers of 64 bits at most; a key of another type is refused at once.
     Null texts count as empty. Null keys have no order: such rows lose nothing and make nothing go.
     Rows with equal keys do not make each other's bytes go, and each has its own row; an empty table
     gives an empty one; other columns are left out.
@@ -389,6 +390,8 @@ def repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text", *keep: s
 def _steps(docs: DataFrame, size: int, key: str, text: str, keep: tuple[str, ...], hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What ``repeats`` gives, and what its shards of prints and of surroundings are sent."""
     spark = docs.sparkSession
+    if (kind := dict(docs.dtypes)[key]) not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"keys are whole numbers here, and {key} is {kind}")
     dealt = groups(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rest = [F.struct(*keep).alias("rest")] if keep else []
@@ -685,8 +688,9 @@ def without_repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text",
     which is set anew.
     """
     other = [c for c in docs.columns if c not in (key, text)]
-    marked = docs.withColumn("_null", F.col(text).isNull())
-    found = repeats(marked, size, key, text, *other, "_null").filter("n_bytes = 0 or length(kept) > 0")
+    null = free_name("_null", docs.columns)
+    marked = docs.withColumn(null, F.col(text).isNull())
+    found = repeats(marked, size, key, text, *other, null).filter("n_bytes = 0 or length(kept) > 0")
     kind = found.schema["kept"]
 
     def decode(batches):
@@ -698,7 +702,7 @@ def without_repeats(docs: DataFrame, size: int = 50, key="doc_id", text="text",
 
     fields = [f if f.name != "kept" else StructField("kept", StringType(), kind.nullable) for f in found.schema.fields]
     read = found.mapInArrow(decode, StructType(fields))
-    whole = F.when(~F.col("rest._null"), F.col("kept")).cast(docs.schema[text].dataType)
+    whole = F.when(~F.col("rest").getField(null), F.col("kept")).cast(docs.schema[text].dataType)
     columns = {key: F.col(key), text: whole} | {c: F.col("rest").getField(c) for c in other}
     out = read.select(*[columns[c].alias(c) for c in docs.columns])
     if length in out.columns:

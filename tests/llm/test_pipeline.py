@@ -1,10 +1,11 @@
 import random
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corpusaudit.llm import decontamination, suffixes
+from corpusaudit.llm import decontamination, jaccard, suffixes
 from test_jaccard import brute, shingles
 
 LETTERS = {"en": "thenigos", "de": "schueinr", "fr": "aeouxqlé", "es": "oascñrdi"}
@@ -90,3 +91,21 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
     assert sorted(r.doc_id for r in docs.collect()) == [1, 2]
     folder = write(spark, tmp_path / "none", [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_columns_that_clash_with_names_inside(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, _row int, _null boolean, _n int, node string, key string, rest int"
+    rows = [(i, f"word{i} " * 30, "en", "s", 180, i, True, 3, "n", "k", 7) for i in range(4)]
+    rows.append((9, rows[0][1], "en", "s", 180, 5, None, 4, "m", "l", 8))
+    docs = spark.createDataFrame(rows, names)
+    one = jaccard.one_of_each(docs, 0.8)
+    assert one.columns == docs.columns and sorted(map(tuple, one.collect())) == rows[:4]
+    kept = suffixes.without_repeats(docs, 50, length="n_chars")
+    assert kept.columns == docs.columns
+    got = {r.doc_id: (r._row, r._null, r.rest, r.node) for r in kept.collect()}
+    assert got == {r[0]: (r[5], r[6], r[10], r[8]) for r in rows[:4]}
+
+
+def test_keys_of_other_types_are_refused_at_once(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        suffixes.repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
