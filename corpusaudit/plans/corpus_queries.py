@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusaudit.operators import links as L
 from corpusaudit.operators import package as K
 from corpusaudit.operators import preservation as P
 from corpusaudit.operators import rewrite as W
