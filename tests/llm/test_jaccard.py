@@ -122,3 +122,37 @@ def test_components_of_chains_and_stars(spark, n):
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, n)] + [(2000, 2001), (2001, 2000), (5, 5)]
     got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(n + 1)) and all(got[1000 + i] == 1000 for i in range(n)) and got[2001] == 2000
+
+
+def made_words(rng, n):
+    return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(n)]
+
+
+def test_recall_of_isolated_pairs_near_the_threshold(spark):
+    """Pairs at Jaccard 0.811: 86 of 96 shingles are shared. The join is run, nothing is estimated."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        first = made_words(rng, 100)
+        rows += [(2 * i, " ".join(first)), (2 * i + 1, " ".join(first[:90] + made_words(rng, 10)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.near_duplicates(docs, 0.8).collect()
+    assert all(r.class_id in (r.doc_id, r.doc_id - r.doc_id % 2) for r in got)
+    found = sum(r.n_links for r in got) / 2
+    assert found >= 0.99 * 400
+
+
+def test_links_of_a_group_larger_than_a_bucket(spark):
+    """Every two of 700 texts differ in two words and share at least 0.811 of their shingles: all are linked."""
+    rng = random.Random(13)
+    base = made_words(rng, 100)
+    rows = []
+    for i in range(700):
+        at = rng.randrange(5, 95)
+        rows.append((i, " ".join([*base[:at], *made_words(rng, 1), *base[at + 1 :]])))
+    sets = [shingles(t) for _, t in rows]
+    least = min(len(a & b) / len(a | b) for a, b in zip(sets, sets[1:], strict=False))
+    assert 0.8 <= least < 0.83 and 700 > jaccard.BUCKET
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()
+    assert {r.class_id for r in got} == {0}
+    assert sum(r.n_links for r in got) >= 0.999 * 700 * 699
