@@ -171,3 +171,13 @@ def test_late_rows_and_repeats(spark, tmp_path):
     job = A.first_arrivals(stream, "1 hour").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     job.awaitTermination()
     assert spark.table("firsts").count() == 3
+
+
+def test_files_are_written_once_and_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.md", b"one"), ("a/x.md", b"two"), ("b.md", None), (None, b"lost")], "path string, content binary")
+    got = stores.write_files(rows, str(tmp_path / "in")).collect()
+    assert sorted((r.path, r.written) for r in got) == [("a/x.md", False), ("a/x.md", True), ("b.md", True)]
+    assert (tmp_path / "in" / "a" / "x.md").read_bytes() in (b"one", b"two") and (tmp_path / "in" / "b.md").read_bytes() == b""
+    again = stores.write_files(rows.filter("path = 'b.md'").withColumn("content", F.lit(b"new")), str(tmp_path / "in")).collect()
+    assert [r.written for r in again] == [False] and (tmp_path / "in" / "b.md").read_bytes() == b""
+    assert not [f for f in (tmp_path / "in").rglob("*") if f.is_file() and f.suffix != ".md"]
