@@ -148,12 +148,14 @@ def fit(
                         [part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"]
                     )
 
-    rows = sample.mapInArrow(work, "lang string, x binary").collect()
-    if not rows:
+    # As Arrow and at half precision, so that the driver holds the sample about once.
+    found = sample.mapInArrow(work, "lang string, x binary").toArrow().combine_chunks()
+    if not found.num_rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-    labels = np.array([r["lang"] for r in rows], object)
+    found = found.sort_by([("lang", "ascending"), ("x", "ascending")]).combine_chunks()
+    labels = np.array(found.column("lang").to_pylist(), object)
+    x = np.frombuffer(texts_of(found.column("x"))[0], np.float16).reshape(len(labels), -1)
+    del found
     group = np.array([family_of.get(v, v) for v in labels], object)
     members = {f: sorted(set(labels[group == f])) for f in sorted(set(group))}
 
@@ -161,11 +163,11 @@ def fit(
         out = []
         for a, b in itertools.combinations(names, 2):
             use = (of == a) | (of == b)
-            out.append(machine(x[use], np.where(of[use] == a, 1.0, -1.0), a, b))
+            out.append(machine(x[use].astype(np.float32), np.where(of[use] == a, 1.0, -1.0), a, b))
         return out
 
     model = Model(pairs(list(members), group), {f: pairs(m, labels) for f, m in members.items()}, members)
-    del rows, x
+    del x
     release()
     return model
 
