@@ -13,7 +13,7 @@ from corpusaudit.schema import MEMBERS, NODES, SEGMENTS
 from corpusaudit.session import materialise
 from corpusaudit.sources.archives import members_of
 from corpusaudit.sources.html import read_element, segments_of
-from corpusaudit.sources.rows import arrow_rows, dealt
+from corpusaudit.sources.rows import dealt, read_files
 
 # Fixed values of the package format.
 CONTAINER = "META-INF/container.xml"
@@ -42,9 +42,7 @@ def packages_to_members(files: DataFrame, key: str = "package_id", content: str
 
     Archives are dealt out by their key first, unless they are already.
     """
-    return dealt(files.select(key, content), key, deal=deal).mapInArrow(
-        arrow_rows(_read_members, MEMBERS, (key, content)), MEMBERS
-    )
+    return read_files(dealt(files.select(key, content), key, deal=deal), _read_members, MEMBERS, (key, content))
 
 
 def named_members(files: DataFrame, wanted: DataFrame | tuple[str, ...], key: str = "package_id", content: str = "content") -> DataFrame:
@@ -59,7 +57,7 @@ def named_members(files: DataFrame, wanted: DataFrame | tuple[str, ...], key: st
         names = F.array(*map(F.lit, wanted))
         asked = files.select(F.col(key).alias("package_id"), F.col(content).alias("content"), names.alias("_names"))
     columns = ("package_id", "content", "_names")
-    return asked.mapInArrow(arrow_rows(_read_members, MEMBERS, columns), MEMBERS)
+    return read_files(asked, _read_members, MEMBERS, columns)
 
 
 def current_members(members: DataFrame) -> DataFrame:
@@ -143,9 +141,7 @@ def package_paths(members: DataFrame, packages: DataFrame | None = None) -> Data
     """
     packages = (members if packages is None else packages).select("package_id").distinct()
     containers = members.filter((F.col("name") == CONTAINER) & F.col("content").isNotNull())
-    found = containers.select("package_id", "content").mapInArrow(
-        arrow_rows(_read_container, _ROOTFILE, ("package_id", "content")), _ROOTFILE
-    )
+    found = read_files(containers.select("package_id", "content"), _read_container, _ROOTFILE, ("package_id", "content"))
     member = R.join_path(F.lit(""), F.col("full_path"))
     typed = F.when(F.col("media_type") == OPF_TYPE, F.lit(0)).otherwise(F.lit(1))
     usable = F.when(member.isNotNull(), F.struct(typed.alias("t"), "ord"))
@@ -185,11 +181,8 @@ def open_packages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _records(documents: DataFrame) -> DataFrame:
     """What package documents (package_id, name, content) say, with references resolved."""
-    records = (
-        documents.filter(F.col("content").isNotNull())
-        .select("package_id", F.col("name").alias("path"), "content")
-        .mapInArrow(arrow_rows(_read_package, _PACKAGE, ("package_id", "path", "content")), _PACKAGE)
-    )
+    held = documents.filter(F.col("content").isNotNull()).select("package_id", F.col("name").alias("path"), "content")
+    records = read_files(held, _read_package, _PACKAGE, ("package_id", "path", "content"))
     ref = R.classify_reference(F.col("path"), F.col("href"))
     return records.withColumn("_ref", F.when(F.col("href").isNotNull(), ref)).select(
         *records.columns, F.col("_ref.kind").alias("reference"), F.col("_ref.target").alias("target")
@@ -259,14 +252,10 @@ def content_documents(members: DataFrame, records: DataFrame, types=(XHTML_TYPE,
 def documents_to_nodes(documents: DataFrame) -> DataFrame:
     """Nodes of content documents, with package, document and whether it is well-formed."""
     columns = ("package_id", "document", "content")
-    return documents.select(*columns).mapInArrow(
-        arrow_rows(_document_nodes, DOCUMENT_NODES, columns), DOCUMENT_NODES
-    )
+    return read_files(documents.select(*columns), _document_nodes, DOCUMENT_NODES, columns)
 
 
 def documents_to_segments(documents: DataFrame) -> DataFrame:
     """Visible text of well-formed content documents, one row per block."""
     columns = ("package_id", "document", "content")
-    return documents.select(*columns).mapInArrow(
-        arrow_rows(_document_segments, DOCUMENT_SEGMENTS, columns), DOCUMENT_SEGMENTS
-    )
+    return read_files(documents.select(*columns), _document_segments, DOCUMENT_SEGMENTS, columns)
