@@ -16,6 +16,8 @@ GRAM = 24
 BLOCK = 1 << 18
 #: An anchor with more different surroundings than this is dealt out window by window.
 HOT = 10_000
+#: Groups of texts for each task of a shuffle: a worker holds one group, its anchors and their order at a time.
+SMALLER = 2
 #: A suffix array is made of about so many bytes at a time.
 ARRAY = 1 << 21
 
@@ -396,7 +398,7 @@ def _steps(docs: DataFrame, size: int, key: str, text: str, keep: tuple[str, ...
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rest = [F.struct(*keep).alias("rest")] if keep else []
     rows = docs.select(F.col(key).alias("key"), body.alias("body"), *rest).withColumn("identity", F.xxhash64("key", "body"))
-    rows = rows.withColumn("part", F.pmod(F.col("identity"), F.lit(dealt)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.col("identity"), F.lit(SMALLER * dealt)).cast("int"))
     ordered = rows.filter(F.col("key").isNotNull())
 
     # Texts equal to one with a smaller key.

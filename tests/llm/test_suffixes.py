@@ -123,3 +123,9 @@ def test_suffix_arrays_take_whole_buckets():
     bucket, sizes = np.array([1, 1, 2, 3, 3, 3, 4]), np.array([5, 5, 4, 30, 30, 30, 2])
     assert suffixes._cuts(bucket, sizes, 14) == [(0, 3), (3, 6), (6, 7)]
     assert suffixes._cuts(bucket[:0], sizes[:0], 14) == []
+
+
+def test_a_worker_holds_less_than_a_task_of_texts(spark):
+    docs = spark.createDataFrame(stock_phrases(random.Random(11), 3000, "QRSTUVWXYZ" * 4), "doc_id long, text string")
+    parts = suffixes._steps(docs, 50, "doc_id", "text", (), suffixes.HOT)[1].select("part").distinct().count()
+    assert parts == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
