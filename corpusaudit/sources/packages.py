@@ -13,7 +13,7 @@ from corpusaudit.schema import MEMBERS, NODES, SEGMENTS
 from corpusaudit.session import materialise
 from corpusaudit.sources.archives import members_of
 from corpusaudit.sources.html import read_element, segments_of
-from corpusaudit.sources.rows import dealt, read_files
+from corpusaudit.sources.rows import dealt, pruned, read_files
 
 # Fixed values of the package format.
 CONTAINER = "META-INF/container.xml"
@@ -37,12 +37,25 @@ def _read_members(package_id, content, names=None):
     return rows
 
 
-def packages_to_members(files: DataFrame, key: str = "package_id", content: str = "content", deal=True) -> DataFrame:
+def packages_to_members(files: DataFrame, key: str = "package_id", content: str = "content", deal=True, columns=None) -> DataFrame:
     """Members of every archive in stored order; what cannot be read stays as a row.
 
-    Archives are dealt out by their key first, unless they are already.
+    ``columns`` names the columns wanted, as contents weigh far more than all else. Archives are dealt out by their
+    key first, unless they are already.
     """
-    return read_files(dealt(files.select(key, content), key, deal=deal), _read_members, MEMBERS, (key, content))
+    schema, keep = pruned(MEMBERS, columns)
+    rows = lambda package_id, data: map(keep, _read_members(package_id, data))
+    return read_files(dealt(files.select(key, content), key, deal=deal), rows, schema, (key, content))
+
+
+def member_names(files: DataFrame, key: str = "package_id", content: str = "content") -> DataFrame:
+    """(package_id, name) of current members, from the directories alone. What is no archive has an empty name."""
+
+    def rows(package_id, data):
+        stored = members_of(io.BytesIO(data or b""), lambda name: True, inflate=False)
+        return [(package_id, name) for _, name, _, _, current, _, _ in stored if current]
+
+    return read_files(files, rows, pruned(MEMBERS, ("package_id", "name"))[0], (key, content))
 
 
 def named_members(files: DataFrame, wanted: DataFrame | tuple[str, ...], key: str = "package_id", content: str = "content") -> DataFrame:
@@ -234,16 +247,20 @@ def _document_segments(package_id, document, content):
     return [(package_id, document, *row) for row in segments_of(package_id, read_element(package_id, root))]
 
 
-def content_documents(members: DataFrame, records: DataFrame, types=(XHTML_TYPE,)) -> DataFrame:
-    """(package_id, document, content) of every manifest item of a document type, once."""
-    named = (
+def document_names(records: DataFrame, types=(XHTML_TYPE,)) -> DataFrame:
+    """(package_id, name) of every manifest item of a document type, once."""
+    return (
         manifest(records)
         .filter(F.col("media_type").isin(*types) & F.col("target").isNotNull())
         .select("package_id", F.col("target").alias("name"))
         .distinct()
     )
+
+
+def content_documents(members: DataFrame, records: DataFrame, types=(XHTML_TYPE,)) -> DataFrame:
+    """(package_id, document, content) of every manifest item of a document type, once."""
     return (
-        members.join(named, ["package_id", "name"])
+        members.join(document_names(records, types), ["package_id", "name"])
         .filter(F.col("content").isNotNull())
         .select("package_id", F.col("name").alias("document"), "content")
     )
@@ -255,6 +272,52 @@ def documents_to_nodes(documents: DataFrame) -> DataFrame:
     return read_files(documents.select(*columns), _document_nodes, DOCUMENT_NODES, columns)
 
 
+#: Kind of the rows of ``archived_nodes`` that are blocks of visible text: ``node`` is the number of a block.
+SEGMENT = "#segment"
+
+
+def _segment_row(package_id, document, number, text):
+    return (package_id, document, True, package_id, number, number, None, 0, 0, "html", "", SEGMENT, *[None] * 11, False, False, None, text, None, True)
+
+
+def archived_nodes(
+    files: DataFrame, records: DataFrame, kinds, columns, named=False, text=False, types=(XHTML_TYPE,)
+) -> DataFrame:
+    """Nodes of the content documents of archives (package_id, content), of the named kinds and columns.
+
+    What ``documents_to_nodes`` gives for ``content_documents``, but no content is written, joined or shuffled:
+    members are read while their archive is at hand, and of what that gives the manifest's documents stay. ``named``
+    adds nodes of any kind with an identifier, ``text`` the visible text as ``SEGMENT`` rows. Documents that are not
+    well-formed always have their row.
+    """
+    wanted = frozenset(kinds)
+    schema, keep = pruned(DOCUMENT_NODES, columns)
+
+    def rows(package_id, data):
+        for _, document, _, _, current, content, _ in members_of(io.BytesIO(data or b""), lambda name: True):
+            if not current or content is None:
+                continue
+            root = _parse(content)
+            if root is None:
+                yield from map(keep, _document_nodes(package_id, document, None))
+                continue
+            read = read_element(package_id, root, words=text)
+            for row in read:
+                if row[8] in wanted or (named and row[11] is not None):
+                    yield keep((package_id, document, True, *row))
+            for _, number, said in segments_of(package_id, read) if text else ():
+                yield keep(_segment_row(package_id, document, number, said))
+
+    read = read_files(files.select("package_id", "content"), rows, schema, ("package_id", "content"))
+    declared = document_names(records, types).withColumnRenamed("name", "document")
+    return read.join(declared, ["package_id", "document"], "left_semi")
+
+
+def archived_segments(nodes: DataFrame) -> DataFrame:
+    """(package_id, document, seq, text) as ``documents_to_segments`` gives them, of ``archived_nodes`` with ``text``."""
+    return nodes.filter(F.col("kind") == SEGMENT).select("package_id", "document", F.col("node").alias("seq"), "text")
+
+
 def documents_to_segments(documents: DataFrame) -> DataFrame:
     """Visible text of well-formed content documents, one row per block."""
     columns = ("package_id", "document", "content")

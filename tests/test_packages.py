@@ -233,3 +233,31 @@ def test_only_the_last_member_of_a_name_is_current(spark):
     stored, current, *_ = opened(spark, twice)
     assert stored.count() == 8 and current.count() == 7
     assert bytes(current.filter(F.col("name") == SPRING).first().content) == b"<html/>"
+
+
+def test_nodes_of_archives_need_no_contents(spark):
+    """Links, identifiers and text read from archives are those of the documents, and nothing else is in the plan."""
+    twice = [*members('<p id="x">a <a href="#x">low <b>tide</b></a> b<!--c--> c</p><ul><li>d</li><li>e</li></ul>'), (TOC, b"<no")]
+    rows = [(0, archive(members())), (1, archive(twice)), (2, b"not a zip"), (3, archive(swapped(SPRING, b"<html>")))]
+    files = spark.createDataFrame(rows, "package_id bigint, content binary")
+    stored, current, _, records, nodes = opened(spark, members(), twice, b"not a zip", swapped(SPRING, b"<html>"))
+    columns = ("package_id", "document", "well_formed", "node", "end_node", "sib", "kind", "ident", "href", "read_block", "label")
+    found = S.archived_nodes(files, records, ("Link",), columns, named=True)
+    wanted = nodes.filter("kind IN ('Link', '#malformed') OR ident IS NOT NULL").select(*columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))
+    read = S.archived_nodes(files, records, ("Link",), ("package_id", "document", "kind", "node", "text"), text=True)
+    segments = S.documents_to_segments(S.content_documents(current, records)).select("package_id", "document", "seq", "text")
+    assert sorted(S.archived_segments(read).collect()) == sorted(segments.collect())
+    assert sorted(S.member_names(files).collect()) == sorted(current.select("package_id", "name").collect())
+    digests = S.packages_to_members(files, columns=("package_id", "name", "sha256"))
+    assert sorted(map(repr, digests.collect())) == sorted(map(repr, stored.select("package_id", "name", "sha256").collect()))
+
+
+def test_link_rules_of_books_shuffle_no_contents(spark, monkeypatch):
+    from corpusaudit.plans import package_queries as Q
+
+    written = []
+    keep = Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda df, *by: written.append(df.columns) or keep(df, *by))
+    Q.package_links(spark, "/root/testdata/sf0.001")
+    assert [c for c in written if "content" in c] == [["package_id", "content"]]
