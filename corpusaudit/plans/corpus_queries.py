@@ -71,12 +71,19 @@ WITH n AS (SELECT doc_id, lang, text, len(string_split(text, chr(10))) AS k,
   list_max(list_transform(string_split(text, chr(10)), lambda l: (trim(l) = '')::INT)) AS blank FROM documents)"""
 
 
-def _noted_pages(spark, folder):
+#: What ``rewrite.apparatus`` looks at.
+_NOTED = ("doc_id", "node", "end_node", "root", "tag", "ident", "classes", "href", "text", "closed")
+
+
+def _noted_pages(spark, folder, wanted=None):
     """Documents as extracted pages: line i has a reference to note i, which says the line again.
 
-    French pages lost their notes, German ones their references, Spanish ones the last note.
+    French pages lost their notes, German ones their references, Spanish ones the last note. Where ``wanted`` is
+    given, only documents whose id it holds.
     """
     docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    if wanted is not None:
+        docs = docs.join(wanted.select("doc_id"), "doc_id", "left_semi")
     text = F.regexp_replace("text", r"[<>&]", " ")
     lines = F.split(text, "\n")
     ref = F.when(F.col("lang") == "de", F.lit("")).otherwise(
@@ -111,7 +118,7 @@ SELECT doc_id, CASE WHEN lang IN ('fr', 'de', 'es') OR blank > 0 THEN 'skipped'
   CASE WHEN lang = 'en' AND blank = 0 THEN k ELSE 0 END AS recovered FROM n""",
 )
 def recovered_notes(spark, folder):
-    nodes = pages_to_nodes(_noted_pages(spark, folder), "doc_id", "html")
+    nodes = pages_to_nodes(_noted_pages(spark, folder), "doc_id", "html", only=_NOTED)
     return W.apparatus(materialise(nodes)).select(
         "doc_id", "outcome", "reason", "references", "definitions", "unpaired", "recovered"
     )

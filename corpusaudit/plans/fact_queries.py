@@ -6,7 +6,7 @@ from corpusaudit.functions import text as X
 from corpusaudit.operators import observations as O
 from corpusaudit.operators import rewrite as W
 from corpusaudit.operators import verdicts as V
-from corpusaudit.plans.corpus_queries import _noted_pages
+from corpusaudit.plans.corpus_queries import _NOTED, _noted_pages
 from corpusaudit.plans.tables import query, table
 from corpusaudit.plans.tree_queries import _SQL_TOKENS, _linked
 from corpusaudit.rules import PANEL
@@ -89,10 +89,13 @@ JOIN (SELECT doc_id, list_bool_or(list_transform(string_split(text, chr(10)), la
 WHERE notes = 0 AND xref + dead > 0 AND (lang IN ('fr', 'de', 'es') OR blank)""",
 )
 def repair_candidates(spark, folder):
-    """Documents whose links were kept for want of a note, and of whose page no notes could be recovered."""
+    """Documents whose links were kept for want of a note, and of whose page no notes could be recovered.
+
+    Only pages of documents whose interlock engaged are read: of no others is the outcome asked.
+    """
     docs = table(spark, folder, "documents", "doc_id")
-    locked = W.interlock(docs, W.classify_links(_linked(spark, folder)))
-    pages = materialise(pages_to_nodes(_noted_pages(spark, folder), "doc_id", "html"))
+    locked = materialise(W.interlock(docs, W.classify_links(_linked(spark, folder))).filter("engaged"))
+    pages = materialise(pages_to_nodes(_noted_pages(spark, folder, locked), "doc_id", "html", only=_NOTED))
     outcomes = W.apparatus(pages).select("doc_id", F.col("outcome").alias("recovery_outcome"))
     found = O.repair_candidates(locked.join(outcomes, "doc_id"))
     return found.select("doc_id", F.col("recovery_outcome").alias("outcome"))
